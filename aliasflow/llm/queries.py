@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .near_dedup import op9_minhash_near_dedup
 from .substring_dedup import op4_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_substring_dedup": op4_substring_dedup}
+    return {
+        "op4_substring_dedup": op4_substring_dedup,
+        "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
