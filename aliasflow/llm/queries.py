@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lm_scoring import op1_lm_scoring
 from .near_dedup import op9_minhash_near_dedup
 from .substring_dedup import op4_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op4_substring_dedup": op4_substring_dedup,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
     }
