@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate
+from .decontaminate import op3_decontamination
 from .lm_scoring import op1_lm_scoring
 from .near_dedup import op9_minhash_near_dedup
 from .substring_dedup import op4_substring_dedup
@@ -14,10 +16,11 @@ from .substring_dedup import op4_substring_dedup
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
+        "op3_decontamination": op3_decontamination,
         "op4_substring_dedup": op4_substring_dedup,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": decontaminate.ORACLE}

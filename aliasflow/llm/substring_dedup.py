@@ -9,8 +9,9 @@ their documents, where overlapping windows merge into maximal intervals of words
 * Rows that share doc_id are one document given more than once: an occurrence at the same start is the same
   occurrence, and each row gets its own result.  A null doc_id comes after all others.
 * Other columns, whatever their names, are kept by :func:`substring_dedup` unless they bear a name it adds.
-* Windows are equal if their 64-bit fingerprints and 16 bits of an independent one are; among 10**10 windows, one
-  false match is expected with a probability of about 4e-5.
+* Windows are equal if their 64-bit fingerprints and the parts that an independent one deals them to are; as parts
+  grow in number with the input, false matches stay improbable: n * n / 2**65 / parts for n windows.
+* Entries travel in byte planes of differences, texts compressed, so that shuffles stay small.
 """
 
 from __future__ import annotations
@@ -29,11 +30,22 @@ from .wordprints import Hasher, U, each
 
 #: Windows that a task holds before it deals them out.
 HELD = 2_000_000
-PACKED = "part int, doc_id long, h binary, c binary, d binary, p binary"
+PACKED = "part int, doc_id long, h binary, docs binary, starts binary"
 
 
 def _rows(part: list, doc: list, *packed: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(doc, pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], ["part", "doc_id", "h", "c", "d", "p"])
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(doc, pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], ["part", "doc_id", "h", "docs", "starts"])
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Differences, all lowest bytes first: what is small or regular compresses well."""
+    x = np.diff(x, prepend=x.dtype.type(0))
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _unplanes(x: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(size, -1).T).view(kind).ravel(), dtype=kind)
 
 
 def _repeats(doc: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -46,41 +58,42 @@ def _repeats(doc: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, np.ndarray
             yield int(doc[at]), starts
 
 
-def _later(h: np.ndarray, c: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings equal windows together by document and start, and in it: whether a window comes after an equal one."""
-    order = np.lexsort((pos, doc, c, h))
-    h, c, doc, pos = h[order], c[order], doc[order], pos[order]
+def _later(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Whether a window comes after an equal one; h, doc and pos must be in order of document and start."""
+    order = np.argsort(h, kind="stable")
+    h, doc, pos = h[order], doc[order], pos[order]
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    new[1:] = h[1:] != h[:-1]
     first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    return order, (doc != doc[first]) | (pos != pos[first])
+    later = np.empty(len(h), bool)
+    later[order] = (doc != doc[first]) | (pos != pos[first])
+    return later
 
 
 def _dealer(size: int, parts: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, runs, check = Hasher(1), Hasher(11), Hasher(21)
+        words, runs, other = Hasher(1), Hasher(11), Hasher(21)
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            h, c, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, to, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order, later = _later(h, c, doc, pos)
-            lost = order[later]
-            found = list(_repeats(doc[lost], pos[lost]))
+            order = np.lexsort((pos, doc))
+            h, to, doc, pos = h[order], to[order], doc[order], pos[order]
+            later = _later(h ^ to.astype(U), doc, pos)
+            found = list(_repeats(doc[later], pos[later]))
             for low in range(0, len(found), 2000):
                 out = found[low : low + 2000]
                 none = [None] * len(out)
-                yield _rows([x % parts for x, _ in out], [x for x, _ in out], none, none, none, [x.astype(np.uint32).tobytes() for _, x in out])
-            kept = order[~later]
-            h, c, doc, pos = h[kept], c[kept], doc[kept], pos[kept]
-            to = ((h >> U(32)) * U(parts)) >> U(32)  # h is in order, and so is this
-            cut = np.searchsorted(to, np.arange(parts + 1).astype(U))
+                yield _rows([x % parts for x, _ in out], [x for x, _ in out], none, none, [_planes(x.astype(np.uint32)) for _, x in out])
+            kept = np.flatnonzero(~later)
+            kept = kept[np.argsort(to[kept], kind="stable")]
+            cut = np.searchsorted(to[kept], np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(cut)):
-                own = slice(cut[p], cut[p + 1])
-                names, of = np.unique(doc[own], return_inverse=True)
-                yield _rows([p], [None], [h[own].tobytes()], [c[own].astype(np.uint16).tobytes()], [names.tobytes()], [of.astype(np.uint32).tobytes() + pos[own].astype(np.uint32).tobytes()])
+                own = kept[cut[p] : cut[p + 1]]
+                begin = np.flatnonzero(np.diff(doc[own], prepend=doc[own[0]] - 1))
+                ids = np.stack([doc[own[begin]], np.diff(begin, append=len(own))])
+                yield _rows([p], [None], [h[own].tobytes()], [_planes(ids.ravel())], [_planes(pos[own].astype(np.uint32))])
 
         count = 0
         for batch in batches:
@@ -90,48 +103,54 @@ def _dealer(size: int, parts: int):
                 if not len(first):
                     continue
                 f = words.of_words(w.data, w.start, w.end)
-                held.append((runs.of_runs(f, first, size), check.of_runs(f, first, size) >> U(48), ids[low + text], first - w.bounds[text]))
+                held.append((runs.of_runs(f, first, size), (other.of_runs(f, first, size) % U(parts)).astype(np.int32), ids[low + text], first - w.bounds[text]))
                 count += len(first)
                 if count >= HELD:
                     yield from flush()
                     count = 0
-        yield from flush()
+        if held:
+            yield from flush()
 
     return deal
 
 
-def _judge(groups: pa.Table) -> pa.Table:
+def _judge(group: pa.Table) -> pa.Table:
     """Of all windows of one part, the starts of those that come later; starts found before pass through."""
     found: list[tuple[int, bytes]] = []
-    hs, cs, ds, ps = [], [], [], []
-    for doc, h, c, d, p in zip(*(groups.column(x).to_pylist() for x in ("doc_id", "h", "c", "d", "p")), strict=True):
+    held = []
+    for doc, h, docs, starts in zip(*(group.column(x).to_pylist() for x in ("doc_id", "h", "docs", "starts")), strict=True):
         if h is None:
-            found.append((doc, p))
-            continue
-        at = np.frombuffer(p, np.uint32)
-        hs.append(np.frombuffer(h, np.uint64))
-        cs.append(np.frombuffer(c, np.uint16))
-        ds.append(np.frombuffer(d, np.int64)[at[: len(at) // 2]])
-        ps.append(at[len(at) // 2 :])
-    if hs:
-        h, c, doc, pos = map(np.concatenate, (hs, cs, ds, ps))
-        order, later = _later(h, c, doc, pos)
-        lost = order[later]
-        found += [(x, y.astype(np.uint32).tobytes()) for x, y in _repeats(doc[lost], pos[lost])]
+            found.append((doc, starts))
+        else:
+            ids = _unplanes(docs, np.int64).reshape(2, -1)
+            held.append((np.frombuffer(h, np.uint64), np.repeat(*ids), _unplanes(starts, np.uint32)))
+    if held:
+        h, doc, pos = map(np.concatenate, zip(*held, strict=True))
+        order = np.lexsort((pos, doc))
+        h, doc, pos = h[order], doc[order], pos[order]
+        later = _later(h, doc, pos)
+        found += [(x, _planes(y)) for x, y in _repeats(doc[later], pos[later])]
     return pa.table({"key": pa.array([x for x, _ in found], pa.int64()), "starts": pa.array([x for _, x in found], pa.binary())})
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a text, compressed after its length."""
+    for batch in batches:
+        raw = [(x or "").encode() for x in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())], batch.schema.names)
+
+
 def _remover(size: int, names: list[str]):
-    """Merge windows into intervals and cut them out; the last two columns are the text and the starts."""
+    """Merge windows into intervals and cut them out; the last two columns are the compressed text and the starts."""
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends, kept, removed, n, spans = batch.num_columns, [], [], [], []
             for text, found in zip(batch.column(ends - 2).to_pylist(), batch.column(ends - 1).to_pylist(), strict=True):
-                own = (text or "").encode().split()
+                own = pa.decompress(text[8:], int.from_bytes(text[:8], "little"), "zstd", asbytes=True).split()
                 out = np.zeros(len(own) + 1, np.int64)
                 for x in found or ():
-                    at = np.frombuffer(x, np.uint32)
+                    at = _unplanes(x, np.uint32).astype(np.int64)
                     at = at[at + size <= len(own)]
                     np.add.at(out, at, 1)
                     np.add.at(out, at + size, -1)
@@ -156,6 +175,7 @@ def substring_dedup(docs: DataFrame, size: int = 20, text: str = "text", key: st
     added = ["n_words", "n_removed", "kept_text", "removed"]
     rest = [x for x in docs.columns if x not in (text, *added)]
     whole = docs.select(F.struct(*(F.col(f"`{x}`") for x in rest)).alias("row"), id_key(key).alias("key"), F.col(text).cast("string").alias("text"))
+    whole = whole.mapInArrow(_squeeze, T.StructType([*whole.schema.fields[:-1], T.StructField("text", T.BinaryType())]))
     whole = whole.join(found.hint("shuffle_hash"), "key", "left").select("row", "text", "starts")
     schema = T.StructType([whole.schema["row"], *T.StructType.fromDDL("n_words long, n_removed long, kept_text string, removed array<struct<start: long, end: long>>")])
     out = whole.mapInArrow(_remover(size, ["row", *added]), schema)
