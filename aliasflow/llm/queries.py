@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, mixing, warc
 from .decontaminate import op3_decontamination
 from .lm_scoring import op1_lm_scoring
+from .mixing import op7_source_mixing
 from .near_dedup import op9_minhash_near_dedup
 from .substring_dedup import op4_substring_dedup
+from .warc import op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,9 +20,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lm_scoring": op1_lm_scoring,
         "op3_decontamination": op3_decontamination,
         "op4_substring_dedup": op4_substring_dedup,
+        "op7_source_mixing": op7_source_mixing,
+        "op8_warc": op8_warc,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontaminate.ORACLE}
+    return {
+        "op3_decontamination": decontaminate.ORACLE,
+        "op7_source_mixing": mixing.ORACLE,
+        "op8_warc": warc.ORACLE,
+    }
