@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, mixing, warc
 from .decontaminate import op3_decontamination
+from .html_extract import op5_html_extraction
 from .lm_scoring import op1_lm_scoring
 from .mixing import op7_source_mixing
 from .near_dedup import op9_minhash_near_dedup
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lm_scoring": op1_lm_scoring,
         "op3_decontamination": op3_decontamination,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_html_extraction": op5_html_extraction,
         "op7_source_mixing": op7_source_mixing,
         "op8_warc": op8_warc,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
@@ -29,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontamination": decontaminate.ORACLE,
+        "op5_html_extraction": op5_html_extraction,
         "op7_source_mixing": mixing.ORACLE,
         "op8_warc": warc.ORACLE,
     }
