@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, mixing, warc
+from .ann import op2_ivf_pq
 from .decontaminate import op3_decontamination
 from .html_extract import op5_html_extraction
 from .lm_scoring import op1_lm_scoring
@@ -19,6 +20,7 @@ from .warc import op8_warc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
+        "op2_ivf_pq": op2_ivf_pq,
         "op3_decontamination": op3_decontamination,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_html_extraction": op5_html_extraction,
