@@ -13,6 +13,7 @@ from .html_extract import op5_html_extraction
 from .lm_scoring import op1_lm_scoring
 from .mixing import op7_source_mixing
 from .near_dedup import op9_minhash_near_dedup
+from .pii import op10_pii
 from .substring_dedup import op4_substring_dedup
 from .warc import op8_warc
 
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_source_mixing": op7_source_mixing,
         "op8_warc": op8_warc,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
+        "op10_pii": op10_pii,
     }
 
 
