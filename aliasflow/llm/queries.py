@@ -15,6 +15,7 @@ from .mixing import op7_source_mixing
 from .near_dedup import op9_minhash_near_dedup
 from .pii import op10_pii
 from .substring_dedup import op4_substring_dedup
+from .toxicity import op6_toxicity
 from .warc import op8_warc
 
 
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_html_extraction": op5_html_extraction,
+        "op6_toxicity": op6_toxicity,
         "op7_source_mixing": op7_source_mixing,
         "op8_warc": op8_warc,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
@@ -36,6 +38,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontamination": decontaminate.ORACLE,
         "op5_html_extraction": op5_html_extraction,
+        "op6_toxicity": op6_toxicity,
         "op7_source_mixing": mixing.ORACLE,
         "op8_warc": warc.ORACLE,
     }
