@@ -30,8 +30,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's own estimate of a plan's size; for file scans, the size of the files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's own estimate of the size of what a plan reads, before columns are pruned; for file scans, of the files."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def shares(df: DataFrame, mb: float = 16.0) -> int:

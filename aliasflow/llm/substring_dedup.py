@@ -2,8 +2,9 @@
 
 Each task fingerprints the windows of its documents and keeps the first of equal ones, so that a window which a third
 of all documents share costs one entry a task.  The entries are dealt out by fingerprint as packed arrays, hundreds of
-thousands to a row; there, all but the earliest occurrence of a fingerprint are found.  The starts found return to
-their documents, where overlapping windows merge into maximal intervals of words to remove.
+thousands to a row; there, all but the earliest occurrence of a fingerprint are found.  The starts found return,
+packed as well, to the buckets of their documents, where overlapping windows merge into maximal intervals of words to
+remove.
 
 * A null text has no words.  A text of fewer than ``size`` words has no window and loses nothing.
 * Rows that share doc_id are one document given more than once: an occurrence at the same start is the same
@@ -26,15 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import id_key, shares, table
-from .wordprints import Hasher, U, each
+from .wordprints import Hasher, U, each, mix
 
 #: Windows that a task holds before it deals them out.
-HELD = 2_000_000
-PACKED = "part int, doc_id long, h binary, docs binary, starts binary"
-
-
-def _rows(part: list, doc: list, *packed: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(doc, pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], ["part", "doc_id", "h", "docs", "starts"])
+HELD = 1_500_000
+PACKED = "part int, h binary, docs binary, starts binary"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -48,14 +45,23 @@ def _unplanes(x: bytes, kind: type) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(size, -1).T).view(kind).ravel(), dtype=kind)
 
 
-def _repeats(doc: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The starts of each document."""
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
-    cut = np.flatnonzero(np.diff(doc)) + 1
-    for at, starts in zip(np.concatenate([[0], cut]), np.split(pos, cut), strict=True):
-        if len(starts):
-            yield int(doc[at]), starts
+def _bucket(doc: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(doc.astype(np.int64).view(U)) % U(parts)).astype(np.int32)
+
+
+def _packed(to: np.ndarray, parts: int, doc: np.ndarray, pos: np.ndarray, h: np.ndarray | None = None) -> Iterator[tuple]:
+    """Windows in order of document and start, as one row for each part they go to."""
+    order = np.argsort(to, kind="stable")
+    cut = np.searchsorted(to[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cut)):
+        own = order[cut[p] : cut[p + 1]]
+        begin = np.flatnonzero(np.diff(doc[own], prepend=doc[own[0]] - 1))
+        ids = np.stack([doc[own[begin]], np.diff(begin, append=len(own))])
+        yield int(p), None if h is None else h[own].tobytes(), _planes(ids.ravel()), _planes(pos[own].astype(np.uint32))
+
+
+def _unpacked(docs: bytes, starts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(*_unplanes(docs, np.int64).reshape(2, -1)), _unplanes(starts, np.uint32)
 
 
 def _later(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -81,19 +87,11 @@ def _dealer(size: int, parts: int):
             order = np.lexsort((pos, doc))
             h, to, doc, pos = h[order], to[order], doc[order], pos[order]
             later = _later(h ^ to.astype(U), doc, pos)
-            found = list(_repeats(doc[later], pos[later]))
-            for low in range(0, len(found), 2000):
-                out = found[low : low + 2000]
-                none = [None] * len(out)
-                yield _rows([x % parts for x, _ in out], [x for x, _ in out], none, none, [_planes(x.astype(np.uint32)) for _, x in out])
-            kept = np.flatnonzero(~later)
-            kept = kept[np.argsort(to[kept], kind="stable")]
-            cut = np.searchsorted(to[kept], np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(cut)):
-                own = kept[cut[p] : cut[p + 1]]
-                begin = np.flatnonzero(np.diff(doc[own], prepend=doc[own[0]] - 1))
-                ids = np.stack([doc[own[begin]], np.diff(begin, append=len(own))])
-                yield _rows([p], [None], [h[own].tobytes()], [_planes(ids.ravel())], [_planes(pos[own].astype(np.uint32))])
+            lost, kept = doc[later], ~later
+            rows = [*_packed(_bucket(lost, parts), parts, lost, pos[later]), *_packed(to[kept], parts, doc[kept], pos[kept], h[kept])]
+            for low in range(0, len(rows), 64):
+                part, *rest = zip(*rows[low : low + 64], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in rest)], ["part", "h", "docs", "starts"])
 
         count = 0
         for batch in batches:
@@ -114,71 +112,76 @@ def _dealer(size: int, parts: int):
     return deal
 
 
-def _judge(group: pa.Table) -> pa.Table:
-    """Of all windows of one part, the starts of those that come later; starts found before pass through."""
-    found: list[tuple[int, bytes]] = []
-    held = []
-    for doc, h, docs, starts in zip(*(group.column(x).to_pylist() for x in ("doc_id", "h", "docs", "starts")), strict=True):
-        if h is None:
-            found.append((doc, starts))
-        else:
-            ids = _unplanes(docs, np.int64).reshape(2, -1)
-            held.append((np.frombuffer(h, np.uint64), np.repeat(*ids), _unplanes(starts, np.uint32)))
-    if held:
-        h, doc, pos = map(np.concatenate, zip(*held, strict=True))
-        order = np.lexsort((pos, doc))
-        h, doc, pos = h[order], doc[order], pos[order]
-        later = _later(h, doc, pos)
-        found += [(x, _planes(y)) for x, y in _repeats(doc[later], pos[later])]
-    return pa.table({"key": pa.array([x for x, _ in found], pa.int64()), "starts": pa.array([x for _, x in found], pa.binary())})
-
-
-def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last column, a text, compressed after its length."""
-    for batch in batches:
-        raw = [(x or "").encode() for x in batch.column(batch.num_columns - 1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())], batch.schema.names)
+def _judge(parts: int):
+    def judge(group: pa.Table) -> pa.Table:
+        """Of all windows of one part, those that come later, by buckets of documents; what tasks found before passes through."""
+        found, held = [], []
+        for part, h, docs, starts in zip(*(x.to_pylist() for x in group.columns), strict=True):
+            if h is None:
+                found.append((part, docs, starts))
+            else:
+                held.append((np.frombuffer(h, np.uint64), *_unpacked(docs, starts)))
+        if held:
+            h, doc, pos = map(np.concatenate, zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((pos, doc))
+            h, doc, pos = h[order], doc[order], pos[order]
+            later = _later(h, doc, pos)
+            found += [(p, docs, starts) for p, _, docs, starts in _packed(_bucket(doc[later], parts), parts, doc[later], pos[later])]
+        to, docs, starts = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table({"bucket": pa.array(to, pa.int32()), "docs": pa.array(docs, pa.binary()), "starts": pa.array(starts, pa.binary())})
 
+    return judge
 
-def _remover(size: int, names: list[str]):
-    """Merge windows into intervals and cut them out; the last two columns are the compressed text and the starts."""
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _squeeze(parts: int):
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts compressed after their length, and the buckets of the documents."""
         for batch in batches:
-            ends, kept, removed, n, spans = batch.num_columns, [], [], [], []
-            for text, found in zip(batch.column(ends - 2).to_pylist(), batch.column(ends - 1).to_pylist(), strict=True):
-                own = pa.decompress(text[8:], int.from_bytes(text[:8], "little"), "zstd", asbytes=True).split()
-                out = np.zeros(len(own) + 1, np.int64)
-                for x in found or ():
-                    at = _unplanes(x, np.uint32).astype(np.int64)
-                    at = at[at + size <= len(own)]
-                    np.add.at(out, at, 1)
-                    np.add.at(out, at + size, -1)
-                gone = np.cumsum(out) > 0
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], gone])))
-                n.append(len(own))
-                removed.append(int(gone.sum()))
-                kept.append(b" ".join(own[i] for i in np.flatnonzero(~gone[:-1])).decode() if removed[-1] else b" ".join(own).decode())
-                spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: ends - 2], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, span)], names)
+            raw = [(x or "").encode() for x in batch.column(2).to_pylist()]
+            text = pa.array([len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], text, pa.array(_bucket(batch.column(1).to_numpy(), parts))], ["row", "key", "text", "bucket"])
+
+    return squeeze
+
+
+def _remover(size: int, names: list[str]):
+    def remove(docs: pa.Table, found: pa.Table) -> pa.Table:
+        """Of one bucket of documents: merge windows into intervals and cut them out."""
+        held = [_unpacked(*x) for x in zip(found.column("docs").to_pylist(), found.column("starts").to_pylist(), strict=True)]
+        doc, pos = map(np.concatenate, zip(*held, strict=True)) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.argsort(doc, kind="stable")
+        doc, pos = doc[order], pos[order].astype(np.int64)
+        kept, removed, n, spans = [], [], [], []
+        for key, text in zip(docs.column("key").to_pylist(), docs.column("text").to_pylist(), strict=True):
+            own = pa.decompress(text[8:], int.from_bytes(text[:8], "little"), "zstd", asbytes=True).split()
+            at = pos[np.searchsorted(doc, key) : np.searchsorted(doc, key, "right")]
+            at = at[at + size <= len(own)]
+            out = np.bincount(at, minlength=len(own) + 1) - np.bincount(at + size, minlength=len(own) + 1)
+            gone = np.cumsum(out) > 0
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], gone])))
+            n.append(len(own))
+            removed.append(int(gone.sum()))
+            kept.append(b" ".join(own[i] for i in np.flatnonzero(~gone[:-1])).decode() if removed[-1] else b" ".join(own).decode())
+            spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return pa.Table.from_arrays([docs.column("row"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, span)], names)
 
     return remove
 
 
 def substring_dedup(docs: DataFrame, size: int = 20, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without its text, with n_words, n_removed, kept_text and removed (intervals of words, end exclusive)."""
-    parts = shares(docs, 8)
+    parts = shares(docs, 5)
     keyed = docs.select(id_key(key).alias("k"), F.col(text).cast("string").alias("t"))
-    found = keyed.mapInArrow(_dealer(size, parts), PACKED).groupBy("part").applyInArrow(_judge, "key long, starts binary")
-    found = found.groupBy("key").agg(F.collect_list("starts").alias("starts"))
+    found = keyed.mapInArrow(_dealer(size, parts), PACKED).groupBy("part").applyInArrow(_judge(parts), "bucket int, docs binary, starts binary")
     added = ["n_words", "n_removed", "kept_text", "removed"]
     rest = [x for x in docs.columns if x not in (text, *added)]
     whole = docs.select(F.struct(*(F.col(f"`{x}`") for x in rest)).alias("row"), id_key(key).alias("key"), F.col(text).cast("string").alias("text"))
-    whole = whole.mapInArrow(_squeeze, T.StructType([*whole.schema.fields[:-1], T.StructField("text", T.BinaryType())]))
-    whole = whole.join(found.hint("shuffle_hash"), "key", "left").select("row", "text", "starts")
+    squeezed = T.StructType([*whole.schema.fields[:2], T.StructField("text", T.BinaryType()), T.StructField("bucket", T.IntegerType())])
     schema = T.StructType([whole.schema["row"], *T.StructType.fromDDL("n_words long, n_removed long, kept_text string, removed array<struct<start: long, end: long>>")])
-    out = whole.mapInArrow(_remover(size, ["row", *added]), schema)
+    whole = whole.mapInArrow(_squeeze(parts), squeezed)
+    out = whole.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_remover(size, ["row", *added]), schema)
     return out.select("row.*", *added)
 
 
