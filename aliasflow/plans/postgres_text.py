@@ -5,12 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..operators.formats import NODE_LABELS, readings
+from ..operators.formats import NODE_LABELS
 from .expressions import READERS, SHAPES, Span, chain, masked, named, tokens, trimmed
 from .vocabulary import BY_LABEL, RAW_NAME_ROWS
 
@@ -123,47 +118,3 @@ def parse(text: str) -> list[Span]:
         elif kind in READERS:
             out += READERS[kind](text, low, high, declared)
     return sorted(out)
-
-
-SPANS = "status string, form string, start int, end int, name_start int, name_end int, disposition string, role string, key string, unscannable boolean"
-
-
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.string(), pa.string(), *[pa.int32()] * 4, *[pa.string()] * 3, pa.bool_()]
-    for batch in batches:
-        at, rows = [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            try:
-                found = [("read", None, *s) for s in parse(text or "")] or [("read", *[None] * 9)]
-            except Refused as e:
-                found = [("refused" if e.form else "unreadable", e.form, *[None] * 8)]
-            rows += [(*r, *[None] * (10 - len(r)))[:10] for r in found]
-            at += [i] * len(found)
-        columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], ["id", *(x.split()[0] for x in SPANS.split(", "))])
-
-
-def parse_plans(subjects: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a span of each PostgreSQL text plan, or one with its status; other formats never reach Python."""
-    some = readings(subjects.select(key, text), text).where("format = 'text'").select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return some.mapInArrow(_run, T.StructType([some.schema["id"], *T.StructType.fromDDL(SPANS)])).withColumnRenamed("id", key)
-
-
-def anonymize_plans(subjects: DataFrame, next_number: int = 1, key: str = "doc_id") -> DataFrame:
-    """``subjects`` (key, text) that are read, with their names and values replaced by numbered placeholders."""
-    from ..functions.text import LITERAL, ROLE_PREFIXES, matches
-    from ..operators.allocation import number, rewritten
-
-    spans = parse_plans(subjects, key)
-    prefix = F.coalesce(*(F.when(F.col("role") == k, F.lit(v)) for k, v in ROLE_PREFIXES.items()), F.lit(LITERAL))
-    named_ = spans.where("disposition in ('anonymize', 'mask')").withColumn("namespace", prefix)
-    removed = named_.select(F.col(key).alias("__k"), F.struct("name_start", "name_end").alias("r")).groupBy("__k").agg(F.collect_list("r").alias("removed"))
-    texts = subjects.join(removed, subjects[key] == F.col("__k"), "left")
-    words = texts.select(key, F.explode(matches(F.col("text"), r"[\p{L}_][\p{L}\p{N}_]*")).alias("w"), "removed")
-    inside = F.exists(F.coalesce("removed", F.array().cast("array<struct<name_start:int,name_end:int>>")), lambda r: (r["name_start"] <= F.col("w.start")) & (F.col("w.start") < r["name_end"]))
-    reserved = words.where(~inside).select(key, F.col("w.match").alias("word")).distinct()
-    occurrences = named_.select(key, "key", "start", "namespace", F.col("key").alias("original"))
-    numbered = number(occurrences, reserved, [*ROLE_PREFIXES.values(), LITERAL], next_number, key).select(key, "key", "placeholder")
-    edits = named_.join(numbered, [key, "key"]).select(key, F.col("name_start").alias("start"), F.col("name_end").alias("end"), F.col("placeholder").alias("text"))
-    read = spans.where("status = 'read'").select(key).distinct()
-    return rewritten(subjects.join(read, key, "left_semi"), edits, key)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import allocation, formats, policy, reports, reversal, state, traces
-from .plans import postgres_text
+from .plans import parse
 
 # Inputs, in SQL common to Spark and DuckDB.
 PACKAGES = "SELECT p_partkey AS id, concat('com.', lower(replace(p_brand, '#', 'n')), '.', lower(replace(p_type, ' ', '.'))) AS package FROM part"
@@ -226,7 +226,7 @@ def format_recognition(spark: SparkSession, d: str) -> DataFrame:
   ELSE concat(regexp_replace(split_part(text, chr(10), 1), '^Index Scan using \S+ on [^.]+[.]\S+ a', 'Index Scan using idx1 on schema2.table3 table4'), chr(10), regexp_replace(split_part(text, chr(10), 2), 'a[.]c\d+c', 'table4.col5')) END AS text
 FROM ({_duck(PLANS)}) WHERE doc_id % 9 IN (3, 4)""")
 def pg_text_names(spark: SparkSession, d: str) -> DataFrame:
-    return postgres_text.anonymize_plans(_read(spark, d, PLANS)).select("doc_id", "text")
+    return parse.anonymize_plans(_read(spark, d, PLANS).where("doc_id % 9 IN (3, 4)")).select("doc_id", "text")
 
 
 @query(rf"""SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN 'coroutine_dump' WHEN 0 THEN 'read' WHEN 1 THEN 'read' ELSE 'not_a_trace' END AS status,
@@ -294,3 +294,32 @@ def frame_resolution(spark: SparkSession, d: str) -> DataFrame:
     frames = _read(spark, d, "SELECT p_partkey AS id, 'p' AS project_id, CASE p_partkey % 4 WHEN 0 THEN concat('a.T', p_partkey % 50) WHEN 1 THEN concat('a.T', p_partkey % 50, '$Gone$1') ELSE concat('b.X', p_partkey) END AS type FROM part")
     symbols = _read(spark, d, "SELECT DISTINCT 'p' AS project_id, concat('a.T', p_partkey % 50) AS binary_name FROM part")
     return traces.resolve_types(frames, symbols).select("id", "type", "resolved", "remainder")
+
+
+# Literal plans in three spellings, with and without a frame; a name of its own in each from the row.
+JSON_PLAN = '[ {"Plan": {"Node Type": "Seq Scan", "Relation Name": "r%s", "Alias": "a", "Filter": "(a.c = 5)"}, "Planning Time": 0.1} ]'
+YAML_PLAN = '- Plan: \n    Node Type: "Seq Scan"\n    Relation Name: "r%s"\n    Alias: "a"\n    Filter: "(a.c = 5)"\n  Planning Time: 0.1'
+XML_PLAN = '<explain xmlns="http://www.postgresql.org/2009/explain"><Query><Plan><Node-Type>Seq Scan</Node-Type><Relation-Name>r%s</Relation-Name><Alias>a</Alias><Filter>(a.c = 5)</Filter></Plan></Query></explain>'
+
+
+def _literal(plan: str) -> tuple[str, str]:
+    """Input SQL and the SQL of its rewritten rows."""
+    said = plan.replace("'", "''").replace("\n", "' || chr(10) || '")
+    made = f"SELECT p_partkey AS doc_id, replace('{said}', '%s', CAST(p_partkey AS STRING)) AS text FROM part"
+    done = said.replace("r%s", "table1").replace('"a"', '"table2"').replace(">a<", ">table2<").replace("a.c", "table2.col3")
+    return made, f"SELECT p_partkey AS doc_id, '{done}' AS text FROM part"
+
+
+@query(_literal(JSON_PLAN)[1])
+def plan_parse_json(spark: SparkSession, d: str) -> DataFrame:
+    return parse.anonymize_plans(_read(spark, d, _literal(JSON_PLAN)[0]))
+
+
+@query(_literal(YAML_PLAN)[1])
+def plan_parse_yaml(spark: SparkSession, d: str) -> DataFrame:
+    return parse.anonymize_plans(_read(spark, d, _literal(YAML_PLAN)[0]))
+
+
+@query(_literal(XML_PLAN)[1])
+def plan_parse_xml(spark: SparkSession, d: str) -> DataFrame:
+    return parse.anonymize_plans(_read(spark, d, _literal(XML_PLAN)[0]))

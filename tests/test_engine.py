@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from aliasflow.functions import text as X
 from aliasflow.operators import allocation, policy, reports, reversal, state, traces
-from aliasflow.plans import postgres_text
+from aliasflow.plans import documents, postgres_text, structured
+from aliasflow.plans import parse as plan_rows
 from aliasflow.plans.expressions import expression, parameters
 from aliasflow.streaming import ledger
 
@@ -33,9 +34,9 @@ Execution Time: 0.456 ms"""
 def test_text_plan_golden(spark):
     rows = [(1, PLAN), (2, 'Seq Scan on "Customers"  (cost=0.00..1.00 rows=1 width=4)'), (3, "Seq Scan on t  (cost=0..1)\n  Bogus: 1"), (4, None), (5, "Seq Scan on t  (cost=0..1)\nSettings: x = 'y'")]
     subjects = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in postgres_text.anonymize_plans(subjects).collect()}
+    got = {r.doc_id: r.text for r in plan_rows.anonymize_plans(subjects).collect()}
     assert got == {1: GOLDEN, 2: 'Seq Scan on "table1"  (cost=0.00..1.00 rows=1 width=4)'}
-    status = {r.doc_id: (r.status, r.form) for r in postgres_text.parse_plans(subjects).where("status != 'read'").collect()}
+    status = {r.doc_id: (r.status, r.form) for r in plan_rows.parse_plans(subjects).where("status != 'read'").collect()}
     assert status == {3: ("unreadable", None), 5: ("refused", "POSTGRES_TEXT_RAW_NAME_ROW")}
 
 
@@ -155,3 +156,58 @@ def test_policy_and_reports(spark):
     assert tuple(lit) == ("splice", "str", "preserve", "Unknown", "idx")
     captures = spark.createDataFrame([("text", "read", None), ("refusal-mysql-tree", "refused", "MYSQL_TREE"), ("refusal-mariadb", "refused", "MYSQL_TREE"), ("json", "unreadable", None), ("refusal-mariadb", "read", None)], "label string, status string, form string")
     assert {r.verdict: r.n for r in reports.capture_verdicts(captures).collect()} == {"right": 2, "wrong_message": 1, "refused_admitted": 1, "read_refused": 1}
+
+
+JSON = """[
+  {
+    "Plan": {
+      "Node Type": "Seq Scan",
+      "Relation Name": "visits",
+      "Schema": "billing",
+      "Alias": "v",
+      "Output": ["v.id", "lower(status)"],
+      "Plans": [ {"Node Type": "Result", "Actual Rows": 1} ]
+    },
+    "Settings": {"search_path": "billing, \\"$user\\", public", "work_mem": "4MB", "app.x": "y"}
+  }
+]"""
+YAML = """- Plan:
+    Node Type: "Seq Scan"
+    Relation Name: "visits"
+    Alias: "v"
+    Output:
+    Plans:
+      - Node Type: "Result"
+        Filter: "(v.id = 5)"
+      - Node Type: "Result"
+  Planning Time: 0.1
+- Plan:
+    Node Type: "Result"
+"""
+XML = """<explain xmlns="http://www.postgresql.org/2009/explain">
+  <Query><Plan><Node-Type>Seq Scan</Node-Type><Relation-Name>visits</Relation-Name><Output><Item>id</Item><Item>status</Item></Output></Plan></Query>
+</explain>"""
+
+
+def test_structured_plans():
+    spoken = lambda text, kind: [(s.disposition[0], text[s.name_start : s.name_end]) for s in structured.parse(text, kind) if s.disposition != "preserve"]
+    assert spoken(JSON, "json") == [("a", "visits"), ("a", "billing"), ("a", "v"), ("a", "v"), ("a", "id"), ("a", "status"), ("a", "billing"), ("a", "public"), ("m", "app.x"), ("m", "y")]
+    assert spoken(YAML, "yaml") == [("a", "visits"), ("a", "v"), ("a", "v"), ("a", "id")]
+    assert spoken(XML, "xml") == [("a", "visits"), ("a", "id"), ("a", "status")]
+    counts = {k: len(v) for k, v in structured.FIELDS.items()}
+    assert counts == {"query": 11, "buffers": 22, "plan": 119, "trigger": 6, "jit": 4, "options": 4, "timing": 5, "sort": 4, "space": 2} and len(structured.FLAGGED) == 61
+    for text in ('[{"Plan": {"Bogus": 1}}]', '[{"Plan": {}]', "[{}] x", "[1]", "{}", '[{"a" 1}]', '[{"Plan": {"Filter": {"x": 1}}}]', "[" * 5000):
+        try:
+            structured.parse(text, "json")
+            raise AssertionError(text)
+        except postgres_text.Refused:
+            pass
+    assert documents.read_yaml("a: 1") is None and documents.read_xml("<explain><a></b></explain>") is None and documents.read_xml("<!-- x --><explain></explain>") is None
+
+
+def test_framed_plans(spark):
+    framed = " QUERY PLAN\n-------------\n" + "\n".join(f" {x.ljust(60)}+" for x in JSON.split("\n")[:-1]) + "\n ]\n(1 row)\n"
+    rows = " QUERY PLAN\n" + "-" * 60 + "\n" + "\n".join(f" {x}" for x in PLAN.split("\n")) + "\n(8 rows)\n"
+    wrong = rows.replace("(8 rows)", "(7 rows)")
+    got = {r.doc_id: r.text for r in plan_rows.anonymize_plans(spark.createDataFrame([(1, framed), (2, rows), (3, wrong)], "doc_id long, text string")).collect()}
+    assert got.keys() == {1, 2} and [x.strip() for x in got[2].split("\n")[2:-2]] == [x.strip() for x in GOLDEN.split("\n")] and '"Relation Name": "table1"' in got[1]
