@@ -31,20 +31,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shares, table
-from .wordprints import LOWER, Hasher, U, buffers, split
+from .common import shares, stored, table
+from .wordprints import LOWER, Hasher, U, each
 
 END = U(0x9E3779B97F4A7C15)
-ANSWERS = "block int, part int, counts binary, vocabulary long, tokens long"
+ANSWERS = "block int, part int, c1 binary, ck binary, vocabulary long, tokens long"
 #: Bits of the fingerprints of single words and of longer n-grams.
 BITS = (64, 40)
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of all tokens, each text's words followed by its end, and where each text begins."""
-    w = split(*buffers(texts), case=LOWER)
-    f = Hasher(1).of_words(w.data, w.start, w.end)
-    return np.insert(f, w.bounds[1:], END), w.bounds + np.arange(len(w.bounds))
+    words, found, counts = Hasher(1), [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for _, _, w in each(texts, case=LOWER):
+        found.append(np.insert(words.of_words(w.data, w.start, w.end), w.bounds[1:], END))
+        counts.append(w.counts() + 1)
+    return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
 
 def _ngrams(f: np.ndarray, bounds: np.ndarray, order: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -52,29 +54,39 @@ def _ngrams(f: np.ndarray, bounds: np.ndarray, order: int, parts: int) -> Iterat
     runs, deal = Hasher(31), Hasher(41)
     at = np.arange(len(f)) - np.repeat(bounds[:-1], np.diff(bounds))
     for bits, sizes in zip(BITS, ([1], range(2, order + 1)), strict=True):
-        h, to, last = [], [], []
+        keys, last = [], []
         for k in sizes:
             end = np.flatnonzero(at >= k - 1)
-            h.append(runs.of_runs(f, end - k + 1, k) >> U(64 - bits))
-            to.append((deal.of_runs(f, end - k + 1, k) % U(parts)).astype(np.int64))
-            last.append(end)
-        h, to = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, to))
-        order_ = np.lexsort((h, to))
-        new = np.ones(len(h), bool)
-        new[1:] = (h[order_][1:] != h[order_][:-1]) | (to[order_][1:] != to[order_][:-1])
-        place = np.empty(len(h), np.int64)
-        place[order_] = np.cumsum(new) - 1
-        first = order_[new]
-        yield to[first], h[first], place, last
+            to = deal.of_runs(f, end - k + 1, k) % U(parts)
+            h = runs.of_runs(f, end - k + 1, k)
+            keys.append((to, h) if bits == 64 else to << U(bits) | h >> U(64 - bits))
+            last.append(end.astype(np.int32))
+            del to, h, end
+        if bits == 64:  # part and fingerprint do not fit one number
+            to, h = keys.pop()
+            order_ = np.lexsort((h, to))
+            to, h = to[order_], h[order_]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (to[1:] != to[:-1])
+            place = np.empty(len(h), np.int32)
+            place[order_] = np.cumsum(new, dtype=np.int32) - 1
+            yield to[new].astype(np.int64), h[new], place, last
+        else:
+            both, place = np.unique(np.concatenate([*keys, np.zeros(0, U)]), return_inverse=True)
+            del keys
+            yield (both >> U(bits)).astype(np.int64), both & U((1 << bits) - 1), place.astype(np.int32), last
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
-    return x.view(np.uint8).reshape(len(x), -1)[:, :width].T.tobytes()
+    """All lowest bytes first, compressed, after their length."""
+    raw = x.view(np.uint8).reshape(len(x), x.dtype.itemsize)[:, :width].T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def _unplanes(x: bytes, width: int, kind: type) -> np.ndarray:
-    out = np.zeros((len(x) // width, np.dtype(kind).itemsize), np.uint8)
-    out[:, :width] = np.frombuffer(x, np.uint8).reshape(width, -1).T
+    raw = pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True) if x else b""
+    out = np.zeros((len(raw) // width, np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
     return out.view(kind).ravel()
 
 
@@ -85,7 +97,7 @@ def _asker(order: int, parts: int):
         train = np.repeat(~group.column("held_out").to_numpy(), np.diff(bounds))
         out: dict[int, list] = {}
         for kind, (to, h, place, last) in enumerate(_ngrams(f, bounds, order, parts)):
-            n = np.bincount(place, np.concatenate(last)[:0] if not last else train[np.concatenate(last)], len(h)).astype(np.uint32) if len(h) else np.zeros(0, np.uint32)
+            n = np.bincount(place, train[np.concatenate(last)], len(h)).astype(np.uint32) if len(h) else np.zeros(0, np.uint32)
             cut = np.searchsorted(to, np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(cut)):
                 own = slice(cut[p], cut[p + 1])
@@ -98,7 +110,7 @@ def _asker(order: int, parts: int):
 
 def _answer(group: pa.Table) -> pa.Table:
     """Sum the counts of one part, and give each block those of its n-grams."""
-    counts = [b""] * group.num_rows
+    counts: list[list[bytes]] = []
     vocabulary = tokens = 0
     for kind, (hs, ns) in enumerate((("h1", "n1"), ("hk", "nk"))):
         h = [np.cumsum(_unplanes(x, BITS[kind] // 8, np.uint64), dtype=U) for x in group.column(hs).to_pylist()]
@@ -108,21 +120,17 @@ def _answer(group: pa.Table) -> pa.Table:
         total = np.bincount(place, n).astype(np.uint64) if len(place) else np.zeros(0, np.uint64)
         if kind == 0:
             vocabulary, tokens = int((total > 0).sum()), int(total.sum())
-        for i, x in enumerate(np.split(total[place], sizes[:-1])):
-            counts[i] += _planes(np.array([len(x)], np.uint64), 8) + _planes(x, 8)
+        counts.append([_planes(x, 8) for x in np.split(total[place], sizes[:-1])])
     rows = group.num_rows
     zero = [0] * (rows - 1)
-    return pa.table({"block": group.column("block"), "part": group.column("part"), "counts": pa.array(counts, pa.binary()), "vocabulary": pa.array([vocabulary, *zero], pa.int64()), "tokens": pa.array([tokens, *zero], pa.int64())})
+    return pa.table({"block": group.column("block"), "part": group.column("part"), "c1": pa.array(counts[0], pa.binary()), "ck": pa.array(counts[1], pa.binary()), "vocabulary": pa.array([vocabulary, *zero], pa.int64()), "tokens": pa.array([tokens, *zero], pa.int64())})
 
 
 def _scorer(order: int, parts: int, strengths: tuple[float, ...], total: int, vocabulary: int):
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         f, bounds = _tokens(docs.column("text").combine_chunks())
-        heads, known = [], [[], []]
-        for _, x in sorted(zip(answers.column("part").to_pylist(), answers.column("counts").to_pylist(), strict=True)):
-            n = 8 * int.from_bytes(x[:8], "little")
-            known[0].append(_unplanes(x[8 : 8 + n], 8, np.uint64))
-            known[1].append(_unplanes(x[16 + n :], 8, np.uint64))
+        own = np.argsort(answers.column("part").to_numpy())
+        known = [[_unplanes(x, 8, np.uint64) for x in answers.column(c).take(pa.array(own)).to_pylist()] for c in ("c1", "ck")]
         # seen[k - 1][i]: how often training documents hold the k tokens that end at i; 0 where there are fewer
         seen = []
         for counts, (_, _, place, last) in zip(known, _ngrams(f, bounds, order, parts), strict=True):
@@ -161,9 +169,7 @@ def lm_scores(docs: DataFrame, order: int = 3, strengths: tuple[float, ...] = (3
     Documents with crc32(key) mod ``folds`` = ``fold`` are held out of the model.  ``strengths`` has that of the prior for
     each order from 2 on.
     """
-    from .common import stored
-
-    parts, blocks = shares(docs, 8), shares(docs, 6)
+    parts, blocks = shares(docs, 6), shares(docs, 2)
     added = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     rest = [x for x in docs.columns if x not in (text, *added)]
     held = F.coalesce(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % folds == fold, F.lit(False))
@@ -173,7 +179,7 @@ def lm_scores(docs: DataFrame, order: int = 3, strengths: tuple[float, ...] = (3
     answers = stored(asked.groupBy("part").applyInArrow(_answer, ANSWERS), "answers")
     total, vocabulary = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("vocabulary"), F.lit(0))).first()
     row = dealt.schema["row"].dataType.simpleString()
-    out = dealt.groupBy("block").cogroup(answers.select("block", "part", "counts").groupBy("block")).applyInArrow(
+    out = dealt.groupBy("block").cogroup(answers.select("block", "part", "c1", "ck").groupBy("block")).applyInArrow(
         _scorer(order, parts, tuple(strengths), total, vocabulary),
         f"row {row}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

@@ -37,7 +37,7 @@ PACKED = "part int, h binary, docs binary, starts binary"
 def _planes(x: np.ndarray) -> bytes:
     """Differences, all lowest bytes first: what is small or regular compresses well."""
     x = np.diff(x, prepend=x.dtype.type(0))
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
 
 
 def _unplanes(x: bytes, kind: type) -> np.ndarray:
