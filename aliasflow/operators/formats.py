@@ -49,6 +49,18 @@ NODE_LABELS = [
     "Tid Scan", "Unique", "Update on", "Values Scan", "WindowAgg", "WorkTable Scan",
 ]
 
+# Third keys of a JSON document after query_block and select_id; header cells of tables.
+MYSQL_KEYS = "cost_info table nested_loop ordering_operation grouping_operation duplicates_removal union_result message optimized_away_subqueries windowing".split()
+MARIADB_KEYS = "cost r_loops r_total_time_ms read_sorted_file const_condition having_condition table nested_loop ordering_operation duplicates_removal union_result".split()
+MYSQL_TABLES = ["id select_type table partitions type possible_keys key key_len ref rows filtered Extra", "Level Code Message"]
+MARIADB_TABLES = [
+    "id select_type table type possible_keys key key_len ref rows Extra",
+    "id select_type table type possible_keys key key_len ref rows filtered Extra",
+    "id select_type table type possible_keys key key_len ref rows r_rows filtered r_filtered Extra",
+]
+SHOWPLAN_ALL = "StmtText StmtId NodeId Parent PhysicalOp LogicalOp Argument DefinedValues EstimateRows EstimateIO EstimateCPU AvgRowSize TotalSubtreeCost OutputList Warnings Type Parallel EstimateExecutions"
+GRID = ["Id", "Operation", "Name", "Rows", "Bytes", "TempSpc", "Cost (%CPU)", "Cost", "Time", "E-Rows", "A-Rows", "A-Time", "Starts", "Buffers", "Reads", "Writes", "OMem", "1Mem", "O/1/M", "Used-Mem", "Used-Tmp"]
+
 
 def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FORMATS, "name string, engine string, state string, reach string")
@@ -60,34 +72,54 @@ def head_lines(text: Column, n: int) -> Column:
     return F.slice(F.filter(lines, lambda x: x.rlike(r"\S")), 1, n)
 
 
-def _line(text: Column, i: int) -> Column:
-    return F.coalesce(F.get(head_lines(text, i + 1), F.lit(i)), F.lit(""))
-
-
 def opens_node(line: Column) -> Column:
     """A line's body begins with a node label that no letter continues."""
     labels = "|".join(sorted(NODE_LABELS, key=len, reverse=True))
     return line.rlike(rf"^(?:\s*(?:->\s*)?(?:Parallel )?)(?:{labels})(?!\p{{L}})")
 
 
+def _client_row(text: Column, i: int) -> Column:
+    """Cells of the i-th head line that is no rule: those between bars, or the line as it is."""
+    rows = F.filter(head_lines(text, 4), lambda x: ~x.rlike(r"^[+-]+$"))
+    row = F.coalesce(F.get(rows, F.lit(i)), F.lit(""))
+    cells = F.transform(F.split(F.regexp_replace(row, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
+    return F.when(row.rlike(r"^\|.*\|$"), cells).otherwise(F.array(row))
+
+
+def _is_table(cells: Column, headers: list[str]) -> Column:
+    return F.array_join(cells, " ").isin(headers) & (F.size(cells) > 1)
+
+
 def recognisers(text: Column) -> dict[str, Column]:
-    """For the formats told by their first lines."""
-    first, second = _line(text, 0), _line(text, 1)
+    """For each format of the catalogue."""
+    lines = head_lines(text, 4)
+    line = lambda i: F.coalesce(F.get(lines, F.lit(i)), F.lit(""))
+    first, second = line(0), line(1)
     opening = F.regexp_extract(text, r"^\s*<([A-Za-z][A-Za-z0-9]*)[\s/>]", 1)
-    keys = F.transform(F.filter(head_lines(text, 8), lambda x: x.rlike(r'^\s*"[A-Za-z_0-9]+"\s*:')), lambda x: F.regexp_extract(x, r'"([A-Za-z_0-9]+)"', 1))
-    key = lambda i: F.coalesce(F.get(keys, F.lit(i)), F.lit(""))
-    block = text.rlike(r"^\s*\{") & (key(0) == "query_block") & (key(1) == "select_id")
+    key = lambda i: F.regexp_extract(line(i), r'^\s*"([^"]*)":', 1)
+    document = F.trim(first) == "{"
+    block = document & (key(1) == "query_block") & second.rlike(r"\{\s*$") & (key(2) == "select_id")
+    one, two = _client_row(text, 0), _client_row(text, 1)
+    only = lambda cells: F.when(F.size(cells) == 1, F.element_at(cells, 1)).otherwise("")
+    node = r"^[ |]*\|--"
+    grid = lambda x: x.rlike(r"^\s*\|.+\|\s*$") & F.forall(F.split(F.regexp_replace(x, r"^\s*\||\|\s*$", ""), r"\|"), lambda c: F.trim(c).isin(GRID))
+    tabs = F.array_join(F.transform(F.split(first, "\t"), lambda c: F.trim(c)), " ")
     return {
         "text": opens_node(first) & first.contains("  (cost="),
         "json": text.rlike(r"^\s*\["),
         "yaml": first.rlike(r"^\s*- ") & first.contains(":"),
         "xml": opening == "explain",
-        "mysql-json-v2": text.rlike(r"^\s*\{") & (key(0) == "query"),
-        "mysql-json-v1": block,
-        "mysql-tree": first.rlike(r"^\s*-> ") | ((F.trim(first) == "EXPLAIN") & second.rlike(r"^\s*-> ")),
+        "mysql-json-v2": document & (key(1) == "query"),
+        "mysql-json-v1": block & key(3).isin(MYSQL_KEYS),
+        "mysql-tree": only(one).startswith("-> ") | ((only(one) == "EXPLAIN") & only(two).startswith("-> ")),
+        "mysql-tabular": _is_table(one, MYSQL_TABLES),
+        "mariadb-json": block & key(3).isin(MARIADB_KEYS),
+        "mariadb-tabular": _is_table(one, MARIADB_TABLES),
         "sqlserver-showplan-xml": opening == "ShowPlanXML",
-        "sqlserver-showplan-text": first.rlike(r"^\s*\|--") | ((F.trim(first) == "StmtText") & second.rlike(r"^\s*(?:\|--|-{3,})")),
-        "oracle-grid-text": first.rlike(r"^\s*Plan hash value: \d+\s*$") | (first.rlike(r"^-{10,}\s*$") & second.rlike(r"^\|\s*Id\s*\|\s*Operation")) | first.rlike(r"^\|\s*Id\s*\|\s*Operation"),
+        "sqlserver-showplan-text": first.rlike(node) | ((F.trim(first) == "StmtText") & second.rlike(node)),
+        "sqlserver-showplan-all": tabs == SHOWPLAN_ALL,
+        "sqlserver-statistics-profile": tabs == "Rows Executes " + SHOWPLAN_ALL,
+        "oracle-grid-text": F.trim(first).rlike(r"^Plan hash value: \d+$") | grid(first) | (F.trim(first).rlike(r"^-{3,}$") & grid(second)),
         "oracle-sql-monitor-xml": opening == "report",
     }
 

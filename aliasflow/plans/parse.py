@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import LITERAL, NAME, ROLE_PREFIXES, matches
-from ..operators.allocation import number, rewritten
+from ..functions.text import LITERAL, ROLE_PREFIXES, reserved_words, splice
+from ..operators.allocation import number_in_row
 from ..operators.formats import head_lines, readings
 from . import postgres_text, structured
 from .expressions import Span
@@ -21,7 +21,8 @@ from .frames import Frame
 from .postgres_text import Refused
 
 READ = ("text", "json", "yaml", "xml")
-SPANS = "status string, form string, start int, end int, name_start int, name_end int, disposition string, role string, key string, unscannable boolean"
+SPAN = "struct<start: int, end: int, name_start: int, name_end: int, disposition: string, role: string, key: string, unscannable: boolean>"
+ARROW_SPAN = pa.list_(pa.struct([*((x, pa.int32()) for x in ("start", "end", "name_start", "name_end")), *((x, pa.string()) for x in ("disposition", "role", "key")), ("unscannable", pa.bool_())]))
 
 
 def spelling_of(text: str) -> str:
@@ -45,41 +46,47 @@ def read(text: str, spelling: str | None) -> list[Span]:
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.string(), pa.string(), *[pa.int32()] * 4, *[pa.string()] * 3, pa.bool_()]
     for batch in batches:
-        at, rows = [], []
-        for i, (text, spelling) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+        rows = []
+        for text, spelling in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             try:
-                found = [("read", None, *s) for s in read(text or "", spelling)] or [("read", *[None] * 9)]
+                rows.append(("read", None, [s._asdict() for s in read(text or "", spelling)]))
             except Refused as e:
-                found = [("refused" if e.form else "unreadable", e.form, *[None] * 8)]
-            rows += found
-            at += [i] * len(found)
-        columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], ["id", *(x.split()[0] for x in SPANS.split(", "))])
+                rows.append(("refused" if e.form else "unreadable", e.form, []))
+        status, form, spans = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(status, pa.string()), pa.array(form, pa.string()), pa.array(spans, ARROW_SPAN)], ["row", "text", "status", "form", "spans"])
 
 
-def parse_plans(subjects: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a span of each PostgreSQL plan, or one with its status."""
+def read_plans(subjects: DataFrame, text: str = "text") -> DataFrame:
+    """``subjects`` that a PostgreSQL reader may take, with status, form and spans in document order."""
     head = F.coalesce(F.get(head_lines(F.col(text), 1), F.lit(0)), F.lit(""))
     framed = (F.trim(head) == "QUERY PLAN") | head.rlike(r"^\*{3,} 1\. row \*{3,}$")
-    known = readings(subjects.select(key, text), text).where(F.col("format").isin(*READ) | framed)
-    some = known.select(F.col(key).alias("id"), F.col(text).alias("text"), F.when(~framed, F.col("format")).alias("spelling"))
-    return some.mapInArrow(_run, T.StructType([some.schema["id"], *T.StructType.fromDDL(SPANS)])).withColumnRenamed("id", key)
-
-
-def anonymize_plans(subjects: DataFrame, next_number: int = 1, key: str = "doc_id") -> DataFrame:
-    """``subjects`` (key, text) that are read, with their names and values replaced by numbered placeholders."""
-    spans = parse_plans(subjects, key)
-    prefix = F.coalesce(*(F.when(F.col("role") == k, F.lit(v)) for k, v in ROLE_PREFIXES.items()), F.lit(LITERAL))
-    named_ = spans.where("disposition in ('anonymize', 'mask')").withColumn("namespace", prefix)
-    removed = named_.select(F.col(key).alias("__k"), F.struct("name_start", "name_end").alias("r")).groupBy("__k").agg(F.collect_list("r").alias("removed"))
-    texts = subjects.join(removed, subjects[key] == F.col("__k"), "left")
-    words = texts.select(key, F.explode(matches(F.col("text"), NAME)).alias("w"), "removed")
-    inside = F.exists(F.coalesce("removed", F.array().cast("array<struct<name_start:int,name_end:int>>")), lambda r: (r["name_start"] <= F.col("w.start")) & (F.col("w.start") < r["name_end"]))
-    reserved = words.where(~inside).select(key, F.col("w.match").alias("word")).distinct()
-    occurrences = named_.select(key, "key", "start", "namespace", F.col("key").alias("original"))
-    numbered = number(occurrences, reserved, [*ROLE_PREFIXES.values(), LITERAL], next_number, key).select(key, "key", "placeholder")
-    edits = named_.join(numbered, [key, "key"]).select(key, F.col("name_start").alias("start"), F.col("name_end").alias("end"), F.col("placeholder").alias("text"))
-    read = spans.where("status = 'read'").select(key).distinct()
-    return rewritten(subjects.join(read, key, "left_semi"), edits, key)
+    rest = [c for c in subjects.columns if c not in (text, "status", "form", "spans")]
+    known = readings(subjects.select(F.struct(*rest).alias("row"), F.col(text).alias("text"))).where(F.col("format").isin(*READ) | framed)
+    some = known.select("row", "text", F.when(~framed, F.col("format")).alias("spelling"))
+    schema = T.StructType([*some.schema.fields[:2], *T.StructType.fromDDL(f"status string, form string, spans array<{SPAN}>")])
+    return some.mapInArrow(_run, schema).select("row.*", F.col("text").alias(text), "status", "form", "spans")
+
+
+def parse_plans(subjects: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a span, or one with its status where there is none."""
+    return read_plans(subjects.select(key, text), text).select(key, "status", "form", F.explode_outer("spans").alias("s")).select(key, "status", "form", "s.*")
+
+
+def anonymize_plans(subjects: DataFrame, next_number: int = 1) -> DataFrame:
+    """``subjects`` that are read, with their names and values replaced by numbered placeholders.
+
+    A plan is one row from its reader to its rewritten text: nothing is shuffled and each text is parsed once.
+    """
+    plans = read_plans(subjects).where("status = 'read'")
+    prefix = lambda s: F.coalesce(*(F.when(s["role"] == k, F.lit(v)) for k, v in ROLE_PREFIXES.items()), F.lit(LITERAL))
+    named = plans.withColumn("named", F.filter("spans", lambda s: s["disposition"].isin("anonymize", "mask")))
+    removed = F.transform("named", lambda s: F.struct(s["name_start"].alias("start"), s["name_end"].alias("end")))
+    like = rf"^(?:{'|'.join([*ROLE_PREFIXES.values(), LITERAL])})\d+$"
+    taken = named.withColumn("taken", F.filter(reserved_words(F.col("text"), removed), lambda w: w.rlike(like)))
+    # the first span of each key; later ones repeat its key
+    first = F.filter(F.transform("named", lambda s, i: F.struct(s["key"].alias("key"), prefix(s).alias("namespace"), i.alias("i"))), lambda x: F.array_position(F.transform("named", lambda s: s["key"]), x["key"]) == x["i"] + 1)
+    numbered = taken.withColumn("numbered", number_in_row(first, F.col("taken"), next_number))
+    words = numbered.withColumn("words", F.map_from_entries(F.transform("numbered", lambda n: F.struct(n["key"], n["placeholder"]))))
+    edits = F.transform("named", lambda s: F.struct(s["name_start"].alias("start"), s["name_end"].alias("end"), F.element_at("words", s["key"]).alias("text")))
+    return words.withColumn("text", splice(F.col("text"), edits)).select(subjects.columns)

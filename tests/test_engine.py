@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from aliasflow.functions import text as X
-from aliasflow.operators import allocation, policy, reports, reversal, state, traces
+from aliasflow.operators import allocation, formats, policy, reports, reversal, state, traces
 from aliasflow.plans import documents, postgres_text, structured
 from aliasflow.plans import parse as plan_rows
 from aliasflow.plans.expressions import expression, parameters
@@ -211,3 +211,22 @@ def test_framed_plans(spark):
     wrong = rows.replace("(8 rows)", "(7 rows)")
     got = {r.doc_id: r.text for r in plan_rows.anonymize_plans(spark.createDataFrame([(1, framed), (2, rows), (3, wrong)], "doc_id long, text string")).collect()}
     assert got.keys() == {1, 2} and [x.strip() for x in got[2].split("\n")[2:-2]] == [x.strip() for x in GOLDEN.split("\n")] and '"Relation Name": "table1"' in got[1]
+
+
+def test_every_format_is_told_apart(spark):
+    mysql = '{\n  "query_block": {\n    "select_id": 1,\n    "%s": {'
+    texts = {
+        "text": PLAN, "json": JSON, "yaml": YAML, "xml": XML,
+        "mysql-json-v2": '{\n  "query": "x"\n}', "mysql-json-v1": mysql % "cost_info", "mariadb-json": mysql % "r_loops",
+        "mysql-tree": "+----+\n| EXPLAIN |\n+----+\n| -> Limit |", "mysql-tabular": "+--+\n| Level | Code | Message |",
+        "mariadb-tabular": "| id | select_type | table | type | possible_keys | key | key_len | ref | rows | Extra |",
+        "sqlserver-showplan-xml": '<ShowPlanXML xmlns="x">', "sqlserver-showplan-text": "StmtText\n  |--Sort(x)",
+        "sqlserver-showplan-all": "\t".join(formats.SHOWPLAN_ALL.split()), "sqlserver-statistics-profile": "\t".join(("Rows Executes " + formats.SHOWPLAN_ALL).split()),
+        "oracle-grid-text": "------------\n| Id  | Operation | Name | Rows |", "oracle-sql-monitor-xml": "<report db_version='1'>",
+    }
+    assert set(texts) == {n for n, *_ in formats.FORMATS} and formats.catalogue(spark).count() == 16
+    frame = spark.createDataFrame([*texts.items(), ("none", "hello"), ("both", mysql % "table"), ("null", None)], "name string, text string")
+    got = {r["name"]: (r["format"], r["status"]) for r in formats.readings(frame).collect()}
+    assert {k: v[0] for k, v in got.items() if k in texts} == {k: k for k in texts}
+    assert all(got[n][1] == ("refused" if s == "refused" else "read") for n, _, s, _ in formats.FORMATS)
+    assert got["none"] == got["both"] == got["null"] == (None, "unreadable")
