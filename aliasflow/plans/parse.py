@@ -5,6 +5,7 @@ Recognisers and frames are told by columns over the head of a text; only texts t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ from .expressions import Span
 from .frames import Frame
 from .postgres_text import Refused
 
-READ = ("text", "json", "yaml", "xml")
+READ = ("text", "json", "yaml", "xml", "mysql-json-v1", "mysql-json-v2")
 SPAN = "struct<start: int, end: int, name_start: int, name_end: int, disposition: string, role: string, key: string, unscannable: boolean>"
 ARROW_SPAN = pa.list_(pa.struct([*((x, pa.int32()) for x in ("start", "end", "name_start", "name_end")), *((x, pa.string()) for x in ("disposition", "role", "key")), ("unscannable", pa.bool_())]))
 
@@ -28,6 +29,8 @@ ARROW_SPAN = pa.list_(pa.struct([*((x, pa.int32()) for x in ("start", "end", "na
 def spelling_of(text: str) -> str:
     """Of a plan that was taken out of its frame."""
     head = text.lstrip()
+    if head.startswith("{"):
+        return "mysql-json-v2" if re.match(r'\{\s*"query":', head) else "mysql-json-v1"
     return "json" if head.startswith("[") else "xml" if head.startswith("<explain") else "yaml" if head.startswith("- ") else "text"
 
 
@@ -58,7 +61,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_plans(subjects: DataFrame, text: str = "text") -> DataFrame:
-    """``subjects`` that a PostgreSQL reader may take, with status, form and spans in document order."""
+    """``subjects`` that a reader may take, with status, form and spans in document order."""
     head = F.coalesce(F.get(head_lines(F.col(text), 1), F.lit(0)), F.lit(""))
     framed = (F.trim(head) == "QUERY PLAN") | head.rlike(r"^\*{3,} 1\. row \*{3,}$")
     rest = [c for c in subjects.columns if c not in (text, "status", "form", "spans")]

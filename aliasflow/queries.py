@@ -323,3 +323,11 @@ def plan_parse_yaml(spark: SparkSession, d: str) -> DataFrame:
 @query(_literal(XML_PLAN)[1])
 def plan_parse_xml(spark: SparkSession, d: str) -> DataFrame:
     return parse.anonymize_plans(_read(spark, d, _literal(XML_PLAN)[0]))
+
+
+MYSQL_PLAN = '{\n  "query": "select %s",\n  "inputs": [{"operation": "Table scan on r%s", "table_name": "r%s", "estimated_rows": 3}]\n}'
+
+
+@query(_literal(MYSQL_PLAN)[1].replace("select %s", "str1").replace("table1", "table2"))
+def plan_parse_mysql(spark: SparkSession, d: str) -> DataFrame:
+    return parse.anonymize_plans(_read(spark, d, _literal(MYSQL_PLAN)[0]))

@@ -195,7 +195,8 @@ def test_structured_plans():
     assert spoken(YAML, "yaml") == [("a", "visits"), ("a", "v"), ("a", "v"), ("a", "id")]
     assert spoken(XML, "xml") == [("a", "visits"), ("a", "id"), ("a", "status")]
     counts = {k: len(v) for k, v in structured.FIELDS.items()}
-    assert counts == {"query": 11, "buffers": 22, "plan": 119, "trigger": 6, "jit": 4, "options": 4, "timing": 5, "sort": 4, "space": 2} and len(structured.FLAGGED) == 61
+    mysql = {"mysql2": 3, "mysql2_node": 28, "mysql1": 1, "mysql1_block": 17, "mysql1_union": 4, "mysql1_table": 21, "mysql1_cost": 6}
+    assert counts == {"query": 11, "buffers": 22, "plan": 119, "trigger": 6, "jit": 4, "options": 4, "timing": 5, "sort": 4, "space": 2, **mysql} and len(structured.FLAGGED) == 61
     for text in ('[{"Plan": {"Bogus": 1}}]', '[{"Plan": {}]', "[{}] x", "[1]", "{}", '[{"a" 1}]', '[{"Plan": {"Filter": {"x": 1}}}]', "[" * 5000):
         try:
             structured.parse(text, "json")
@@ -230,3 +231,30 @@ def test_every_format_is_told_apart(spark):
     assert {k: v[0] for k, v in got.items() if k in texts} == {k: k for k in texts}
     assert all(got[n][1] == ("refused" if s == "refused" else "read") for n, _, s, _ in formats.FORMATS)
     assert got["none"] == got["both"] == got["null"] == (None, "unreadable")
+
+
+def test_mysql_documents():
+    spoken = lambda text, kind: [(s.disposition[0], text[s.name_start : s.name_end]) for s in structured.parse(text, kind) if s.disposition != "preserve"]
+    two = """{
+  "query": "select 1",
+  "inputs": [{"operation": "Index lookup on visits using by_owner (owner_id = 7)", "table_name": "visits", "schema_name": "shop", "index_name": "by_owner", "lookup_condition": "owner_id = 7", "covering": false,
+    "inputs": [{"operation": "Sort: shop.visits.id", "sort_key": "shop.visits.id", "estimated_rows": 1.0}]}]
+}"""
+    assert spoken(two, "mysql-json-v2") == [
+        ("m", "select 1"), ("a", "visits"), ("a", "by_owner"), ("m", "owner_id = 7"), ("a", "visits"), ("a", "shop"), ("a", "by_owner"), ("m", "owner_id = 7"),
+        ("a", "shop"), ("a", "visits"), ("a", "id"), ("a", "shop"), ("a", "visits"), ("a", "id"),
+    ]
+    one = """{
+  "query_block": {
+    "select_id": 1,
+    "cost_info": {"query_cost": "1.00"},
+    "nested_loop": [{"table": {"table_name": "visits", "access_type": "ref", "possible_keys": ["by_owner"], "key": "by_owner", "key_length": "4", "ref": ["shop.i.id"], "used_columns": ["id", "status"], "attached_condition": "(x = 1)", "filtered": "100.00"}}]
+  }
+}"""
+    assert spoken(one, "mysql-json-v1") == [("a", "visits"), ("a", "by_owner"), ("a", "by_owner"), ("m", "shop.i.id"), ("a", "id"), ("a", "status"), ("m", "(x = 1)")]
+    for text, kind in ((two.replace("Sort: shop", "Sort: shoq"), "mysql-json-v2"), (one.replace('"ref",', '"odd",'), "mysql-json-v1"), (one.replace('"id", "st', '"a.id", "st'), "mysql-json-v1")):
+        try:
+            structured.parse(text, kind)
+            raise AssertionError(text)
+        except postgres_text.Refused:
+            pass
