@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from aliasflow.functions import text as X
 from aliasflow.operators import allocation, formats, policy, reports, reversal, state, traces
-from aliasflow.plans import documents, postgres_text, structured
+from aliasflow.plans import documents, postgres_text, sqlserver_text, structured
 from aliasflow.plans import parse as plan_rows
 from aliasflow.plans.expressions import expression, parameters
 from aliasflow.streaming import ledger
@@ -258,3 +258,19 @@ def test_mysql_documents():
             raise AssertionError(text)
         except postgres_text.Refused:
             pass
+
+
+def test_sqlserver_rows():
+    text = "StmtText\n  |--Nested Loops(Inner Join, OUTER REFERENCES:([i].[visit_id]))\n       |--Index Seek(OBJECT:([shop].[dbo].[Visits].[IX_Visits] AS [i]), SEEK:([i].[a]]b]=(5) AND [x]='it''s') ORDERED)\n"
+    got = [(s.disposition[0], s.role, s.key, text[s.name_start : s.name_end]) for s in sqlserver_text.parse(text)]
+    assert got == [
+        ("a", "TABLE", "plan-declared:TABLE:i", "i"), ("a", "COLUMN", "plan:COLUMN:visit_id", "visit_id"),
+        ("a", "SCHEMA", "plan:SCHEMA:shop", "shop"), ("a", "SCHEMA", "plan:SCHEMA:dbo", "dbo"), ("a", "TABLE", "plan:TABLE:Visits", "Visits"), ("a", "INDEX", "plan:INDEX:IX_Visits", "IX_Visits"),
+        ("a", "TABLE", "plan-declared:TABLE:i", "i"), ("a", "TABLE", "plan-declared:TABLE:i", "i"), ("a", "COLUMN", "plan:COLUMN:a]b", "a]]b"), ("a", "COLUMN", "plan:COLUMN:x", "x"), ("m", None, "plan-mask:it''s", "it''s"),
+    ]
+    for bad in ("|--Sort([a)", "|--Sort([])", "|--Sort('x)", "|--Remote Query(x)", "|--Sort(x)\nodd", "StmtText", "|--Scan(OBJECT:([a].[b].[c].[d].[e]))", "|--Scan(OBJECT:([a] AS b))"):
+        try:
+            sqlserver_text.parse(bad)
+            raise AssertionError(bad)
+        except postgres_text.Refused as e:
+            assert (e.form is not None) == ("Remote" in bad)
