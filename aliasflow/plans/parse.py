@@ -16,16 +16,20 @@ from pyspark.sql import types as T
 from ..functions.text import LITERAL, ROLE_PREFIXES, reserved_words, splice
 from ..operators.allocation import number_in_row
 from ..operators.formats import head_lines, readings
-from . import postgres_text, sqlserver_text, structured
+from . import oracle_grid, postgres_text, sqlserver_text, structured
 from .expressions import Span
 from .frames import Frame
 from .postgres_text import Refused
 
-READ = ("text", "json", "yaml", "xml", "mysql-json-v1", "mysql-json-v2", "sqlserver-showplan-text")
+READ = ("text", "json", "yaml", "xml", "mysql-json-v1", "mysql-json-v2", "sqlserver-showplan-text", "oracle-grid-text")
 SPAN = "struct<start: int, end: int, name_start: int, name_end: int, disposition: string, role: string, key: string, unscannable: boolean>"
 ARROW_SPAN = pa.list_(pa.struct([*((x, pa.int32()) for x in ("start", "end", "name_start", "name_end")), *((x, pa.string()) for x in ("disposition", "role", "key")), ("unscannable", pa.bool_())]))
 
 
+#: Readers of what no client frames.
+UNFRAMED = {"sqlserver-showplan-text": sqlserver_text.parse, "oracle-grid-text": oracle_grid.parse}
+
+
 def spelling_of(text: str) -> str:
     """Of a plan that was taken out of its frame."""
     head = text.lstrip()
@@ -36,8 +40,8 @@ def spelling_of(text: str) -> str:
 
 def read(text: str, spelling: str | None) -> list[Span]:
     """Spans of a plan, with any client frame around it; raises Refused."""
-    if spelling == "sqlserver-showplan-text":  # no client frames this one
-        return sqlserver_text.parse(text)
+    if spelling in UNFRAMED:
+        return UNFRAMED[spelling](text)
     frame = Frame(text)
     spelling = spelling or spelling_of(frame.text)
     spans = postgres_text.parse(frame.text) if spelling == "text" else structured.parse(frame.text, spelling)

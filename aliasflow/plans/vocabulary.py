@@ -52,3 +52,31 @@ ROWS = {
 }
 RAW_NAME_ROWS = ("Settings:", "Conflict Arbiter Indexes:", "Trigger ")
 BY_LABEL = {label: kind for kind, labels in ROWS.items() for label in labels.split("|")}
+
+# Oracle's words.
+ORACLE_WORDS = frozenset(
+    """filter access storage AND OR NOT IS NULL IN EXISTS LIKE BETWEEN CASE WHEN THEN ELSE END ANY ALL SOME AS ASC DESC
+    NULLS FIRST LAST DISTINCT ON USING ROWNUM ROWID LEVEL PRIOR CONNECT_BY_ROOT CONNECT_BY_ISLEAF CONNECT_BY_ISCYCLE
+    SYSDATE SYSTIMESTAMP USER TRUE FALSE INTERVAL DATE TIMESTAMP TO FROM FOR OF ESCAPE PARTITION SUBPARTITION ORDER BY
+    GROUP OVER PRECEDING FOLLOWING UNBOUNDED CURRENT ROW ROWS RANGE WITHIN""".split()
+)
+ORACLE_BUILTINS = frozenset(
+    """NUMBER VARCHAR2 NVARCHAR2 CHAR NCHAR CLOB NCLOB BLOB BFILE RAW LONG FLOAT BINARY_FLOAT BINARY_DOUBLE ROWID UROWID
+    XMLTYPE ABS ADD_MONTHS AVG CAST CEIL CHR COALESCE CONCAT COUNT CURRENT_DATE CURRENT_TIMESTAMP DECODE DENSE_RANK
+    EXTRACT FLOOR GREATEST INITCAP INSTR LAG LAST_VALUE LEAD LEAST LENGTH LENGTHB LOWER LPAD LTRIM MAX MIN MOD
+    MONTHS_BETWEEN NULLIF NVL NVL2 NUMTODSINTERVAL NUMTOYMINTERVAL POWER RANK REGEXP_LIKE REGEXP_REPLACE REGEXP_SUBSTR
+    REPLACE ROUND ROW_NUMBER RPAD RTRIM SIGN SQRT SUBSTR SUBSTRB SUM SYS_EXTRACT_UTC SYS_GUID SYS_OP_C2C SYS_OP_DESCEND
+    TO_CHAR TO_DATE TO_NUMBER TO_TIMESTAMP TRIM TRUNC UPPER""".split()
+)
+ORACLE_PHRASES = (
+    "IS NOT NULL",
+    "IS NULL",
+    "NOT IN",
+    "NOT EXISTS",
+    "NOT LIKE",
+    "NOT BETWEEN",
+    "TIMESTAMP WITH TIME ZONE",
+    "TIMESTAMP WITH LOCAL TIME ZONE",
+    "INTERVAL DAY TO SECOND",
+    "INTERVAL YEAR TO MONTH",
+)

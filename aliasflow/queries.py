@@ -331,3 +331,17 @@ MYSQL_PLAN = '{\n  "query": "select %s",\n  "inputs": [{"operation": "Table scan
 @query(_literal(MYSQL_PLAN)[1].replace("select %s", "str1").replace("table1", "table2"))
 def plan_parse_mysql(spark: SparkSession, d: str) -> DataFrame:
     return parse.anonymize_plans(_read(spark, d, _literal(MYSQL_PLAN)[0]))
+
+
+SQLSERVER_PLAN = "StmtText\n  |--Index Seek(OBJECT:([r%s] AS [a]), SEEK:([a].[c]=(5)))"
+ORACLE_PLAN = "| Id  | Operation | Name |\n|   1 | TABLE ACCESS FULL | R%s |\nPredicate Information (identified by operation id):\n   1 - filter(C=5)"
+
+
+@query(_literal(SQLSERVER_PLAN)[1].replace("[a]", "[table2]").replace("[c]", "[col3]"))
+def plan_parse_sqlserver(spark: SparkSession, d: str) -> DataFrame:
+    return parse.anonymize_plans(_read(spark, d, _literal(SQLSERVER_PLAN)[0]))
+
+
+@query(_literal(ORACLE_PLAN)[1].replace("R%s", "table1").replace("(C=", "(col2="))
+def plan_parse_oracle(spark: SparkSession, d: str) -> DataFrame:
+    return parse.anonymize_plans(_read(spark, d, _literal(ORACLE_PLAN)[0]))
