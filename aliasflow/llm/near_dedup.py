@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, id_key, shares, stored, table
+from .common import NO_ID, UPPER, id_key, shares, stored, table
 from .components import components
 from .wordprints import LOWER, Hasher, U, Words, each, mix
 
@@ -269,6 +269,22 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(real("key").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), (F.col("key") == F.col("component_id")).alias("kept"))
 
 
+ORACLE = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT id, b FROM r JOIN e ON reached = a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(reached) AS component_id, min(reached) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.id = d.doc_id GROUP BY d.doc_id, n
+"""
+
+
 def brute_force(docs: list[tuple[int, str | None]], size: int = 5, percent: int = 75) -> list[tuple[int, int, int, bool]]:
     """All pairs by their words, for small inputs."""
     sets = {}

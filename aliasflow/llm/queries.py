@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, warc
+from . import decontaminate, mixing, near_dedup, substring_dedup, warc
 from .ann import op2_ivf_pq
 from .decontaminate import op3_decontamination
 from .html_extract import op5_html_extraction
@@ -39,6 +39,8 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontamination": decontaminate.ORACLE,
         "op5_html_extraction": op5_html_extraction,
         "op6_toxicity": op6_toxicity,
+        "op4_substring_dedup": substring_dedup.ORACLE,
         "op7_source_mixing": mixing.ORACLE,
         "op8_warc": warc.ORACLE,
+        "op9_minhash_near_dedup": near_dedup.ORACLE,
     }
