@@ -42,6 +42,9 @@ def features(w: Words, hasher: Hasher) -> np.ndarray:
 
 @dataclass
 class Model:
+    """The weights other than zero, the features they belong to, and the thresholds."""
+
+    at: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
@@ -77,23 +80,27 @@ def _descend(of: np.ndarray, doc: np.ndarray, width: int, grade: np.ndarray, sha
 
 def fit_ordinal(rows: list[np.ndarray], grade: np.ndarray, weight: np.ndarray, grades: int, l1: float = 3e-4, again: float = 2e-5, steps: int = 300) -> Model:
     """Select features by a strong penalty ``l1``, then fit those selected with a weak one."""
-    seen, of = np.unique(np.concatenate(rows), return_inverse=True)
-    doc = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
     share = weight / weight.sum()
     # screening: features more frequent in grades above 0 than chance makes them, that occur at least four times
-    toxic = (grade > 0).astype(float)
-    hits, n = np.bincount(of, toxic[doc], len(seen)), np.bincount(of, minlength=len(seen))
-    rate = toxic.mean()
-    keep = (n >= 4) & (hits - n * rate > 3 * np.sqrt(n * rate * (1 - rate) + 1e-9))
+    hits, n = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for x, g in zip(rows, grade, strict=True):  # the features of a row are distinct
+        n[x] += 1
+        hits[x] += g > 0
+    rate = (grade > 0).mean()
+    seen = np.flatnonzero((n >= 4) & (hits - n * rate > 3 * np.sqrt(n * rate * (1 - rate) + 1e-9)))
+    del hits, n
+    place = np.full(1 << BITS, -1, np.int32)
+    place[seen] = np.arange(len(seen))
+    found = [place[x] for x in rows]
+    found = [x[x >= 0] for x in found]
+    doc, of, keep = np.repeat(np.arange(len(rows)), [len(x) for x in found]), np.concatenate(found), np.ones(len(seen), bool)
     thresholds = weights = None
     for penalty in (l1, again):
         some = keep[of]
         of, doc, seen = (np.cumsum(keep) - 1)[of[some]], doc[some], seen[keep]
         weights, thresholds = _descend(of, doc, len(seen), grade, share, grades, penalty, steps)
         keep = weights != 0
-    dense = np.zeros(1 << BITS, np.float32)
-    dense[seen] = weights
-    return Model(dense, thresholds)
+    return Model(seen[keep], weights[keep].astype(np.float32), thresholds)
 
 
 def _featuriser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,6 +113,33 @@ def _featuriser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *(pa.array(y, pa.binary()) for y in zip(*out, strict=True))], ["toxic", "distinct", "words"])
 
 
+def _fitter(counts: dict[int, int], grades: int):
+    """Fit the sample that arrives in one task; nothing comes out of it if it holds one label only."""
+
+    def fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, rows, words = [], [], []
+        for batch in _featuriser(batches):
+            labels += batch.column("toxic").to_pylist()
+            rows += [np.frombuffer(x, np.uint32) for x in batch.column("distinct").to_pylist()]
+            words += [np.frombuffer(x, np.uint32) for x in batch.column("words").to_pylist()]
+        toxic = np.array(labels, np.int64)
+        if len(set(labels)) < 2:
+            return
+        # words telling of toxicity: at least ten times as frequent, by documents, among the toxic
+        seen = np.zeros((2, 1 << BITS), np.float32)
+        for x, y in zip(words, toxic, strict=True):
+            seen[y, np.unique(x)] += 1
+        telling = (seen[1] >= 3) & (seen[1] / (toxic == 1).sum() >= 10 * seen[0] / (toxic == 0).sum())
+        told = np.array([telling[np.unique(x)].sum() for x in words])
+        grade = toxic
+        if grades > 2:
+            grade = np.where((toxic > 0) & (told > np.median(told[toxic > 0])), 2, grade)
+        model = fit_ordinal(rows, grade, np.array([counts[k] / (toxic == k).sum() for k in labels]), grades)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.at.astype(np.int64), model.weights, model.thresholds.astype(float))], ["at", "weights", "thresholds"])
+
+    return fit_sample
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, grades: int = 3, text: str = "text", key: str = "doc_id") -> Model | None:
     marked = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(key).alias("k")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = marked.join(docs.select(F.col(key).alias("k")), "k", "left_semi")
@@ -117,21 +151,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, grades: int = 3,
         some = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("k"), "k").limit(sample)
         picked = some if picked is None else picked.union(some)
     texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), "k").select("k", "toxic", "text").orderBy("k").limit(2 * sample).select("toxic", "text")
-    found = texts.mapInArrow(_featuriser, "toxic int, distinct binary, words binary").toArrow()
-    toxic = found.column("toxic").to_numpy()
-    if len(set(toxic)) < 2:
+    # the sample is bounded, and so is the one task that fits it; a few hundred weights come back
+    found = texts.repartition(1).mapInArrow(_fitter(counts, grades), "at binary, weights binary, thresholds binary").first()
+    if found is None:
         return None
-    rows = [np.frombuffer(x, np.uint32).astype(np.int64) for x in found.column("distinct").to_pylist()]
-    words = [np.frombuffer(x, np.uint32) for x in found.column("words").to_pylist()]
-    # words telling of toxicity: at least ten times as frequent, by documents, among the toxic
-    seen = [np.bincount(np.concatenate([np.unique(x) for x, y in zip(words, toxic, strict=True) if y == k] or [np.zeros(0, int)]), minlength=1 << BITS) / max(1, (toxic == k).sum()) for k in (0, 1)]
-    telling = (seen[1] * (toxic == 1).sum() >= 3) & (seen[1] >= 10 * seen[0])
-    told = np.array([telling[np.unique(x)].sum() for x in words])
-    grade = toxic.astype(np.int64)
-    if grades > 2:
-        grade = np.where((toxic > 0) & (told > np.median(told[toxic > 0])), 2, grade)
-    weight = np.array([counts[k] / (toxic == k).sum() for k in toxic])
-    return fit_ordinal(rows, grade, weight, grades)
+    return Model(np.frombuffer(found.at, np.int64), np.frombuffer(found.weights, np.float32), np.frombuffer(found.thresholds, np.float64))
 
 
 def _scorer(weights: np.ndarray, at: np.ndarray, thresholds: np.ndarray):
@@ -159,9 +183,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 3000, grades: int
     model = fit(docs, labels, sample, grades, text, key)
     if model is None:
         return docs.select(*(F.col(f"`{x}`") for x in rest), F.lit(0.0).alias("severity"), F.lit(0).cast("long").alias("grade"), F.lit(0.0).alias("p_toxic"))
-    at = np.flatnonzero(model.weights)
     schema = T.StructType([whole.schema["row"], *T.StructType.fromDDL("severity double, grade long, p_toxic double")])
-    return whole.mapInArrow(_scorer(model.weights[at], at, model.thresholds), schema).select("row.*", *added)
+    return whole.mapInArrow(_scorer(model.weights, model.at, model.thresholds), schema).select("row.*", *added)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
