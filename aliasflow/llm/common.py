@@ -21,6 +21,11 @@ def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
 
+def text_hash(column: str = "text") -> Column:
+    """Tells apart the texts of rows that share a doc_id, or have none."""
+    return F.xxhash64(F.col(column).cast("string"))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

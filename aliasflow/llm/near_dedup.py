@@ -15,9 +15,10 @@
 
 * A text that is null or has no words has an empty set and is linked with nothing; with fewer words than a shingle,
   the whole sequence is the one shingle.
-* Rows that share doc_id are one document given more than once (the first in any order counts if texts differ).  A
-  null doc_id stands for the largest possible one, so it is kept only where it stands alone.
-* Shingles are compared by 64-bit fingerprints.
+* Rows that share doc_id and text are one document given more than once; different texts under one doc_id, or without
+  one, are documents of their own.  A null doc_id comes after all others.  Of a component the document with the
+  smallest doc_id stays, and of those that share it the one with the smallest hash of its text.
+* Shingles, sets and texts are compared by 64-bit fingerprints.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, UPPER, id_key, shares, stored, table
+from .common import NO_ID, UPPER, id_key, shares, stored, table, text_hash
 from .components import components
 from .wordprints import LOWER, Hasher, U, Words, each, mix
 
@@ -61,7 +62,7 @@ def _sketcher(size: int, rows: int, seed: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, runs = Hasher(1), Hasher(5)
         for batch in batches:
-            for low, high, w in each(batch.column(1), case=LOWER):
+            for low, high, w in each(batch.column(2), case=LOWER):
                 h, text = shingles(w, words, runs, size)
                 cut = np.searchsorted(text, np.arange(high - low + 1))
                 n = np.diff(cut)
@@ -74,8 +75,8 @@ def _sketcher(size: int, rows: int, seed: int):
                         sig[full, i] = np.minimum.reduceat(h * times[i], at) >> U(32)
                     f1[full], f2[full] = np.add.reduceat(mix(h, 77), at), np.bitwise_xor.reduceat(mix(h, 99), at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary())],
-                    ["key", "n", "f1", "f2", "sig"],
+                    [*(batch.column(i).slice(low, high - low) for i in (0, 1)), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary())],
+                    ["key", "same", "n", "f1", "f2", "sig"],
                 )
 
     return sketch
@@ -228,20 +229,24 @@ def _matcher(percent: int):
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, miss: float = 1e-5, seed: int = 17, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document: key, n_shingles and component_id, the smallest key it can reach by links of ``percent`` or more."""
+    """Per row: key, same (a hash of the text), n_shingles, component_id (the smallest key that it can reach by links of
+    ``percent`` or more) and stays, which holds for one text under one key in each component."""
     spark = docs.sparkSession
-    texts = docs.select(id_key(key).alias("key"), F.col(text).cast("string").alias("text"))
-    sketches = stored(texts.mapInArrow(_sketcher(size, bands * rows, seed), "key long, n long, f1 long, f2 long, sig binary"), "sketches")
-    classes = sketches.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("key").alias("rep"))
-    members = sketches.select("key", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left").select("key", "n", F.coalesce("rep", "key").alias("rep"))
-    reps = classes.select(F.col("rep").alias("key")).join(sketches.select("key", "sig"), "key").dropDuplicates(["key"])
-    banded = reps.select("key", F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 4 * rows * i + 1, 4 * rows)) for i in range(bands)))).alias("band"))
-    firsts = banded.groupBy("band").agg(F.min("key").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
+    texts = docs.select(id_key(key).alias("key"), text_hash(text).alias("same"), F.col(text).cast("string").alias("text"))
+    sketches = stored(texts.mapInArrow(_sketcher(size, bands * rows, seed), "key long, same long, n long, f1 long, f2 long, sig binary"), "sketches")
+    sketches = sketches.withColumn("id", F.when(F.col("n") > 0, F.xxhash64("f1", "f2", "n")).otherwise(F.xxhash64("key", "same")))
+    classes = stored(sketches.where("n > 0").groupBy("id").agg(F.min(F.struct("key", "same")).alias("rep")), "classes")
+    chosen = classes.select("id", "rep.key", "rep.same")
+    reps = chosen.join(sketches.select("key", "same", "sig"), ["key", "same"]).select(F.col("id").alias("key"), F.col("key").alias("doc"), "sig").dropDuplicates(["key"])
+    banded = reps.select("key", "doc", F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 4 * rows * i + 1, 4 * rows)) for i in range(bands)))).alias("band"))
+    firsts = banded.groupBy("band").agg(F.min_by("key", "doc").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
     buckets = stored(banded.join(firsts, "band").select("band", "a", F.col("key").alias("b")), "buckets")
-    pairs = buckets.where("a < b").select("a", "b").distinct()
+    pairs = buckets.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     signed = pairs.join(reps.select(F.col("key").alias("a"), F.col("sig").alias("x")), "a").join(reps.select(F.col("key").alias("b"), F.col("sig").alias("y")), "b")
     likely = signed.select("a", "b", "x", "y").mapInArrow(_pruner(bands * rows, percent / 100, miss), "a long, b long")
-    near = stored(texts.where("text is not null").join(buckets.select(F.col("b").alias("key")).distinct().hint("shuffle_hash"), "key").dropDuplicates(["key"]), "near")
+    chosen = chosen.join(buckets.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
+    near = texts.where("text is not null").join(chosen.hint("shuffle_hash"), ["key", "same"])
+    near = stored(near.select(F.col("id").alias("key"), "text").dropDuplicates(["key"]), "near")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(near.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").join(near.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
@@ -259,14 +264,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     entries = rest.mapInArrow(_prefixer(size, percent, shares(rest, 2), spark.sparkContext.broadcast(counters.tobytes())), "part int, entries binary")
     pairs = entries.groupBy("part").applyInArrow(_matcher(percent), "a long, b long").distinct()
     more = stored(verified(pairs), "links")
-    found = components(links.union(more)).withColumnRenamed("id", "rep")
-    return members.join(found, "rep", "left").select(F.col("key").alias("key"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    found = classes.join(components(links.union(more)), "id", "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
+    firsts = found.groupBy("component").agg(F.min("rep").alias("first"))
+    out = sketches.select("id", "key", "same", "n").join(found.join(firsts, "component").select("id", "first"), "id", "left")
+    first = F.when(F.col("n") > 0, F.col("first")).otherwise(F.struct("key", "same"))
+    return out.select("key", "same", F.col("n").alias("n_shingles"), first["key"].alias("component_id"), (first == F.struct("key", "same")).alias("stays"))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(real("key").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), (F.col("key") == F.col("component_id")).alias("kept"))
+    return out.select(real("key").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), F.col("stays").alias("kept"))
 
 
 ORACLE = rf"""

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aliasflow.llm.common import id_key, stored, table
+from aliasflow.llm.common import id_key, stored, table, text_hash
 from aliasflow.llm.decontaminate import decontaminate
 from aliasflow.llm.mixing import mix
 from aliasflow.llm.near_dedup import near_duplicates
@@ -26,10 +26,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays, once."""
-    kept = near_duplicates(docs).where("key = component_id").select("key").distinct()
-    keyed = docs.withColumn("key", id_key())
-    return keyed.join(kept.hint("shuffle_hash"), "key").dropDuplicates(["key"]).select(docs.columns)
+    """Of each component of near-duplicates the document with the smallest id stays, once; texts that share an id, or
+    have none, are documents of their own."""
+    kept = near_duplicates(docs).where("stays").select("key", "same").distinct()
+    keyed = docs.withColumn("key", id_key()).withColumn("same", text_hash())
+    return keyed.join(kept.hint("shuffle_hash"), ["key", "same"]).dropDuplicates(["key", "same"]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
