@@ -7,8 +7,10 @@ packed as well, to the buckets of their documents, where overlapping windows mer
 remove.
 
 * A null text has no words.  A text of fewer than ``size`` words has no window and loses nothing.
-* Rows that share doc_id are one document given more than once: an occurrence at the same start is the same
-  occurrence, and each row gets its own result.  A null doc_id comes after all others.
+* Rows that share doc_id and text are one document given more than once: an occurrence at the same start is the same
+  occurrence, and each row gets its own result.  Different texts under one doc_id, or without one, are documents of
+  their own, in order of a hash of the text that is their second key; a null doc_id comes after all others.  Windows
+  carry the hash only where a table of bits of fixed size says that it may be needed.
 * Other columns, whatever their names, are kept by :func:`substring_dedup` unless they bear a name it adds.
 * Windows are equal if their 64-bit fingerprints and the parts that an independent one deals them to are; as parts
   grow in number with the input, false matches stay improbable: n * n / 2**65 / parts for n windows.
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_key, shares, table
+from .common import NO_ID, id_key, shares, table, text_hash
 from .wordprints import Hasher, U, each, mix
 
 #: Windows that a task holds before it deals them out.
 HELD = 1_500_000
-PACKED = "part int, h binary, docs binary, starts binary"
+PACKED = "part int, h binary, docs binary, sames binary, starts binary"
+#: Bits of the table of ids that stand for more than one text, and of one of the bitmaps it is made of.
+SLOTS, BITMAP = 1 << 23, 1 << 15
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -45,63 +49,80 @@ def _unplanes(x: bytes, kind: type) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(size, -1).T).view(kind).ravel(), dtype=kind)
 
 
-def _bucket(doc: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(doc.astype(np.int64).view(U)) % U(parts)).astype(np.int32)
+def _bucket(doc: np.ndarray, same: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(doc.view(U) ^ mix(same.view(U), 5)) % U(parts)).astype(np.int32)
 
 
-def _packed(to: np.ndarray, parts: int, doc: np.ndarray, pos: np.ndarray, h: np.ndarray | None = None) -> Iterator[tuple]:
-    """Windows in order of document and start, as one row for each part they go to."""
+def _order(doc: np.ndarray, same: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    return np.lexsort((pos, same, doc) if same.any() else (pos, doc))
+
+
+def _packed(to: np.ndarray, parts: int, doc: np.ndarray, same: np.ndarray, pos: np.ndarray, h: np.ndarray | None = None) -> Iterator[tuple]:
+    """Windows in order of document and start, as one row for each part they go to; no hash is written where all are 0."""
     order = np.argsort(to, kind="stable")
     cut = np.searchsorted(to[order], np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(cut)):
         own = order[cut[p] : cut[p + 1]]
-        begin = np.flatnonzero(np.diff(doc[own], prepend=doc[own[0]] - 1))
+        new = np.ones(len(own), bool)
+        new[1:] = (doc[own[1:]] != doc[own[:-1]]) | (same[own[1:]] != same[own[:-1]])
+        begin = np.flatnonzero(new)
         ids = np.stack([doc[own[begin]], np.diff(begin, append=len(own))])
-        yield int(p), None if h is None else h[own].tobytes(), _planes(ids.ravel()), _planes(pos[own].astype(np.uint32))
+        hashes = same[own[begin]]
+        yield int(p), None if h is None else h[own].tobytes(), _planes(ids.ravel()), _planes(hashes) if hashes.any() else b"", _planes(pos[own].astype(np.uint32))
 
 
-def _unpacked(docs: bytes, starts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(*_unplanes(docs, np.int64).reshape(2, -1)), _unplanes(starts, np.uint32)
+def _unpacked(docs: bytes, sames: bytes, starts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, n = _unplanes(docs, np.int64).reshape(2, -1)
+    hashes = _unplanes(sames, np.int64) if sames else np.zeros(len(ids), np.int64)
+    return np.repeat(ids, n), np.repeat(hashes, n), _unplanes(starts, np.uint32)
 
 
-def _later(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Whether a window comes after an equal one; h, doc and pos must be in order of document and start."""
+def _later(h: np.ndarray, doc: np.ndarray, same: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Whether a window comes after an equal one; all must be in order of document and start."""
     order = np.argsort(h, kind="stable")
-    h, doc, pos = h[order], doc[order], pos[order]
+    h, doc, same, pos = h[order], doc[order], same[order], pos[order]
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
     first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
     later = np.empty(len(h), bool)
-    later[order] = (doc != doc[first]) | (pos != pos[first])
+    later[order] = (doc != doc[first]) | (same != same[first]) | (pos != pos[first])
     return later
 
 
-def _dealer(size: int, parts: int):
+def _keys(batch: pa.RecordBatch, shared: np.ndarray, at: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The two keys of each document from its columns key, same and slot: the hash is 0 where the id has but one text."""
+    key, same, slot = (batch.column(at + i).to_numpy(zero_copy_only=False) for i in range(3))
+    needed = (key == NO_ID) | ((shared[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+    return key.astype(np.int64), np.where(needed, same, 0).astype(np.int64)
+
+
+def _dealer(size: int, parts: int, shared):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, runs, other = Hasher(1), Hasher(11), Hasher(21)
+        bits = np.frombuffer(shared.value, np.uint8)
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, to, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, to, doc, same, pos = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((pos, doc))
-            h, to, doc, pos = h[order], to[order], doc[order], pos[order]
-            later = _later(h ^ to.astype(U), doc, pos)
-            lost, kept = doc[later], ~later
-            rows = [*_packed(_bucket(lost, parts), parts, lost, pos[later]), *_packed(to[kept], parts, doc[kept], pos[kept], h[kept])]
+            order = _order(doc, same, pos)
+            h, to, doc, same, pos = h[order], to[order], doc[order], same[order], pos[order]
+            later = _later(h ^ to.astype(U), doc, same, pos)
+            lost, hashes, kept = doc[later], same[later], ~later
+            rows = [*_packed(_bucket(lost, hashes, parts), parts, lost, hashes, pos[later]), *_packed(to[kept], parts, doc[kept], same[kept], pos[kept], h[kept])]
             for low in range(0, len(rows), 64):
                 part, *rest = zip(*rows[low : low + 64], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in rest)], ["part", "h", "docs", "starts"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in rest)], ["part", "h", "docs", "sames", "starts"])
 
         count = 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for low, _, w in each(batch.column(1)):
+            ids, sames = _keys(batch, bits)
+            for low, _, w in each(batch.column(3)):
                 first, text = w.windows(size)
                 if not len(first):
                     continue
                 f = words.of_words(w.data, w.start, w.end)
-                held.append((runs.of_runs(f, first, size), (other.of_runs(f, first, size) % U(parts)).astype(np.int32), ids[low + text], first - w.bounds[text]))
+                held.append((runs.of_runs(f, first, size), (other.of_runs(f, first, size) % U(parts)).astype(np.int32), ids[low + text], sames[low + text], first - w.bounds[text]))
                 count += len(first)
                 if count >= HELD:
                     yield from flush()
@@ -116,31 +137,34 @@ def _judge(parts: int):
     def judge(group: pa.Table) -> pa.Table:
         """Of all windows of one part, those that come later, by buckets of documents; what tasks found before passes through."""
         found, held = [], []
-        for part, h, docs, starts in zip(*(x.to_pylist() for x in group.columns), strict=True):
+        for part, h, *rest in zip(*(x.to_pylist() for x in group.columns), strict=True):
             if h is None:
-                found.append((part, docs, starts))
+                found.append((part, *rest))
             else:
-                held.append((np.frombuffer(h, np.uint64), *_unpacked(docs, starts)))
+                held.append((np.frombuffer(h, np.uint64), *_unpacked(*rest)))
         if held:
-            h, doc, pos = map(np.concatenate, zip(*held, strict=True))
+            h, doc, same, pos = map(np.concatenate, zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((pos, doc))
-            h, doc, pos = h[order], doc[order], pos[order]
-            later = _later(h, doc, pos)
-            found += [(p, docs, starts) for p, _, docs, starts in _packed(_bucket(doc[later], parts), parts, doc[later], pos[later])]
-        to, docs, starts = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table({"bucket": pa.array(to, pa.int32()), "docs": pa.array(docs, pa.binary()), "starts": pa.array(starts, pa.binary())})
+            order = _order(doc, same, pos)
+            h, doc, same, pos = h[order], doc[order], same[order], pos[order]
+            later = _later(h, doc, same, pos)
+            doc, same, pos = doc[later], same[later], pos[later]
+            found += [(p, *rest) for p, _, *rest in _packed(_bucket(doc, same, parts), parts, doc, same, pos)]
+        to, *rest = zip(*found, strict=True) if found else ((), (), (), ())
+        return pa.Table.from_arrays([pa.array(to, pa.int32()), *(pa.array(x, pa.binary()) for x in rest)], ["bucket", "docs", "sames", "starts"])
 
     return judge
 
 
-def _squeeze(parts: int):
+def _squeeze(parts: int, shared):
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts compressed after their length, and the buckets of the documents."""
+        """Texts compressed after their length, and the keys and buckets of the documents."""
+        bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            raw = [(x or "").encode() for x in batch.column(2).to_pylist()]
+            key, same = _keys(batch, bits, 1)
+            raw = [(x or "").encode() for x in batch.column(4).to_pylist()]
             text = pa.array([len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], text, pa.array(_bucket(batch.column(1).to_numpy(), parts))], ["row", "key", "text", "bucket"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), pa.array(same), text, pa.array(_bucket(key, same, parts))], ["row", "key", "same", "text", "bucket"])
 
     return squeeze
 
@@ -148,14 +172,18 @@ def _squeeze(parts: int):
 def _remover(size: int, names: list[str]):
     def remove(docs: pa.Table, found: pa.Table) -> pa.Table:
         """Of one bucket of documents: merge windows into intervals and cut them out."""
-        held = [_unpacked(*x) for x in zip(found.column("docs").to_pylist(), found.column("starts").to_pylist(), strict=True)]
-        doc, pos = map(np.concatenate, zip(*held, strict=True)) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        order = np.argsort(doc, kind="stable")
-        doc, pos = doc[order], pos[order].astype(np.int64)
+        held = [_unpacked(*x) for x in zip(*(found.column(c).to_pylist() for c in ("docs", "sames", "starts")), strict=True)]
+        doc, same, pos = map(np.concatenate, zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((same, doc))
+        doc, same, pos = doc[order], same[order], pos[order].astype(np.int64)
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (same[1:] != same[:-1])
+        begin = np.flatnonzero(new)
+        where = dict(zip(zip(doc[begin].tolist(), same[begin].tolist(), strict=True), np.split(pos, begin[1:]), strict=False))
         kept, removed, n, spans = [], [], [], []
-        for key, text in zip(docs.column("key").to_pylist(), docs.column("text").to_pylist(), strict=True):
+        for key, hashed, text in zip(*(docs.column(c).to_pylist() for c in ("key", "same", "text")), strict=True):
             own = pa.decompress(text[8:], int.from_bytes(text[:8], "little"), "zstd", asbytes=True).split()
-            at = pos[np.searchsorted(doc, key) : np.searchsorted(doc, key, "right")]
+            at = where.get((key, hashed), pos[:0])
             at = at[at + size <= len(own)]
             out = np.bincount(at, minlength=len(own) + 1) - np.bincount(at + size, minlength=len(own) + 1)
             gone = np.cumsum(out) > 0
@@ -170,17 +198,29 @@ def _remover(size: int, names: list[str]):
     return remove
 
 
+def _shared_ids(texts: DataFrame) -> bytes:
+    """A bit for each slot of an id that stands for more than one text; an id that shares its slot only carries a hash too many."""
+    several = texts.where(F.col("key") != NO_ID).groupBy("key", "slot").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a < b")
+    bits = np.zeros(SLOTS // 8, np.uint8)
+    marked = several.groupBy(F.expr(f"slot div {BITMAP}").alias("at")).agg(F.bitmap_construct_agg(F.expr(f"slot % {BITMAP}").cast("long")).alias("bits"))
+    for row in marked.collect():  # SLOTS / BITMAP rows of fixed size
+        bits[row["at"] * BITMAP // 8 : (row["at"] + 1) * BITMAP // 8] = np.frombuffer(row.bits, np.uint8)
+    return bits.tobytes()
+
+
 def substring_dedup(docs: DataFrame, size: int = 20, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without its text, with n_words, n_removed, kept_text and removed (intervals of words, end exclusive)."""
     parts = shares(docs, 5)
-    keyed = docs.select(id_key(key).alias("k"), F.col(text).cast("string").alias("t"))
-    found = keyed.mapInArrow(_dealer(size, parts), PACKED).groupBy("part").applyInArrow(_judge(parts), "bucket int, docs binary, starts binary")
+    keys = [id_key(key).alias("key"), text_hash(text).alias("same"), F.pmod(F.xxhash64(id_key(key)), F.lit(SLOTS)).alias("slot")]
+    shared = docs.sparkSession.sparkContext.broadcast(_shared_ids(docs.select(*keys)))
+    keyed = docs.select(*keys, F.col(text).cast("string").alias("t"))
+    found = keyed.mapInArrow(_dealer(size, parts, shared), PACKED).groupBy("part").applyInArrow(_judge(parts), "bucket int, docs binary, sames binary, starts binary")
     added = ["n_words", "n_removed", "kept_text", "removed"]
     rest = [x for x in docs.columns if x not in (text, *added)]
-    whole = docs.select(F.struct(*(F.col(f"`{x}`") for x in rest)).alias("row"), id_key(key).alias("key"), F.col(text).cast("string").alias("text"))
-    squeezed = T.StructType([*whole.schema.fields[:2], T.StructField("text", T.BinaryType()), T.StructField("bucket", T.IntegerType())])
+    whole = docs.select(F.struct(*(F.col(f"`{x}`") for x in rest)).alias("row"), *keys, F.col(text).cast("string").alias("text"))
+    squeezed = T.StructType([*whole.schema.fields[:3], T.StructField("text", T.BinaryType()), T.StructField("bucket", T.IntegerType())])
     schema = T.StructType([whole.schema["row"], *T.StructType.fromDDL("n_words long, n_removed long, kept_text string, removed array<struct<start: long, end: long>>")])
-    whole = whole.mapInArrow(_squeeze(parts), squeezed)
+    whole = whole.mapInArrow(_squeeze(parts, shared), squeezed)
     out = whole.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_remover(size, ["row", *added]), schema)
     return out.select("row.*", *added)
 
