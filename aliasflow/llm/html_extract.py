@@ -3,10 +3,12 @@
 A page becomes a sequence of words and tags.  Every kind has a weight, learned from labelled pages: words score
 positive, tags negative (each weight is a log-odds of lying in content, held to its sign).  One linear scan finds the
 contiguous run of greatest total score.  Of its text, what stands in elements that are boilerplate by their tag, or by
-a word of their class, id or role, is left out, as are scripts, styles, comments and forms.
+a word of their class, id or role, is left out, as are scripts, styles, comments and forms; such elements, with all that
+they hold, weigh nothing, so that long ones do not part an article.
 
 * A null or empty html, and a page without words, give an empty text.  Of equally good runs the first wins.
-* Unclosed elements end with the element around them, or with the page; stray end tags are ignored.
+* Unclosed elements end with the element around them, or with the page; stray end tags are ignored.  A head goes as far
+  as its end tag or the body; without either, only what is no text wherever it stands (title, scripts, styles) goes.
 * Character references are decoded; white space inside a block, in the sense of Unicode, becomes one space; blocks
   are joined by one space.  Inline tags separate nothing.
 """
@@ -28,9 +30,9 @@ from pyspark.sql import types as T
 from .common import table
 from .html_pages import labelled_pages
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|title|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-#: Ahead of TOKEN: the page's head as far as it goes, whatever it holds.
-HEAD = re.compile(r"\A(?:\s|<!doctype[^>]*>|<!--.*?-->)*(?:<html\b[^>]*>)?\s*<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+#: Where the page's head ends, whatever it holds.
+HEAD_END = re.compile(r"</head\s*>|(?=<body\b)", re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var wbr".split())
@@ -56,21 +58,25 @@ def _marked(attributes: str) -> bool:
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """(kind, text, in boilerplate) for every tag and every run of text; kinds of text are word and link."""
-    if head := HEAD.match(page):
-        page = page[head.end() :]
     stack: list[tuple[str, bool]] = []
     inside = links = at = 0
+    ends = True
 
     def said(raw: str) -> Iterator[tuple[str, str, bool]]:
         if raw:
             yield "link" if links else "word", html.unescape(raw), inside > 0
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         yield from said(page[at : m.start()])
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
             continue
+        if name == "head" and not m[2]:
+            ends = HEAD_END.search(page, at) if ends else None  # none after this one is none after the next
+            at = ends.end() if ends else at
+            continue
+        bad = False
         if m[2]:
             if any(x == name for x, _ in stack):
                 while stack:
@@ -89,7 +95,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                 inside += bad
                 links += name == "a"
             kind = "boiler" if bad else "begin"
-        yield (kind if kind == "boiler" else "inline" if name in INLINE or name == "br" else "article" if name in ARTICLE else "item" if name in ("li", "ul", "ol") else "block"), name if name not in INLINE else "", inside > 0
+        yield (kind if kind == "boiler" else "inline" if name in INLINE or name == "br" else "article" if name in ARTICLE else "item" if name in ("li", "ul", "ol") else "block"), name if name not in INLINE else "", bad or inside > 0
     yield from said(page[at:])
 
 
@@ -100,7 +106,8 @@ def weights() -> dict[str, float]:
     for page in labelled_pages():
         for piece, content in page:
             for kind, text, inside in tokens(piece):
-                count[content][f"boiled {kind}" if inside and kind in ("word", "link") else kind] += len(text.split()) if kind in ("word", "link") else 1
+                if not (inside and kind in ("word", "link")):
+                    count[content][kind] += len(text.split()) if kind in ("word", "link") else 1
     out = {}
     for kind in sorted({*count[True], *count[False]}):
         odds = math.log((count[True][kind] + 0.5) / (count[False][kind] + 0.5))
@@ -113,10 +120,8 @@ def extract(page: str, weight: dict[str, float] | None = None) -> str:
     best = score = 0.0
     begin, span, all_ = 0, (0, 0), list(tokens(page))
     for i, (kind, text, inside) in enumerate(all_):
-        if kind in ("word", "link"):
-            score += weight.get(f"boiled {kind}" if inside else kind, -0.1) * len(text.split())
-        else:
-            score += weight.get(kind, -0.1)
+        if not inside:
+            score += weight.get(kind, -0.1) * (len(text.split()) if kind in ("word", "link") else 1)
         if score <= 0:
             score, begin = 0.0, i + 1
         elif score > best:
