@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 
@@ -27,7 +29,13 @@ def text_hash(column: str = "text") -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z in lower case and nothing else; the engine's own ``lower`` is far faster, and the same where no other letter has a case to lose."""
+    return F.when(text.rlike(r"[\p{IsUppercase}\p{Lt}&&[^\x00-\x7F]]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+
+
+def split_words(text: Column, between: str) -> Column:
+    """The words that runs of ``between`` separate; a split reads a text once, where extracting all matches copies it for each."""
+    return F.array_remove(F.split(text, between), "")
 
 
 def partitions(spark: SparkSession) -> int:
@@ -40,20 +48,34 @@ def input_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def shares(df: DataFrame, mb: float = 16.0) -> int:
-    """Into how many parts to deal work on ``df``: at least the session's shuffle partitions, and one for each ``mb`` of input."""
-    return max(partitions(df.sparkSession), min(1_000_000, int(input_bytes(df) / (mb * 1e6)) + 1))
+def shares(df: DataFrame, mb: float = 16.0, row: float = 0.0) -> int:
+    """Into how many parts to deal work on ``df``: at least the session's shuffle partitions, and one for each ``mb`` of input.
+
+    Where blocks send a packed row to every part, as many blocks as parts make rows by the square of the input.  There,
+    blocks and parts grow as well, with the square root of the input, so that a row stands for ``row`` bytes of it or more:
+    rows then grow as the input does, and a hundred TB are some million parts of a hundred MB.
+    """
+    size, least = input_bytes(df), partitions(df.sparkSession)
+    if size >= 1 << 60:  # of a frame made from memory nothing is known
+        return least
+    return max(least, int(size / max(mb * 1e6, math.sqrt(size * row))) + 1)
+
+
+def scan_number(df: DataFrame) -> Column:
+    """The number of the task that reads a row, where each reading of ``df`` deals rows out to tasks alike: not behind a shuffle."""
+    return F.spark_partition_id() if "Exchange" not in df._jdf.queryExecution().executedPlan().toString() else F.lit(0)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, as in tests, a temporary one is set."""
+    """The folder that spark.checkpoint.dir names; where it is unset and all runs in one process, as in tests, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if (had := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         return had.get().rstrip("/")
-    folder = tempfile.mkdtemp(prefix="aliasflow-")
-    spark.sparkContext.setCheckpointDir(folder)
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="aliasflow-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 

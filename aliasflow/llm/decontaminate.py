@@ -2,29 +2,37 @@
 
 Words are maximal runs of a-z, 0-9 and non-ASCII characters after A-Z are lower-cased.  The windows of an item are its
 runs of ``size`` consecutive words; an item of fewer words, but not none, is one window.  A scan over each document's
-words looks up a hash of three words of every window in the set of test windows, and only those found are joined with
-the windows themselves, which verifies them word by word.
+words looks up a hash of three words of every window in the set of test windows.  Only windows found there, of the few
+documents that hold any, are joined with the windows themselves, which verifies them word by word.
 
-* The set and the broadcast hold the benchmark only.  Its windows are counted first: beyond ``most_windows`` all
-  windows of the documents are joined by a shuffle instead, with the same result.
+* The set holds the benchmark's hashes only: up to ``most_windows`` of them as they are, and more as a table of bits of
+  fixed size.  The windows are broadcast for the join only if they and their items take ``most_bytes`` or less.  Neither
+  changes the result.
 * A null text has no words: such a document has no hit, such an item no window.  A null item_id counts as ''.
-* Rows of equal key and text give one row; different texts under one key give a row each.
+* Each row of the documents gives one row, whatever its key: a row is told by its key, which may be null, and its text.
+* Columns of documents that bear other names than key and text are not read by :func:`contamination`, and are kept, as
+  are key and text, by :func:`decontaminate`.  An empty benchmark or no documents give no hit or no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, table
+from .common import LOWER, UPPER, ascii_lower, split_words, stored, table, text_hash
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before lower-casing.
+#: What lies between words after lower-casing, and before it.
+BETWEEN, CASED_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bits of the table that stands for hashes beyond the exact set.
+SLOTS = 1 << 23
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
+    return split_words(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), BETWEEN)
 
 
 def _probe(words: Column, at: Column, length: int) -> Column:
@@ -36,14 +44,32 @@ def _starts(words: Column, length: int) -> Column:
     return F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
 
 
-def _hits(words: Column, length: int, known: list[int] | None) -> Column:
-    """The windows of a document whose probes are known, or all of them."""
-    starts = _starts(words, length)
-    if known is not None:
-        starts = F.filter(starts, lambda i: _probe(words, i, length).isin(known))
+def _hits(words: Column, length: int, known: Callable[[Column], Column]) -> Column:
+    """The windows of a document whose probes are known."""
+    starts = F.filter(_starts(words, length), lambda i: known(_probe(words, i, length)))
     return F.transform(starts, lambda i: F.struct(i.alias("i"), F.lit(length).alias("length"), F.array_join(F.slice(words, i, length), " ").alias("gram")))
 
 
+def _known(windows: DataFrame, most_windows: int) -> dict[int, Callable[[Column], Column]]:
+    """For each length of window: whether a probe is in the set."""
+    lengths = [r.length for r in windows.select("length").distinct().orderBy("length").collect()]  # at most as many as a window has words
+    exact = windows.select("length", "probe").distinct().limit(most_windows + 1).collect()
+    if len(exact) <= most_windows:
+        return {n: (lambda p, own=[r.probe for r in exact if r.length == n]: p.isin(own)) for n in lengths}
+    slot = F.pmod("probe", F.lit(SLOTS))
+    rows = windows.groupBy(F.floor(slot / 64).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("bits")).collect()  # SLOTS / 64 at most
+    bits = ["0"] * (SLOTS // 64)
+    for r in rows:
+        bits[r["at"]] = str(r.bits)
+    table_ = F.split(F.lit(",".join(bits)), ",").cast("array<bigint>")  # folded into one literal
+
+    def known(p: Column) -> Column:
+        s = F.pmod(p, F.lit(SLOTS))
+        return F.getbit(F.get(table_, F.floor(s / 64).cast("int")), (s % 64).cast("int")) == 1
+
+    return dict.fromkeys(lengths, known)
+
+
 def windows_of(benchmark: DataFrame, size: int, text: str = "text", key: str = "item_id") -> DataFrame:
     """(length, gram, probe, items) for each distinct window of the items."""
     item = benchmark.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("item"), words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
@@ -68,42 +94,49 @@ def _covered(spans: Column) -> Column:
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_windows: int = 100_000, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document: key, n_words, n_hit, spans (first word from 1, length; in order), items (sorted ids)."""
-    windows = windows_of(benchmark, size)
-    bounded = windows.select("length", "probe").limit(most_windows + 1).collect()
-    small = len(bounded) <= most_windows
-    probes = {n: sorted({r.probe for r in bounded if r.length == n}) for n in sorted({r.length for r in bounded})} if small else dict.fromkeys(range(1, size + 1))
-    scan = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("same"), words_of(F.col(text)).alias("w"))
-    found = [_hits(F.col("w"), n, known) for n, known in probes.items()]
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_windows: int = 100_000, most_bytes: int = 32_000_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per row of ``docs``: key, n_words, n_hit, spans (first word from 1, length; in order), items (sorted ids)."""
+    return _contamination(docs, benchmark, size, most_windows, most_bytes, text, key).select(F.col("k").alias(key), "n_words", "n_hit", "spans", "items")
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, size: int, most_windows: int, most_bytes: int, text: str, key: str) -> DataFrame:
+    windows = stored(windows_of(benchmark, size), "windows")
+    scan = docs.select(F.col(f"`{key}`").alias("k"), text_hash(text).alias("same"), words_of(F.col(f"`{text}`")).alias("w"))
+    found = [_hits(F.col("w"), n, known) for n, known in _known(windows, most_windows).items()]
     none = F.array().cast("array<struct<i:int,length:int,gram:string>>")
-    hits = scan.select("k", "same", F.size("w").cast("long").alias("n_words"), (F.concat(*found) if found else none).alias("hits"))
+    scan = stored(scan.select("k", "same", F.size("w").cast("long").alias("n_words"), (F.concat(*found) if found else none).alias("hits")), "hits")
+    held = windows.agg(F.sum(F.octet_length("gram") + F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + 16 + F.octet_length(x)) + 40)).first()[0] or 0
     table_ = windows.select(F.col("gram").alias("g"), F.col("length").alias("l"), "items")
-    table_ = F.broadcast(table_) if small else table_
-    each = hits.select("k", "same", "n_words", F.explode_outer("hits").alias("hit"))
-    joined = each.join(table_, (each.hit.gram == table_.g) & (each.hit.length == table_.l), "left")
-    span = F.when(F.col("items").isNotNull(), F.struct(F.col("hit.i").alias("i"), F.col("hit.length").alias("length")))
-    out = joined.groupBy("k", "same").agg(F.first("n_words").alias("n_words"), F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return out.select(F.col("k").alias(key), "n_words", _covered(F.col("spans")).alias("n_hit"), "spans", "items")
+    table_ = F.broadcast(table_) if held <= most_bytes else table_
+    each = scan.where(F.size("hits") > 0).select("k", "same", "hits").dropDuplicates(["k", "same"]).select("k", "same", F.explode("hits").alias("hit"))
+    joined = each.join(table_, (each.hit.gram == table_.g) & (each.hit.length == table_.l))
+    span = F.struct(F.col("hit.i").alias("i"), F.col("hit.length").alias("length"))
+    told = joined.groupBy(F.col("k").alias("hk"), F.col("same").alias("hs")).agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    out = scan.select("k", "same", "n_words").join(told, F.col("k").eqNullSafe(F.col("hk")) & (F.col("same") == F.col("hs")), "left")
+    spans = F.coalesce("spans", F.array().cast("array<struct<i:int,length:int>>"))
+    return out.select("k", "same", "n_words", _covered(spans).alias("n_hit"), spans.alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def cut_spans(text: Column, spans: Column) -> Column:
     """A text without the words of the spans; what stands before each kept word, and after the last, stays."""
     text = F.coalesce(text, F.lit(""))
-    words, gaps = F.regexp_extract_all(text, F.lit(CASED_WORD), F.lit(0)), F.split(text, CASED_WORD, -1)
+    words, gaps = split_words(text, CASED_BETWEEN), F.split(text, CASED_WORD, -1)
     hit = lambda i: F.exists(spans, lambda s: (i + 1 >= s["i"]) & (i + 1 < s["i"] + s["length"]))
-    kept = F.transform(words, lambda w, i: F.when(hit(i), F.lit("")).otherwise(F.concat(F.element_at(gaps, i + 1), w)))
-    return F.concat(F.array_join(kept, ""), F.element_at(gaps, -1))
+    kept = F.transform(F.arrays_zip(words.alias("w"), gaps.alias("g")), lambda x, i: F.when(x["w"].isNull(), x["g"]).when(hit(i), F.lit("")).otherwise(F.concat(x["g"], x["w"])))
+    return F.array_join(kept, "")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", size: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", size: int = 10, most_windows: int = 100_000, most_bytes: int = 32_000_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with contaminated documents dropped, or with the hit words cut out of them (``remove='spans'``)."""
-    hit = contamination(docs, benchmark, size, text=text, key=key).where("n_hit > 0")
+    hit = _contamination(docs, benchmark, size, most_windows, most_bytes, text, key).where("n_hit > 0")
+    hit = hit.select(F.col("k").alias("hk"), F.col("same").alias("hs"), "spans").dropDuplicates(["hk", "hs"])
+    rows = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row"), F.col(f"`{key}`").alias("k"), text_hash(text).alias("same"))
+    match = F.col("k").eqNullSafe(F.col("hk")) & (F.col("same") == F.col("hs"))
     if remove == "documents":
-        return docs.join(hit.select(key), key, "left_anti").select(docs.columns)
-    hit = hit.select(F.col(key).alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__key"])
-    both = docs.join(hit, docs[key].eqNullSafe(F.col("__key")), "left")
-    return both.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(cut_spans(F.col(text), F.col("__spans")))).select(docs.columns)
+        return rows.join(hit.drop("spans"), match, "left_anti").select("row.*")
+    whole = F.col(f"row.`{text}`")
+    cut = F.when(F.col("spans").isNull(), whole).otherwise(cut_spans(whole, F.col("spans")))
+    return rows.join(hit, match, "left").select(*((cut if x == text else F.col(f"row.`{x}`")).alias(x) for x in docs.columns))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
