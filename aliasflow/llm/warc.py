@@ -7,9 +7,15 @@ that is lost or runs twice leaves nothing behind that is read.  Transactions are
 capture they are concurrent to.
 
 * A null html is an empty payload; a null url leaves out WARC-Target-URI.
-* Of records with equal payloads of ``revisit_from`` bytes or more, that with the smallest page_id is the response.
-  A payload that most pages share costs one row a task when its first page is sought, and a join that Spark can split.
-* Rows that share page_id are one capture: the largest payload digest counts.  A null page_id is kept as one more id.
+* Each row is a capture of its own, whatever its page_id, which any 64-bit number or null can be and which travels in a
+  header of its own.  Rows are told apart by their number in the scan of ``pages``, so these should be files or a stored
+  table; where a scan does not repeat itself, a revisit can become a response but never the other way round.
+* Of records with equal payloads of ``revisit_from`` bytes or more, that with the smallest page_id is the response, and
+  of those that share it the first in the scan; a null page_id comes last.  A payload that most pages share costs one row
+  a task when its first page is sought, and a join that Spark can split.
+* Other columns of ``pages``, whatever their names, are not read.  No pages make no archive and no transactions.
+* Of several responses, requests or metadata records of one capture in foreign archives, that of the largest payload
+  digest counts, then of the largest record id.
 """
 
 from __future__ import annotations
@@ -28,8 +34,8 @@ from pyspark.sql import types as T
 
 from .common import partitions, shared_folder, stored, table
 
-#: What a missing page_id is written as.
-NO_PAGE = -(1 << 61)
+#: Headers of our own: the page of a capture, and of the response that a revisit refers to.
+PAGE, REFERS = "X-Page-ID", "X-Refers-To-Page-ID"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Uncompressed bytes after which a task begins another archive.
@@ -37,21 +43,20 @@ ARCHIVE = 256_000_000
 RECORD = "file string, offset long, type string, record_id string, concurrent_to string, refers_to string, target_uri string, date string, content_type string, payload_digest string, payload_bytes long, page_id long, refers_page long, payload binary"
 
 
-def record_id(kind: str, page: int) -> str:
-    """A version 8 UUID that holds the kind of record and the page's number."""
-    high = int.from_bytes(hashlib.md5(kind.encode()).digest()[:8], "big")
-    high = high & ~0xF000 | 0x8000
-    return f"<urn:uuid:{uuid.UUID(int=high << 64 | 1 << 63 | page % (1 << 62))}>"
+def record_id(kind: str, page: int | None, row: int) -> str:
+    """A version 8 UUID made from the kind of record, the page and the number of its row."""
+    raw = int.from_bytes(hashlib.sha256(f"{kind}|{page}|{row}".encode()).digest()[:16], "big")
+    raw = raw & ~(0xF << 76) & ~(0x3 << 62) | 0x8 << 76 | 0x2 << 62
+    return f"<urn:uuid:{uuid.UUID(int=raw)}>"
 
 
-def page_of(record: str | None) -> int | None:
-    if not record:
-        return None
+def number(said: str | None) -> int | None:
+    """A page's number in a header; None where there is none, or another thing."""
     try:
-        low = uuid.UUID(record.strip("<>").rpartition(":")[2]).int % (1 << 62)
+        found = int(said or "")
     except ValueError:
         return None
-    return low - (1 << 62) if low >> 61 else low
+    return found if -(1 << 63) <= found < 1 << 63 else None
 
 
 def record(headers: dict[str, object], block: bytes) -> bytes:
@@ -59,20 +64,20 @@ def record(headers: dict[str, object], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
-def capture(page: int, url: str | None, payload: bytes, first: int | None) -> list[bytes]:
-    """The three records of a page; ``first`` is the page whose equal payload it revisits."""
+def capture(page: int | None, row: int, url: str | None, payload: bytes, first: tuple[int | None, int] | None) -> list[bytes]:
+    """The three records of a page; ``first`` is the page and row whose equal payload it revisits."""
     uri = quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url else None
     digest = f"sha256:{hashlib.sha256(payload).hexdigest()}"
-    kind, own = ("response" if first is None else "revisit"), record_id("response", page)
-    common = {"WARC-Date": DATE, "WARC-Target-URI": uri}
+    kind, own = ("response" if first is None else "revisit"), record_id("response", page, row)
+    common = {"WARC-Date": DATE, "WARC-Target-URI": uri, PAGE: page}
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    again = {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id("response", first)} if first is not None else {}
+    again = {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id("response", *first), REFERS: first[0]} if first is not None else {}
     part = urlsplit(uri) if uri and "[" not in uri else None
     line = f"GET {(part.path or '/') if part else '/'}{'?' + part.query if part and part.query else ''} HTTP/1.1\r\nHost: {part.netloc if part else ''}\r\n\r\n"
     return [
         record({"WARC-Type": kind, "WARC-Record-ID": own, **common, "WARC-Payload-Digest": digest, **again, "Content-Type": "application/http; msgtype=response"}, http + (payload if first is None else b"")),
-        record({"WARC-Type": "request", "WARC-Record-ID": record_id("request", page), **common, "WARC-Concurrent-To": own, "Content-Type": "application/http; msgtype=request"}, line.encode()),
-        record({"WARC-Type": "metadata", "WARC-Record-ID": record_id("metadata", page), **common, "WARC-Concurrent-To": own, "Content-Type": "application/warc-fields"}, f"payload-length: {len(payload)}\r\n".encode()),
+        record({"WARC-Type": "request", "WARC-Record-ID": record_id("request", page, row), **common, "WARC-Concurrent-To": own, "Content-Type": "application/http; msgtype=request"}, line.encode()),
+        record({"WARC-Type": "metadata", "WARC-Record-ID": record_id("metadata", page, row), **common, "WARC-Concurrent-To": own, "Content-Type": "application/warc-fields"}, f"payload-length: {len(payload)}\r\n".encode()),
     ]
 
 
@@ -87,13 +92,13 @@ def _writer(folder: str):
         store, base = _opened(folder)
         out, names, written = None, [], 0
         for batch in batches:
-            for page, url, html, first in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for page, row, url, html, again, first, first_row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if out is None or written > ARCHIVE:
                     if out is not None:
                         out.close()
                     names.append(f"{uuid.uuid4().hex}.warc.gz")
                     out, written = store.open_output_stream(f"{base}/{names[-1]}", compression=None), 0
-                for x in capture(page, url, (html or "").encode(), first):
+                for x in capture(page, row, url, (html or "").encode(), (first, first_row) if again else None):
                     out.write(gzip.compress(x, 1, mtime=0))
                     written += len(x)
         if out is not None:
@@ -106,15 +111,17 @@ def _writer(folder: str):
 def write_archives(pages: DataFrame, revisit_from: int = 100) -> DataFrame:
     """Write ``pages`` (page_id, url, html) into the shared folder and return the table of files written."""
     spark = pages.sparkSession
-    own = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_PAGE)).alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    digests = own.select("page_id", F.sha2(payload, 256).alias("digest"), F.length(payload).alias("n")).where(F.col("n") >= revisit_from)
-    firsts = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
-    revisits = digests.join(firsts, "digest").where("page_id > first").select("page_id", "first").distinct()
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    own = own.withColumn("digest", F.sha2(payload, 256)).withColumn("n", F.length(payload))
+    long_ = own.select("page_id", "row", "digest", "n").where(F.col("n") >= revisit_from)
+    rank = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
+    firsts = long_.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("many")).where("many > 1")
+    revisits = long_.join(firsts, "digest").where(F.col("row") != F.col("first.row")).select("row", "digest", F.lit(True).alias("again"), F.col("first.page_id").alias("first"), F.col("first.row").alias("first_row"))
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     store, base = _opened(folder)
     store.create_dir(base, recursive=True)
-    return stored(own.join(revisits.hint("shuffle_hash"), "page_id", "left").select("page_id", "url", "html", "first").mapInArrow(_writer(folder), "file string"), "archives")
+    return stored(own.join(revisits.hint("shuffle_hash"), ["row", "digest"], "left").select("page_id", "row", "url", "html", "again", "first", "first_row").mapInArrow(_writer(folder), "file string"), "archives")
 
 
 def _headers(raw: bytes) -> dict[str, str]:
@@ -159,7 +166,7 @@ def _reader(keep_payload: bool):
                 elif kind == "request":
                     payload = block
                 name, other, to = (head.get(f"warc-{x}") for x in ("record-id", "refers-to", "concurrent-to"))
-                yield (file, offset, kind, name, to, other, head.get("warc-target-uri"), head.get("warc-date"), head.get("content-type"), digest.rpartition(":")[2] if digest else None, n, page_of(name), page_of(other), payload if keep_payload else None)
+                yield (file, offset, kind, name, to, other, head.get("warc-target-uri"), head.get("warc-date"), head.get("content-type"), digest.rpartition(":")[2] if digest else None, n, number(head.get(PAGE.lower())), number(head.get(REFERS.lower())), payload if keep_payload else None)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.int64(), *[pa.string()] * 8, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -191,7 +198,7 @@ def read_archives(files: DataFrame, keep_payload: bool = True) -> DataFrame:
 
 def transactions(records: DataFrame) -> DataFrame:
     """One nested row a capture: its id, and the request, response (or revisit) and metadata records."""
-    whole = F.struct(*(x for x in records.columns if x != "concurrent_to"))
+    whole = F.struct("payload_digest", "record_id", *(x for x in records.columns if x not in ("payload_digest", "record_id", "concurrent_to")))
     of = lambda *kinds: F.max(F.when(F.col("type").isin(*kinds), whole))
     key = F.coalesce("concurrent_to", "record_id")
     return records.where(F.col("type").isin("request", "response", "revisit", "metadata")).groupBy(key.alias("capture_id")).agg(of("request").alias("request"), of("response", "revisit").alias("response"), of("metadata").alias("metadata"))
@@ -199,9 +206,7 @@ def transactions(records: DataFrame) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = transactions(read_archives(write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html")), keep_payload=False))
-    real = lambda c: F.when(F.col(c) != NO_PAGE, F.col(c))
-    out = made.select("response.*")
-    return out.select(real("page_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), real("refers_page").alias("refers_to"))
+    return made.select("response.*").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_page").alias("refers_to"))
 
 
 ORACLE = """
