@@ -9,6 +9,9 @@ they hold, weigh nothing, so that long ones do not part an article.
 * A null or empty html, and a page without words, give an empty text.  Of equally good runs the first wins.
 * Unclosed elements end with the element around them, or with the page; stray end tags are ignored.  A head goes as far
   as its end tag or the body; without either, only what is no text wherever it stands (title, scripts, styles) goes.
+* Tags whose quotes never close end at the next ``>``; a tag that never ends is text.
+* Rows are read one by one, so repeated rows repeat; other columns, whatever their names, are kept, but for html and one
+  that bears the result's name.  Time grows with a page's length, whatever its markup.
 * Character references are decoded; white space inside a block, in the sense of Unicode, becomes one space; blocks
   are joined by one space.  Inline tags separate nothing.
 """
@@ -30,7 +33,11 @@ from pyspark.sql import types as T
 from .common import table
 from .html_pages import labelled_pages
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+#: A tag with its attributes; possessive, so that nothing is read twice.  BARE is for pages whose quotes do not close.
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+BARE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>")
+#: Elements whose content is no text, whatever it looks like.
+RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in "script style noscript template textarea select svg iframe object title".split()}
 #: Where the page's head ends, whatever it holds.
 HEAD_END = re.compile(r"</head\s*>|(?=<body\b)", re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -56,44 +63,78 @@ def _marked(attributes: str) -> bool:
     return False
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, name, '/' or '', attributes) of all markup in page order; comments, declarations and elements of raw
+    content have no name, and end where their content does.  Each character is read a bounded number of times."""
+    at, tag = 0, TAG
+    while (low := page.find("<", at)) >= 0:
+        after = page[low + 1 : low + 2]
+        if page.startswith("<!--", low):
+            high = page.find("-->", low + 4)
+            at = high + 3 if high >= 0 else len(page)
+            yield low, at, "", "", ""
+        elif after in ("!", "?"):
+            if (high := page.find(">", low)) < 0:
+                return
+            at = high + 1
+            yield low, at, "", "", ""
+        elif not (after.isascii() and (after.isalpha() or after == "/" and page[low + 2 : low + 3].isascii() and page[low + 2 : low + 3].isalpha())):
+            at = low + 1  # a sign, not a tag
+        elif not (m := tag.match(page, low)):
+            if tag is BARE:  # no tag ends any more
+                return
+            tag = BARE
+        else:
+            at, name = m.end(), m[2].lower()
+            if name in RAW and not m[1]:
+                if not m[3].endswith("/"):
+                    closes = RAW[name].search(page, at)
+                    at = closes.end() if closes else len(page)
+                name = ""
+            yield low, at, name, m[1], m[3]
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """(kind, text, in boilerplate) for every tag and every run of text; kinds of text are word and link."""
     stack: list[tuple[str, bool]] = []
-    inside = links = at = 0
+    opened: Counter = Counter()
+    inside = at = 0
     ends = True
 
     def said(raw: str) -> Iterator[tuple[str, str, bool]]:
         if raw:
-            yield "link" if links else "word", html.unescape(raw), inside > 0
+            yield "link" if opened["a"] else "word", html.unescape(raw), inside > 0
 
-    while m := TOKEN.search(page, at):
-        yield from said(page[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
+    for low, high, name, close, attributes in tags(page):
+        if low < at:  # inside the head
+            at = max(at, high) if not name else at
+            continue
+        yield from said(page[at:low])
+        at = high
         if not name:
             continue
-        if name == "head" and not m[2]:
+        if name == "head" and not close:
             ends = HEAD_END.search(page, at) if ends else None  # none after this one is none after the next
             at = ends.end() if ends else at
             continue
         bad = False
-        if m[2]:
-            if any(x == name for x, _ in stack):
-                while stack:
-                    top, bad = stack.pop()
-                    inside -= bad
-                    links -= top == "a"
-                    if top == name:
-                        break
+        if close:
+            while opened[name]:  # else a stray end tag
+                top, bad = stack.pop()
+                opened[top] -= 1
+                inside -= bad
+                if top == name:
+                    break
             kind = "end"
         else:
             if name in ("p", "li") and stack and stack[-1][0] == name:  # neither holds its own kind
                 inside -= stack.pop()[1]
-            bad = name not in BODY and (name in BOILERPLATE or _marked(m[4]))
-            if name not in VOID and not m[4].rstrip().endswith("/"):
+                opened[name] -= 1
+            bad = name not in BODY and (name in BOILERPLATE or _marked(attributes))
+            if name not in VOID and not attributes.rstrip().endswith("/"):
                 stack.append((name, bad))
+                opened[name] += 1
                 inside += bad
-                links += name == "a"
             kind = "boiler" if bad else "begin"
         yield (kind if kind == "boiler" else "inline" if name in INLINE or name == "br" else "article" if name in ARTICLE else "item" if name in ("li", "ul", "ol") else "block"), name if name not in INLINE else "", bad or inside > 0
     yield from said(page[at:])
@@ -115,17 +156,23 @@ def weights() -> dict[str, float]:
     return out
 
 
-def extract(page: str, weight: dict[str, float] | None = None) -> str:
-    weight = weight or weights()
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """The contiguous run of greatest total, the first of equal ones; empty if no total is above 0.  One linear scan."""
     best = score = 0.0
-    begin, span, all_ = 0, (0, 0), list(tokens(page))
-    for i, (kind, text, inside) in enumerate(all_):
-        if not inside:
-            score += weight.get(kind, -0.1) * (len(text.split()) if kind in ("word", "link") else 1)
+    begin, span = 0, (0, 0)
+    for i, x in enumerate(scores):
+        score += x
         if score <= 0:
             score, begin = 0.0, i + 1
         elif score > best:
             best, span = score, (begin, i + 1)
+    return span
+
+
+def extract(page: str, weight: dict[str, float] | None = None) -> str:
+    weight = weight or weights()
+    all_ = list(tokens(page))
+    span = best_run([0.0 if inside else weight.get(kind, -0.1) * (len(text.split()) if kind in ("word", "link") else 1) for kind, text, inside in all_])
     blocks = [[]]
     for kind, text, inside in all_[slice(*span)]:
         if kind in ("word", "link"):
