@@ -4,19 +4,23 @@ The model interpolates n-grams of up to ``order`` words, each order drawn to the
 
     p(w | h) = (c(hw) + s * p(w | h')) / (c(h) + s),     p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
 
-so a seen n-gram is an arc, and a state h has a failure arc of weight s / (c(h) + s) to its longest proper suffix h'.
-As every suffix of a seen n-gram is seen, the state after a token is the longest seen suffix of what was read.
+A state is a history that training documents hold; the empty one is the root.  A seen n-gram hw is an arc of h on w that
+weighs log p(w | h) and leads to the longest suffix of hw that is a state.  Where a state has no arc on a token, its
+failure arc of weight log s / (c(h) + s) leads to its longest proper suffix; the root has an arc on every token.
 
 The automaton grows with the corpus and is never held in one place.  Documents are dealt into blocks.  Each block asks,
 once for each distinct n-gram in it, for its count in the corpus, and in the same breath says how often the block's
-training documents hold it; requests are dealt by fingerprint, summed, and answered.  With the answers a block has the
-part of the automaton that its documents can reach: one pass from left to right over all of them carries the states and
-adds up the log-probabilities.
+training documents hold it; requests are dealt by fingerprint, summed, and answered.  With the answers a block builds the
+states, arcs and failure arcs that its documents can reach, and walks them from left to right: texts are cut into
+segments, all segments of a block take a step at a time, each carrying its state and its sum of log-probabilities.  A
+segment that begins inside a text first reads the words before it, from which the state follows.
 
 * A null text is empty: its only token is the end of text.  A document whose key is null trains the model.
-* Rows are scored one by one, so repeated rows count, and are returned, as often as they are given.
-* Single words are told apart by more than 64 bits; longer n-grams by 40 and the part they are dealt to, so that of a
-  million n-grams in a part about one shares its count with another.
+* Rows are scored one by one, so repeated rows count, and are returned, as often as they are given.  No documents give
+  no rows.  Other columns, whatever their names, are kept, but for the text and those that bear an added name.
+* N-grams are told apart by 64 bits, the highest of which name the part they are dealt to, so that scores do not depend
+  on the number of parts.
+* Blocks and parts grow with the square root of the input, so that the rows between them grow as the input does.
 """
 
 from __future__ import annotations
@@ -25,19 +29,22 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shares, stored, table
+from .common import scan_number, shares, stored, table, text_hash
 from .wordprints import LOWER, Hasher, U, each
 
 END = U(0x9E3779B97F4A7C15)
 ANSWERS = "block int, part int, c1 binary, ck binary, vocabulary long, tokens long"
-#: Bits of the fingerprints of single words and of longer n-grams.
-BITS = (64, 40)
+#: Tokens of a segment.
+SEGMENT = 256
+#: Bytes of input that make about 16 n-grams of a block in a part, or more.
+ROW = 32
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,32 +56,34 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
 
-def _ngrams(f: np.ndarray, bounds: np.ndarray, order: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For single words, then for longer n-grams: distinct (part, fingerprint) in order, and the place of each n-gram in them with the position of its last token."""
-    runs, deal = Hasher(31), Hasher(41)
+@dataclass
+class Grams:
+    """The distinct n-grams of one length in a block, in order of their fingerprints."""
+
+    prints: np.ndarray
+    #: Of each position of the block: the place of the n-gram that ends there, -1 where a text has too few tokens.
+    place: np.ndarray
+    #: A position where each ends.
+    example: np.ndarray
+
+
+def _grams(f: np.ndarray, bounds: np.ndarray, order: int) -> list[Grams]:
+    runs, out = Hasher(31), []
     at = np.arange(len(f)) - np.repeat(bounds[:-1], np.diff(bounds))
-    for bits, sizes in zip(BITS, ([1], range(2, order + 1)), strict=True):
-        keys, last = [], []
-        for k in sizes:
-            end = np.flatnonzero(at >= k - 1)
-            to = deal.of_runs(f, end - k + 1, k) % U(parts)
-            h = runs.of_runs(f, end - k + 1, k)
-            keys.append((to, h) if bits == 64 else to << U(bits) | h >> U(64 - bits))
-            last.append(end.astype(np.int32))
-            del to, h, end
-        if bits == 64:  # part and fingerprint do not fit one number
-            to, h = keys.pop()
-            order_ = np.lexsort((h, to))
-            to, h = to[order_], h[order_]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (to[1:] != to[:-1])
-            place = np.empty(len(h), np.int32)
-            place[order_] = np.cumsum(new, dtype=np.int32) - 1
-            yield to[new].astype(np.int64), h[new], place, last
-        else:
-            both, place = np.unique(np.concatenate([*keys, np.zeros(0, U)]), return_inverse=True)
-            del keys
-            yield (both >> U(bits)).astype(np.int64), both & U((1 << bits) - 1), place.astype(np.int32), last
+    for k in range(1, order + 1):
+        end = np.flatnonzero(at >= k - 1)
+        prints, first, own = np.unique(runs.of_runs(f, end - k + 1, k), return_index=True, return_inverse=True)
+        place = np.full(len(f), -1, np.int32)
+        place[end] = own
+        out.append(Grams(prints, place, end[first]))
+    return out
+
+
+def _longer(grams: list[Grams]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all n-grams but single words, in order, and the length of each."""
+    prints = np.concatenate([g.prints for g in grams[1:]] or [np.zeros(0, U)])
+    order = np.argsort(prints, kind="stable")
+    return prints[order], np.repeat(np.arange(1, len(grams)), [len(g.prints) for g in grams[1:]])[order]
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
@@ -90,18 +99,26 @@ def _unplanes(x: bytes, width: int, kind: type) -> np.ndarray:
     return out.view(kind).ravel()
 
 
-def _asker(order: int, parts: int):
+def _asker(order: int, bits: int):
+    low = U((1 << 64 - bits) - 1)
+
     def ask(group: pa.Table) -> pa.Table:
         """The requests of one block: for each part, its n-grams in ascending order, and their counts here."""
         f, bounds = _tokens(group.column("text").combine_chunks())
         train = np.repeat(~group.column("held_out").to_numpy(), np.diff(bounds))
+        grams = _grams(f, bounds, order)
+        count = [np.bincount(g.place[train & (g.place >= 0)], minlength=len(g.prints)).astype(np.uint32) for g in grams]
+        both, length = _longer(grams)
+        counted = np.zeros(len(both), np.uint32)
+        for k in range(1, order):
+            counted[length == k] = count[k]
         out: dict[int, list] = {}
-        for kind, (to, h, place, last) in enumerate(_ngrams(f, bounds, order, parts)):
-            n = np.bincount(place, train[np.concatenate(last)], len(h)).astype(np.uint32) if len(h) else np.zeros(0, np.uint32)
-            cut = np.searchsorted(to, np.arange(parts + 1))
+        for kind, (h, n) in enumerate(((grams[0].prints, count[0]), (both, counted))):
+            to = h >> U(64 - bits) if bits else np.zeros(len(h), U)
+            cut = np.searchsorted(to, np.arange((1 << bits) + 1, dtype=U))
             for p in np.flatnonzero(np.diff(cut)):
                 own = slice(cut[p], cut[p + 1])
-                out.setdefault(int(p), [b""] * 4)[2 * kind : 2 * kind + 2] = [_planes(np.diff(h[own], prepend=U(0)), BITS[kind] // 8), _planes(n[own], 4)]
+                out.setdefault(int(p), [b""] * 4)[2 * kind : 2 * kind + 2] = [_planes(np.diff(h[own] & low, prepend=U(0)), 8), _planes(n[own], 4)]
         block = group.column("block")[0].as_py()
         return pa.table({"block": pa.array([block] * len(out), pa.int32()), "part": pa.array(list(out), pa.int32()), **{x: pa.array([y[i] for y in out.values()], pa.binary()) for i, x in enumerate(("h1", "n1", "hk", "nk"))}})
 
@@ -113,7 +130,7 @@ def _answer(group: pa.Table) -> pa.Table:
     counts: list[list[bytes]] = []
     vocabulary = tokens = 0
     for kind, (hs, ns) in enumerate((("h1", "n1"), ("hk", "nk"))):
-        h = [np.cumsum(_unplanes(x, BITS[kind] // 8, np.uint64), dtype=U) for x in group.column(hs).to_pylist()]
+        h = [np.cumsum(_unplanes(x, 8, np.uint64), dtype=U) for x in group.column(hs).to_pylist()]
         n = np.concatenate([_unplanes(x, 4, np.uint32) for x in group.column(ns).to_pylist()])
         sizes = np.cumsum([len(x) for x in h])
         _, place = np.unique(np.concatenate(h), return_inverse=True)
@@ -126,37 +143,103 @@ def _answer(group: pa.Table) -> pa.Table:
     return pa.table({"block": group.column("block"), "part": group.column("part"), "c1": pa.array(counts[0], pa.binary()), "ck": pa.array(counts[1], pa.binary()), "vocabulary": pa.array([vocabulary, *zero], pa.int64()), "tokens": pa.array([tokens, *zero], pa.int64())})
 
 
-def _scorer(order: int, parts: int, strengths: tuple[float, ...], total: int, vocabulary: int):
+@dataclass
+class Automaton:
+    """States are numbers from 0, the root; arcs lie in order of state * tokens + token."""
+
+    tokens: int
+    keys: np.ndarray
+    weight: np.ndarray
+    leads: np.ndarray
+    fails: np.ndarray
+    fail_weight: np.ndarray
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State and log10 probability after each of many states has read a token: failure arcs up to the first state with an arc on it, then that arc."""
+        state, total = state.copy(), np.zeros(len(state))
+        arc, open_ = np.empty(len(state), np.int64), np.arange(len(state))
+        while len(open_):
+            key = state[open_] * self.tokens + token[open_]
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[found] == key
+            arc[open_[hit]] = found[hit]
+            open_ = open_[~hit]
+            total[open_] += self.fail_weight[state[open_]]
+            state[open_] = self.fails[state[open_]]
+        return self.leads[arc], total + self.weight[arc]
+
+
+def build(grams: list[Grams], counts: list[np.ndarray], strengths: tuple[float, ...], total: int, vocabulary: int) -> Automaton:
+    """Of the n-grams of a block and how often training documents hold each."""
+    order, tokens = len(grams), len(grams[0].prints)
+    # the state of each n-gram shorter than the longest, 0 where none holds it
+    state, states = [], 1
+    for c in counts[: order - 1]:
+        seen = c > 0
+        state.append(np.where(seen, states + np.cumsum(seen) - 1, 0))
+        states += int(seen.sum())
+    fails, fail_weight = np.zeros(states, np.int64), np.zeros(states)
+    p = (counts[0] + 0.5) / (total + 0.5 * (vocabulary + 1))
+    # the root has an arc on every token, which leads back to it if no training document holds that
+    keys, weight, leads = [np.arange(tokens)], [np.log10(p)], [state[0] if state else np.zeros(tokens, np.int64)]
+    for k in range(1, order):
+        own, c, s = grams[k], counts[k], strengths[k - 1]
+        before, suffix = grams[k - 1].place[own.example - 1], grams[k - 1].place[own.example]
+        p = (c + s * p[suffix]) / (counts[k - 1][before] + s)
+        seen = np.flatnonzero(c > 0)
+        keys.append(state[k - 1][before[seen]] * tokens + grams[0].place[own.example[seen]])
+        weight.append(np.log10(p[seen]))
+        leads.append(state[k][seen] if k < order - 1 else state[k - 1][suffix[seen]])
+        known = np.flatnonzero(counts[k - 1] > 0)
+        at = state[k - 1][known]
+        fail_weight[at] = np.log10(s / (counts[k - 1][known] + s))
+        if k > 1:
+            fails[at] = state[k - 2][grams[k - 2].place[grams[k - 1].example[known]]]
+    key = np.concatenate(keys)
+    by = np.argsort(key, kind="stable")
+    return Automaton(tokens, key[by], np.concatenate(weight)[by], np.concatenate(leads)[by].astype(np.int64), fails, fail_weight)
+
+
+def walk(automaton: Automaton, token: np.ndarray, bounds: np.ndarray, order: int, segment: int = SEGMENT) -> np.ndarray:
+    """The log10 probability of each text, from left to right; ``token`` holds the texts' tokens one after another."""
+    pieces = -(-np.diff(bounds) // segment)
+    text = np.repeat(np.arange(len(pieces)), pieces)
+    begin = bounds[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * segment
+    end = np.minimum(begin + segment, bounds[1:][text])
+    # the longest state that a segment can begin in was read in the order - 1 tokens before it
+    low = np.maximum(begin - (order - 1), bounds[:-1][text])
+    by = np.argsort(low - end, kind="stable")  # longest first, so that those still walking lie together
+    low, begin, long_ = low[by], begin[by], (end - low)[by]
+    state, score = np.zeros(len(by), np.int64), np.zeros(len(by))
+    for t in range(int(long_[0]) if len(by) else 0):
+        n = int(np.searchsorted(-long_, -t))  # segments of more than t tokens
+        state[:n], log = automaton.step(state[:n], token[low[:n] + t])
+        score[:n] += np.where(low[:n] + t >= begin[:n], log, 0.0)
+    out = np.empty(len(by))
+    out[by] = score
+    return np.add.reduceat(out, np.cumsum(pieces) - pieces)
+
+
+def _scorer(order: int, strengths: tuple[float, ...], total: int, vocabulary: int):
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         f, bounds = _tokens(docs.column("text").combine_chunks())
-        own = np.argsort(answers.column("part").to_numpy())
-        known = [[_unplanes(x, 8, np.uint64) for x in answers.column(c).take(pa.array(own)).to_pylist()] for c in ("c1", "ck")]
-        # seen[k - 1][i]: how often training documents hold the k tokens that end at i; 0 where there are fewer
-        seen = []
-        for counts, (_, _, place, last) in zip(known, _ngrams(f, bounds, order, parts), strict=True):
-            got, low = np.concatenate(counts)[place].astype(float), 0
-            for end in last:
-                seen.append(np.zeros(len(f)))
-                seen[-1][end] = got[low : low + len(end)]
-                low += len(end)
-        p = (seen[0] + 0.5) / (total + 0.5 * (vocabulary + 1))
-        base, begins = np.log10(p), bounds[:-1]
-        for k in range(1, order):
-            # the state of k tokens before each token; none at the begin of a text, where its count is 0 and it fails to the shorter one
-            state = np.concatenate([[0.0], seen[k - 1][:-1]])
-            state[begins] = 0
-            s = strengths[k - 1]
-            p = (seen[k] + s * p) / (state + s)
-        at = begins
+        own = pa.array(np.argsort(answers.column("part").to_numpy()))
+        one, more = (np.concatenate([_unplanes(x, 8, np.uint64) for x in answers.column(c).take(own).to_pylist()]).astype(np.int64) for c in ("c1", "ck"))
+        grams = _grams(f, bounds, order)
+        length = _longer(grams)[1]
+        counts = [one, *(more[length == k] for k in range(1, order))]
+        token = grams[0].place.astype(np.int64)
+        scores = walk(build(grams, counts, strengths, total, vocabulary), token, bounds, order)
+        seen, at = one[token], bounds[:-1]
         return pa.table(
             {
                 "row": docs.column("row"),
                 "held_out": docs.column("held_out"),
                 "n_tokens": pa.array(np.diff(bounds)),
-                "n_known": pa.array(np.add.reduceat(seen[0] > 0, at, dtype=np.int64)),
+                "n_known": pa.array(np.add.reduceat(seen > 0, at, dtype=np.int64)),
                 "train_tokens": pa.array(np.full(len(at), total)),
-                "base_score": pa.array(np.add.reduceat(base, at)),
-                "score": pa.array(np.add.reduceat(np.log10(p), at)),
+                "base_score": pa.array(np.add.reduceat(np.log10((seen + 0.5) / (total + 0.5 * (vocabulary + 1))), at)),
+                "score": pa.array(scores),
             }
         )
 
@@ -169,18 +252,20 @@ def lm_scores(docs: DataFrame, order: int = 3, strengths: tuple[float, ...] = (3
     Documents with crc32(key) mod ``folds`` = ``fold`` are held out of the model.  ``strengths`` has that of the prior for
     each order from 2 on.
     """
-    parts, blocks = shares(docs, 6), shares(docs, 2)
+    bits = (shares(docs, 6, ROW) - 1).bit_length()
+    blocks = shares(docs, 4, ROW)
     added = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     rest = [x for x in docs.columns if x not in (text, *added)]
     held = F.coalesce(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % folds == fold, F.lit(False))
-    block = F.pmod(F.xxhash64(F.lit(3), F.col(f"`{key}`"), F.length(text)), F.lit(blocks)).cast("int")
+    # a row that is repeated very often is dealt to as many blocks as tasks read it
+    block = F.pmod(F.xxhash64(F.lit(3), F.col(f"`{key}`"), text_hash(text), scan_number(docs)), F.lit(blocks)).cast("int")
     dealt = docs.select(F.struct(*(F.col(f"`{x}`") for x in rest)).alias("row"), held.alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), block.alias("block"))
-    asked = dealt.groupBy("block").applyInArrow(_asker(order, parts), "block int, part int, h1 binary, n1 binary, hk binary, nk binary")
+    asked = dealt.groupBy("block").applyInArrow(_asker(order, bits), "block int, part int, h1 binary, n1 binary, hk binary, nk binary")
     answers = stored(asked.groupBy("part").applyInArrow(_answer, ANSWERS), "answers")
     total, vocabulary = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("vocabulary"), F.lit(0))).first()
     row = dealt.schema["row"].dataType.simpleString()
     out = dealt.groupBy("block").cogroup(answers.select("block", "part", "c1", "ck").groupBy("block")).applyInArrow(
-        _scorer(order, parts, tuple(strengths), total, vocabulary),
+        _scorer(order, tuple(strengths), total, vocabulary),
         f"row {row}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
     return out.select("row.*", *added)
