@@ -9,8 +9,9 @@
    that its similarity reaches the threshold is below ``miss``.  Survivors are verified on their full sets.
 4. Buckets that components of the links found so far still divide are finished exactly: of their classes, prefixes of
    the sets in a common order are joined, and pairs of different components whose positions leave room for enough
-   common shingles are verified.  The order puts rare shingles first, by a table of counters of fixed size; any order
-   gives the same links, a good one gives fewer pairs.  A frequent shingle's entries are dealt out in blocks.
+   common shingles are verified.  The order puts rare shingles first, by a table of counters that grows with the texts up
+   to a fixed size; any order gives the same links, a good one gives fewer pairs.  A frequent shingle's entries are dealt
+   out in blocks by its count, so that no block holds more than about twice ``block`` of them.
 5. Components follow from alternating star steps.
 
 * A text that is null or has no words has an empty set and is linked with nothing; with fewer words than a shingle,
@@ -19,6 +20,7 @@
   one, are documents of their own.  A null doc_id comes after all others.  Of a component the document with the
   smallest doc_id stays, and of those that share it the one with the smallest hash of its text.
 * Shingles, sets and texts are compared by 64-bit fingerprints.
+* Other columns, whatever their names, are not read.  No documents give no rows.
 """
 
 from __future__ import annotations
@@ -36,8 +38,9 @@ from .components import components
 from .wordprints import LOWER, Hasher, U, Words, each, mix
 
 BATCH = 16
-COUNTERS, CHUNK = 1 << 21, 1 << 14
-#: Entries of one shingle, or of few, that a block holds at most.
+#: Counters of shingles: one for so many bytes of text, in chunks, up to 32 MB of them.
+PER_COUNTER, CHUNK, MOST_COUNTERS = 32, 1 << 14, 1 << 23
+#: Entries of one shingle that make a block.
 BLOCK = 20_000
 
 
@@ -135,13 +138,14 @@ def _verifier(size: int, percent: int):
     return verify
 
 
-def _counter(size: int):
+def _counter(size: int, counters: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, runs, total = Hasher(1), Hasher(5), np.zeros(COUNTERS, np.uint32)
+        words, runs, total = Hasher(1), Hasher(5), np.zeros(counters, np.uint32)
         for batch in batches:
             for _, _, w in each(batch.column(0), case=LOWER):
-                total += np.bincount((shingles(w, words, runs, size)[0] % U(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-        for c in range(COUNTERS // CHUNK):
+                at, n = np.unique(shingles(w, words, runs, size)[0] % U(counters), return_counts=True)
+                total[at.astype(np.int64)] += n.astype(np.uint32)
+        for c in range(counters // CHUNK):
             if (part := total[c * CHUNK : (c + 1) * CHUNK]).any():
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["c", "n"])
 
@@ -152,15 +156,15 @@ def _summed(group: pa.Table) -> pa.Table:
     total = np.zeros(CHUNK, np.uint64)
     for x in group.column("n").to_pylist():
         total += np.frombuffer(x, np.uint32)
-    return pa.table({"c": group.column("c")[:1], "n": pa.array([np.minimum(total, 2**16 - 1).astype(np.uint16).tobytes()], pa.binary())})
+    return pa.table({"c": group.column("c")[:1], "n": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
 
 ENTRY = np.dtype([("h", "u8"), ("key", "i8"), ("comp", "i8"), ("n", "i4"), ("i", "i4"), ("block", "i8")])
 
 
-def _prefixer(size: int, percent: int, parts: int, counters):
+def _prefixer(size: int, percent: int, parts: int, block: int, counters):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, runs, often = Hasher(1), Hasher(5), np.frombuffer(counters.value, np.uint16)
+        words, runs, often = Hasher(1), Hasher(5), np.frombuffer(counters.value, np.uint32)
         held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -176,7 +180,7 @@ def _prefixer(size: int, percent: int, parts: int, counters):
             keys, comps = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 1))
             for low, high, w in each(batch.column(2), case=LOWER):
                 h, text = shingles(w, words, runs, size)
-                df = often[(h % U(COUNTERS)).astype(np.int64)].astype(np.int64)
+                df = often[(h % U(len(often))).astype(np.int64)].astype(np.int64)
                 order = np.lexsort((h, df, text))
                 h, df = h[order], df[order]
                 n = np.bincount(text, minlength=high - low)
@@ -184,7 +188,7 @@ def _prefixer(size: int, percent: int, parts: int, counters):
                 some = (i < n[text] - -(-percent * n[text] // 100) + 1) & (df > 1)
                 e = np.zeros(int(some.sum()), ENTRY)
                 e["h"], e["key"], e["comp"], e["n"], e["i"] = h[some], keys[low + text[some]], comps[low + text[some]], n[text[some]], i[some]
-                blocks = df[some] // BLOCK + 1
+                blocks = df[some] // block + 1
                 held.append(e[blocks == 1])
                 for b in np.unique(blocks[blocks > 1]):  # every two blocks of a frequent shingle meet once
                     hot = e[blocks == b]
@@ -228,7 +232,7 @@ def _matcher(percent: int):
     return match
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, miss: float = 1e-5, seed: int = 17, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, miss: float = 1e-5, seed: int = 17, block: int = BLOCK, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: key, same (a hash of the text), n_shingles, component_id (the smallest key that it can reach by links of
     ``percent`` or more) and stays, which holds for one text under one key in each component."""
     spark = docs.sparkSession
@@ -258,10 +262,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     mixed = marked.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("band")
     open_ = marked.join(mixed, "band", "left_semi").groupBy(F.col("b").alias("key")).agg(F.first("component").alias("component"))
     rest = stored(near.join(open_, "key").select("key", "component", "text"), "open")
-    counters = np.zeros(COUNTERS, np.uint16)
-    for row in rest.select("text").mapInArrow(_counter(size), "c int, n binary").groupBy("c").applyInArrow(_summed, "c int, n binary").toLocalIterator():  # COUNTERS / CHUNK rows of fixed size
-        counters[row.c * CHUNK : (row.c + 1) * CHUNK] = np.frombuffer(row.n, np.uint16)
-    entries = rest.mapInArrow(_prefixer(size, percent, shares(rest, 2), spark.sparkContext.broadcast(counters.tobytes())), "part int, entries binary")
+    held = rest.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counters = np.zeros(min(MOST_COUNTERS, max(CHUNK, 1 << int(held // PER_COUNTER).bit_length())), np.uint32)
+    for row in rest.select("text").mapInArrow(_counter(size, len(counters)), "c int, n binary").groupBy("c").applyInArrow(_summed, "c int, n binary").collect():  # at most MOST_COUNTERS / CHUNK rows of fixed size
+        counters[row.c * CHUNK : (row.c + 1) * CHUNK] = np.frombuffer(row.n, np.uint32)
+    entries = rest.mapInArrow(_prefixer(size, percent, shares(rest, 2), block, spark.sparkContext.broadcast(counters.tobytes())), "part int, entries binary")
     pairs = entries.groupBy("part").applyInArrow(_matcher(percent), "a long, b long").distinct()
     more = stored(verified(pairs), "links")
     found = classes.join(components(links.union(more)), "id", "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
