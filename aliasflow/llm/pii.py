@@ -7,7 +7,9 @@ by kind, without labels; its posteriors then train a logistic span classifier on
 most a few thousand patterns however many documents, so both fits run on the driver.  The classifier is one column
 expression; spans that pass their kind's base check are kept whatever it says, other proposals if it accepts them.
 
-* A null text is empty and has no spans.  Each row gives one row, so repeated rows repeat.
+* A null text is empty and has no spans.  Each row gives one row, so repeated rows repeat; no documents give no rows.
+* Other columns, whatever their names, are kept, but for one that bears the name of the result.
+* Each pattern reads a text once: what it proposes is stored in the shared folder, counted, and judged from there.
 * Offsets are code points.  Where kinds overlap all base spans are kept; an added span that touches a base one, or an
   added one before it, goes.
 * Patterns never look twice at a run they have read, so long runs of digits or letters cost time in proportion.
@@ -21,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 #: Base kinds in their order, then those that only the method adds.
 KINDS = ("email", "ip", "card", "phone", "name", "secret")
@@ -34,9 +36,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 ADDED = {
-    "phone": r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])",
-    "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20\p{Lu}\p{Ll}{1,30}(?:\x20\p{Lu}\p{Ll}{1,30})?",
-    "secret": r"(?<![A-Za-z])(?:password|passwd|pwd|secret|api_key|token)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{8,200}",
+    "phone": r"(?=[(0-9])(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])",
+    "name": r"(?=[DFHMPS])(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20\p{Lu}\p{Ll}{1,30}(?:\x20\p{Lu}\p{Ll}{1,30})?",
+    "secret": r"(?=[apst])(?<![A-Za-z])(?:password|passwd|pwd|secret|api_key|token)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{8,200}",
 }
 #: What must occur in a text for a pattern to be tried.
 NEEDS = {"email": "@", "phone": "+"}
@@ -61,6 +63,8 @@ AGAINST = {
     "name": r"(?i)(?:street|hotel|cafe)\W*$",
     "secret": r"(?i)(?:example|sample)\W*$",
 }
+#: Comes after every offset.
+LAST = 2**31 - 1
 VOTES = ("v_format", "v_gazetteer", "v_context", "v_edge")
 
 
@@ -84,21 +88,49 @@ CHECKS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: Two control characters that mark off matches.  In a text they become a third one, which no pattern tells from them.
+MARK, END, OTHER = "\x01", "\x03", "\x02"
+MATCHES = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(numbers: Column, join: Callable[[Column, Column], Column], zero: int) -> Column:
+    """What ``join`` makes of all numbers before each one.
+
+    A fold copies what it gathers at every step, so numbers are folded in runs of the square root of their count, and so
+    are the runs' totals.
+    """
+    start = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out"))
+    fold = lambda x: F.aggregate(x, start, lambda acc, v: F.struct(join(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def whole(x: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(x))).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / size).cast("int")), lambda i: fold(F.slice(x, i * size + 1, size)))
+        return bound(runs, lambda r: F.flatten(F.zip_with(r, fold(F.transform(r, lambda y: y["at"]))["out"], lambda y, t: F.transform(y["out"], lambda v: join(t, v)))))
+
+    return F.when(F.size(numbers) > 0, bound(numbers, whole)).otherwise(F.array().cast("array<int>"))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches with their code-point offsets: array of (start, end, match)."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        return F.when(x["match"].isNull(), acc).otherwise(
-            F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("out"))
-        )
+    """Leftmost non-overlapping matches: array of (start, end, match, up to 24 characters since the last match, the character after).
+
+    The pattern reads the text once and marks off what it finds; offsets are running sums of lengths.
+    """
+    marked = F.regexp_replace(F.translate(text, MARK + END, OTHER * 2), rf"(?s)(?:{pattern})(?=(.)?)", f"{MARK}$0{END}$1{MARK}")
+    said = lambda x: F.substring_index(x, END, 1)
 
-    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    def spans(pieces: Column) -> Column:
+        """Of text and matches by turns."""
+        starts = running(F.transform(pieces, lambda x: F.length(said(x))), lambda x, y: x + y, 0)
+        each = F.zip_with(F.zip_with(pieces, starts, lambda x, at: F.struct(x.alias("x"), at.alias("at"))), F.slice(pieces, 2, F.size(pieces)), lambda y, x: F.struct(y["x"].alias("gap"), (y["at"] + F.length(y["x"])).alias("at"), x.alias("x")))
+        own = F.filter(each, lambda y, i: (i % 2 == 0) & y["x"].isNotNull())
+        return F.transform(own, lambda y: F.struct(y["at"].alias("start"), (y["at"] + F.length(said(y["x"]))).alias("end"), said(y["x"]).alias("match"), F.right(y["gap"], F.lit(24)).alias("before"), F.substring_index(y["x"], END, -1).alias("after")))
+
+    return bound(F.split(marked, MARK, -1), lambda p: F.when(F.size(p) > 1, spans(p)).otherwise(F.array().cast(MATCHES)))
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -133,9 +165,7 @@ def _proposals(text: Column, kind: str, pattern: str, base: bool) -> Column:
     """The matches of one pattern that are not failing base matches, with their votes."""
 
     def judged(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
-        after = F.substring(text, x["end"] + 1, F.lit(1))
-        inside = before.rlike(r"[A-Za-z0-9@_]$") | after.rlike(r"^[A-Za-z0-9@_]")
+        inside = x["before"].rlike(r"[A-Za-z0-9@_]$") | x["after"].rlike(r"^[A-Za-z0-9@_]")
         return F.struct(
             x["start"].alias("start"),
             F.lit(KINDS.index(kind)).alias("kind"),
@@ -143,20 +173,26 @@ def _proposals(text: Column, kind: str, pattern: str, base: bool) -> Column:
             F.lit(base).alias("base"),
             _format(kind, x["match"], base).alias("v_format"),
             _gazetteer(kind, x["match"]).alias("v_gazetteer"),
-            _vote(before.rlike(FOR[kind]), before.rlike(AGAINST[kind])).alias("v_context"),
-            _vote(~inside, inside).alias("v_edge"),
+            _vote(x["before"].rlike(FOR[kind]), x["before"].rlike(AGAINST[kind])).alias("v_context"),
+            F.when(inside, -1).otherwise(1).alias("v_edge"),
             F.least(F.floor((x["end"] - x["start"]) / 6).cast("int"), F.lit(6)).alias("size"),
         )
 
     found = matches(text, pattern)
     if base and kind != "email":
         found = F.filter(found, lambda x: CHECKS[kind](x["match"]))
-    out = F.transform(found, judged)
-    if base and kind in NEEDS:
-        return F.when(F.contains(text, F.lit(NEEDS[kind])), out).otherwise(F.array().cast(SPANS))
-    if kind in ("ip", "card", "phone"):
-        return F.when(text.rlike("[0-9]{2}|[0-9][. -][0-9]"), out).otherwise(F.array().cast(SPANS))
-    return out
+    return F.when(_needed(text, kind, base), F.transform(found, judged)).otherwise(F.array().cast(SPANS))
+
+
+def _needed(text: Column, kind: str, base: bool) -> Column:
+    """What must hold of a text for a pattern to be tried; cheaper than the pattern."""
+    if base and kind in ("email", "phone"):
+        return F.contains(text, F.lit(NEEDS[kind]))
+    if kind == "name":
+        return F.lit(True)
+    if kind == "secret":
+        return F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
+    return text.rlike("[0-9]{2}|[0-9][. -][0-9]")
 
 
 SPANS = "array<struct<start:int,kind:int,end:int,base:boolean,v_format:int,v_gazetteer:int,v_context:int,v_edge:int,size:int>>"
@@ -210,10 +246,10 @@ def classifier(patterns: list[tuple], posterior: dict[tuple, float], steps: int
     return weight
 
 
-def fit(docs: DataFrame, text: str = "text") -> dict[tuple, float]:
+def fit(proposed: DataFrame, spans: str) -> dict[tuple, float]:
     """The span classifier, from the votes on all proposals in all documents."""
-    spans = docs.select(F.explode(proposals(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("s")).select("s.*")
-    rows = spans.groupBy("kind", *VOTES, "size").agg(F.count("*").alias("n")).collect()  # at most kinds x 3**4 votes x 7 sizes
+    each = proposed.where(F.size(spans) > 0).select(F.explode(spans).alias("s")).select("s.*")
+    rows = each.groupBy("kind", *VOTES, "size").agg(F.count("*").alias("n")).collect()  # at most kinds x 3**4 votes x 7 sizes
     patterns = [(r.kind, tuple(r[x] for x in VOTES), r["size"], r.n) for r in rows]
     return classifier(patterns, reliabilities(patterns)[1])
 
@@ -228,19 +264,32 @@ def accepted(spans: Column, weight: dict[tuple, float]) -> Column:
             total = total + F.when(hit, F.lit(w)).otherwise(F.lit(0.0))
         return total
 
+    def alone(good: Column) -> Column:
+        """Added spans that touch no base span, in order."""
+        before = running(F.transform(good, lambda s: F.when(s["base"], s["end"]).otherwise(0)), F.greatest, 0)
+        later = F.reverse(running(F.reverse(F.transform(good, lambda s: F.when(s["base"], s["start"]).otherwise(LAST))), F.least, LAST))
+        near = F.zip_with(good, F.zip_with(before, later, lambda x, y: F.struct(x.alias("p"), y.alias("q"))), lambda s, n: F.struct(s.alias("s"), (~s["base"] & (n["p"] <= s["start"]) & (n["q"] >= s["end"])).alias("free")))
+        return F.transform(F.filter(near, lambda x: x["free"]), lambda x: x["s"])
+
+    def first_come(free: Column) -> Column:
+        """Of each run of added spans that overlap, those that begin after the last one kept ends."""
+        reach = running(F.transform(free, lambda s: s["end"]), F.greatest, 0)
+        heads = F.filter(F.zip_with(F.zip_with(free, reach, lambda s, r: s["start"] >= r), F.sequence(F.lit(1), F.size(free)), lambda new, i: F.when(new, i)), lambda i: i.isNotNull())
+        runs = lambda h: F.zip_with(h, F.concat(F.slice(h, 2, F.size(h)), F.array(F.size(free) + 1)), lambda a, b: F.slice(free, a, b - a))
+        pick = lambda run: F.aggregate(run, F.array().cast(SPANS), lambda acc, s: F.when(F.exists(acc, lambda b: s["start"] < b["end"]), acc).otherwise(F.concat(acc, F.array(s))))
+        return F.when(F.size(free) > 0, F.flatten(F.transform(bound(heads, runs), pick))).otherwise(free)
+
     base = F.filter(spans, lambda s: s["base"])
-    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.filter(spans, lambda s: ~s["base"] & free(s) & (score(s) > 0))
-    none = F.array().cast(SPANS)
-    alone = F.aggregate(added, none, lambda acc, s: F.when(F.exists(acc, lambda b: s["start"] < b["end"]), acc).otherwise(F.concat(acc, F.array(s))))
-    return F.when(F.size(added) == 0, base).otherwise(F.array_sort(F.concat(base, alone)))
+    added = bound(bound(F.filter(spans, lambda s: s["base"] | (score(s) > 0)), alone), first_come)
+    return F.when(F.exists(spans, lambda s: ~s["base"]), F.array_sort(F.concat(base, added))).otherwise(spans)
 
 
-def find_pii(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFrame:
-    """``docs`` with the spans found: array of (start, kind number, end, base, votes, size)."""
-    weight = fit(docs, text)
-    proposed = docs.withColumn("__proposed", proposals(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    return proposed.withColumn(into, accepted(F.col("__proposed"), weight)).drop("__proposed")
+def find_pii(docs: DataFrame, text: str = "text", into: str = "spans", keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or of it only the columns ``keep``, with the spans found: array of (start, kind number, end, base, votes, size)."""
+    rest = [x for x in (docs.columns if keep is None else keep) if x != into]
+    proposed = docs.select(F.struct(*(F.col(f"`{x}`") for x in rest)).alias("row"), proposals(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("proposed"))
+    proposed = stored(proposed, "proposals")
+    return proposed.select("row.*", accepted(F.col("proposed"), fit(proposed, "proposed")).alias(into))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -257,12 +306,15 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    found = find_pii(docs, text, "__spans")
-    return found.withColumn(text, F.when(F.size("__spans") > 0, redacted(F.col(text), F.col("__spans"))).otherwise(F.col(text))).select(docs.columns)
+    """``docs`` with every span of personal data replaced by its kind."""
+    rows = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row"), F.col(f"`{text}`").alias("text"))
+    found = find_pii(rows)
+    masked = F.when(F.size("spans") > 0, redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    return found.select(*((masked if x == text else F.col(f"row.`{x}`")).alias(x) for x in docs.columns))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     base = F.filter("spans", lambda s: s["base"])
     names = F.array(*(F.lit(k) for k in KINDS))
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
