@@ -7,10 +7,11 @@ Documents are exploded by their copies and ordered globally by a hash of key and
 
 * Without given weights, a source's weight is its count to the power ``temperature``.
 * A null source is a source of its own.  Given weights leave sources that they do not name out.
-* Rows of equal key get equal numbers; a null key counts as ''.  Existing columns named like the added ones are
-  replaced.
-* Sources are counted with one row a source and task; the table of sources is broadcast only if it has at most
-  ``most_sources`` rows.
+* Rows of equal key and text get equal numbers; a null key or text counts as ''.  No documents give no rows.
+* Existing columns named like the added ones are replaced; others, whatever their names, are kept.
+* Sources are counted with one row a source and task.  Of a source's distribution only the numbers of copies within
+  twelve standard deviations are kept; the table of sources is broadcast only if it holds at most ``most_numbers`` of
+  them, and is joined by a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -28,11 +29,22 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
 
 
+def least_copies(mean: Column) -> Column:
+    """Fewer copies than this have no probability that double precision tells from 0; none are left out of small means."""
+    low = F.floor(mean - 12 * F.sqrt(mean) - 25).cast("long")
+    return F.when(low < 32, F.lit(0).cast("long")).otherwise(low)
+
+
 def poisson_cdf(mean: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... as far as double precision tells it from 1."""
-    last = F.ceil(mean + 12 * F.sqrt(mean) + 25).cast("int")
-    terms = F.transform(F.sequence(F.lit(1), last), lambda k: F.log(mean) - F.log(k.cast("double")))
-    zero = F.struct((-mean).alias("p"), F.array(F.exp(-mean)).alias("cdf"))
+    """P(X <= k) for k = least, least + 1, ... as far as double precision tells it from 1."""
+    low = least_copies(mean)
+    n = low.cast("double")
+    # log P(X = low); Stirling's series for log(low!) is exact to double precision from 32 on
+    factorial = n * F.log(n) - n + 0.5 * F.log(2 * F.pi() * n) + 1 / (12 * n) - 1 / (360 * F.pow(n, F.lit(3.0))) + 1 / (1260 * F.pow(n, F.lit(5.0)))
+    first = F.when(low > 0, -mean + n * F.log(mean) - factorial).otherwise(-mean)
+    last = F.ceil(mean + 12 * F.sqrt(mean) + 25).cast("long")
+    terms = F.transform(F.sequence(low + 1, last), lambda k: F.log(mean) - F.log(k.cast("double")))
+    zero = F.struct(first.alias("p"), F.array(F.exp(first)).alias("cdf"))
     return F.aggregate(
         terms,
         zero,
@@ -41,27 +53,32 @@ def poisson_cdf(mean: Column) -> Column:
     )
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, size: int | None = None, source: str = "source") -> DataFrame:
-    """(s, n, mean) for each source, from which ``cdf`` follows."""
+def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, size: int | None = None, source: str = "source") -> tuple[DataFrame, float]:
+    """(s, n, mean) for each source, from which ``cdf`` follows, and about how many numbers all of these hold."""
     counts = docs.groupBy(F.col(source).alias("s")).agg(F.count("*").alias("n"))
     if weights is None:
         weight = F.pow(F.col("n").cast("double"), F.lit(float(temperature)))
     else:
         weight = F.coalesce(*(F.when(F.col("s").eqNullSafe(F.lit(k)), F.lit(float(v))) for k, v in weights.items()), F.lit(0.0))
     weighted = counts.withColumn("weight", weight)
-    all_weight, all_n = weighted.agg(F.coalesce(F.sum("weight"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return weighted.select("s", "n", (F.col("weight") / F.lit(all_weight) * F.lit(all_n if size is None else size) / F.col("n")).alias("mean"))
+    total = weighted.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("sources"), F.coalesce(F.sum(F.sqrt(F.col("weight") / F.col("n"))), F.lit(0.0)).alias("roots")).first()
+    asked = total.n if size is None else size
+    numbers = 60 * total.sources + 24 * total.roots * (asked / total.w if total.w else 0) ** 0.5
+    return weighted.select("s", "n", (F.col("weight") / F.lit(total.w) * F.lit(asked) / F.col("n")).alias("mean")), numbers
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, size: int | None = None, seed: int = 42, source: str = "source", key: str = "doc_id", most_sources: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, size: int | None = None, seed: int = 42, source: str = "source", key: str = "doc_id", text: str = "text", most_numbers: int = 2_000_000) -> DataFrame:
     """``docs`` replicated and in a global random order, with copies, copy (from 1) and mix_key."""
-    table_ = rates(docs, weights, temperature, size, source).where("mean > 0").select("s", poisson_cdf(F.col("mean")).alias("cdf"))
-    if docs.select(source).distinct().limit(most_sources + 1).count() <= most_sources:
-        table_ = F.broadcast(table_)
+    mean, numbers = rates(docs, weights, temperature, size, source)
+    table_ = mean.where("mean > 0").select("s", least_copies(F.col("mean")).alias("least"), poisson_cdf(F.col("mean")).alias("cdf"))
+    table_ = F.broadcast(table_) if numbers <= most_numbers else table_
     rest = [x for x in docs.columns if x not in ADDED]
-    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    drawn = docs.select(F.struct(*(F.col(f"`{x}`") for x in rest)).alias("row"), F.col(source).alias("source"), name.alias("name"), uniform(F.lit(str(seed)), name).alias("u"))
-    counted = drawn.join(table_, drawn.source.eqNullSafe(table_.s)).withColumn("copies", F.size(F.filter("cdf", lambda c: c <= F.col("u"))).cast("long"))
+    said = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    name = F.concat_ws("|", said(key), F.md5(said(text).cast("binary")))
+    drawn = docs.select(F.struct(*(F.col(f"`{x}`") for x in rest)).alias("row"), F.col(f"`{source}`").alias("source"), name.alias("name"))
+    drawn = drawn.withColumn("u", uniform(F.lit(str(seed)), F.col("name")))
+    passed = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
+    counted = drawn.join(table_, drawn.source.eqNullSafe(table_.s)).withColumn("copies", F.col("least") + passed)
     copied = counted.where("copies > 0").select("row", "name", "copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     return copied.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(str(seed + 1)), "name", F.col("copy").cast("string")))).orderBy("mix_key", "copy").select("row.*", *ADDED)
 
@@ -76,10 +93,10 @@ w AS (SELECT s, sqrt(CAST(n AS DOUBLE)) / sum(sqrt(CAST(n AS DOUBLE))) OVER () *
 k AS (SELECT s, mean, unnest(range(0, CAST(ceil(mean + 12 * sqrt(mean) + 25) AS BIGINT) + 1)) AS k FROM w),
 p AS (SELECT s, k, exp(-mean + sum(CASE WHEN k = 0 THEN 0 ELSE ln(mean) - ln(k) END) OVER (PARTITION BY s ORDER BY k)) AS p FROM k),
 c AS (SELECT s, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS cdf FROM p),
-u AS (SELECT *, CAST('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents),
+u AS (SELECT *, CAST('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents),
 d AS (
   SELECT doc_id, text, lang, source, n_chars, (SELECT count(*) FROM c WHERE c.s IS NOT DISTINCT FROM u.source AND c.cdf <= u.u) AS copies FROM u
 )
-SELECT doc_id, text, lang, source, n_chars, copies, copy, md5('43|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || copy) AS mix_key
+SELECT doc_id, text, lang, source, n_chars, copies, copy, md5('43|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) || '|' || copy) AS mix_key
 FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM d)
 """
