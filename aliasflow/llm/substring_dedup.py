@@ -14,6 +14,8 @@ remove.
 * Other columns, whatever their names, are kept by :func:`substring_dedup` unless they bear a name it adds.
 * Windows are equal if their 64-bit fingerprints and the parts that an independent one deals them to are; as parts
   grow in number with the input, false matches stay improbable: n * n / 2**65 / parts for n windows.
+* Parts, and what a task holds before it deals it out, grow with the square root of the input, so that the rows between
+  them grow as the input does.
 * Entries travel in byte planes of differences, texts compressed, so that shuffles stay small.
 """
 
@@ -28,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NO_ID, id_key, shares, table, text_hash
+from .common import NO_ID, id_key, input_bytes, shares, table, text_hash
 from .wordprints import Hasher, U, each, mix
 
-#: Windows that a task holds before it deals them out.
-HELD = 1_500_000
+#: Windows that a task holds before it deals them out, at least, and bytes of input for each about.
+HELD, WINDOW = 1_500_000, 4
+#: Bytes of input that make about 16 windows of a flush in a part, or more.
+ROW = 64
 PACKED = "part int, h binary, docs binary, sames binary, starts binary"
 #: Bits of the table of ids that stand for more than one text, and of one of the bitmaps it is made of.
 SLOTS, BITMAP = 1 << 23, 1 << 15
@@ -96,7 +100,7 @@ def _keys(batch: pa.RecordBatch, shared: np.ndarray, at: int = 0) -> tuple[np.nd
     return key.astype(np.int64), np.where(needed, same, 0).astype(np.int64)
 
 
-def _dealer(size: int, parts: int, shared):
+def _dealer(size: int, parts: int, held_most: int, shared):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, runs, other = Hasher(1), Hasher(11), Hasher(21)
         bits = np.frombuffer(shared.value, np.uint8)
@@ -124,7 +128,7 @@ def _dealer(size: int, parts: int, shared):
                 f = words.of_words(w.data, w.start, w.end)
                 held.append((runs.of_runs(f, first, size), (other.of_runs(f, first, size) % U(parts)).astype(np.int32), ids[low + text], sames[low + text], first - w.bounds[text]))
                 count += len(first)
-                if count >= HELD:
+                if count >= held_most:
                     yield from flush()
                     count = 0
         if held:
@@ -210,11 +214,12 @@ def _shared_ids(texts: DataFrame) -> bytes:
 
 def substring_dedup(docs: DataFrame, size: int = 20, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without its text, with n_words, n_removed, kept_text and removed (intervals of words, end exclusive)."""
-    parts = shares(docs, 5)
+    parts = shares(docs, 5, ROW)
+    held = max(HELD, size_ // parts // WINDOW if (size_ := input_bytes(docs)) < 1 << 60 else 0)
     keys = [id_key(key).alias("key"), text_hash(text).alias("same"), F.pmod(F.xxhash64(id_key(key)), F.lit(SLOTS)).alias("slot")]
     shared = docs.sparkSession.sparkContext.broadcast(_shared_ids(docs.select(*keys)))
     keyed = docs.select(*keys, F.col(text).cast("string").alias("t"))
-    found = keyed.mapInArrow(_dealer(size, parts, shared), PACKED).groupBy("part").applyInArrow(_judge(parts), "bucket int, docs binary, sames binary, starts binary")
+    found = keyed.mapInArrow(_dealer(size, parts, held, shared), PACKED).groupBy("part").applyInArrow(_judge(parts), "bucket int, docs binary, sames binary, starts binary")
     added = ["n_words", "n_removed", "kept_text", "removed"]
     rest = [x for x in docs.columns if x not in (text, *added)]
     whole = docs.select(F.struct(*(F.col(f"`{x}`") for x in rest)).alias("row"), *keys, F.col(text).cast("string").alias("text"))
