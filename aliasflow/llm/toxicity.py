@@ -13,7 +13,7 @@ words telling of toxicity than the median of the toxic sample, else 1.  Scoring
   is that of the thresholds alone, which is grade 0 when any clean document was seen.
 * A doc_id with several labels counts by the largest.  Labels without a document, or null, are left out.  Without any
   toxic label, or without any other, nothing is told apart: all documents have severity 0.
-* Rows are scored one by one; repeated rows repeat.
+* Rows are scored one by one; repeated rows repeat, other columns are kept, and no documents give no rows.
 """
 
 from __future__ import annotations
@@ -81,13 +81,13 @@ def _descend(of: np.ndarray, doc: np.ndarray, width: int, grade: np.ndarray, sha
 def fit_ordinal(rows: list[np.ndarray], grade: np.ndarray, weight: np.ndarray, grades: int, l1: float = 3e-4, again: float = 2e-5, steps: int = 300) -> Model:
     """Select features by a strong penalty ``l1``, then fit those selected with a weak one."""
     share = weight / weight.sum()
-    # screening: features more frequent in grades above 0 than chance makes them, that occur at least four times
+    # screening: features more frequent in grades above 0 than chance makes them, that occur at least twice
     hits, n = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
     for x, g in zip(rows, grade, strict=True):  # the features of a row are distinct
         n[x] += 1
         hits[x] += g > 0
     rate = (grade > 0).mean()
-    seen = np.flatnonzero((n >= 4) & (hits - n * rate > 3 * np.sqrt(n * rate * (1 - rate) + 1e-9)))
+    seen = np.flatnonzero((n >= 2) & (hits - n * rate > 3 * np.sqrt(n * rate * (1 - rate) + 1e-9)))
     del hits, n
     place = np.full(1 << BITS, -1, np.int32)
     place[seen] = np.arange(len(seen))
@@ -148,7 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, grades: int = 3,
         return None
     picked = None
     for toxic in (0, 1):
-        some = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("k"), "k").limit(sample)
+        # a share of them by hash, so that no task sends or sorts more than a few samples
+        share = min(1.0, 4 * sample / counts[toxic])
+        some = known.where((F.col("toxic") == toxic) & (F.pmod(F.xxhash64("k"), F.lit(1 << 32)) <= F.lit(int(share * (1 << 32))))).orderBy(F.xxhash64("k"), "k").limit(sample)
         picked = some if picked is None else picked.union(some)
     texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), "k").select("k", "toxic", "text").orderBy("k").limit(2 * sample).select("toxic", "text")
     # the sample is bounded, and so is the one task that fits it; a few hundred weights come back
