@@ -37,8 +37,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontamination": decontaminate.ORACLE,
-        "op5_html_extraction": op5_html_extraction,
-        "op6_toxicity": op6_toxicity,
         "op4_substring_dedup": substring_dedup.ORACLE,
         "op7_source_mixing": mixing.ORACLE,
         "op8_warc": warc.ORACLE,

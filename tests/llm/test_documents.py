@@ -92,11 +92,35 @@ def test_pruning_bounds_keep_what_reaches_the_threshold():
     assert lost.mean() < 1e-3 and (128 * 0.4) < least[128]
 
 
-def test_frequent_shingles_are_matched_in_blocks(spark, monkeypatch):
+def test_frequent_shingles_are_matched_in_blocks(spark):
+    # one bucket's classes fall into several components, so that prefixes are joined, in blocks of three entries
     docs = [(i, f"{COMMON} q{i} r{i} s{i} t{i}") for i in range(30)] + [(50, COMMON + " q1 r1 s1 t1 u1")]
+    docs += [(100 + i, " ".join(f"w{j}" for j in range(40 - i)) + " " + " ".join(f"x{i}y{j}" for j in range(i + 3))) for i in range(25)]
     want = sorted(near_dedup.brute_force(docs))
-    got = sorted((r.key, r.n_shingles, r.component_id, r.key == r.component_id) for r in near_dedup.near_duplicates(frame(spark, docs)).collect())
-    assert got == want
+    for block in (3, near_dedup.BLOCK):
+        got = sorted((r.key, r.n_shingles, r.component_id, r.key == r.component_id) for r in near_dedup.near_duplicates(frame(spark, docs), block=block).collect())
+        assert got == want
+
+
+def test_the_prefix_join_finds_every_link_whatever_the_blocks():
+    rng = np.random.default_rng(12)
+    texts = [" ".join(rng.choice([f"a{j}" for j in range(14)], 30)) if i % 3 else " ".join(f"a{j}" for j in range(20)) + f" z{i} z{i}" for i in range(60)]
+    docs = list(enumerate(texts))
+    counters = np.full(near_dedup.CHUNK, 50, np.uint32)
+    batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in docs], pa.int64()), pa.array([x for x, _ in docs], pa.int64()), pa.array(texts)], ["key", "component", "text"])
+
+    class Held:
+        value = counters.tobytes()
+
+    found = {}
+    for block in (7, 1000):
+        rows = [r for out in near_dedup._prefixer(5, 75, 1, block, Held)(iter([batch])) for r in out.to_pylist()]
+        table = pa.table({"part": pa.array([r["part"] for r in rows], pa.int32()), "entries": pa.array([r["entries"] for r in rows], pa.binary())})
+        found[block] = {(r["a"], r["b"]) for r in near_dedup._matcher(75)(table).to_pylist()}
+        assert block == 7 or found[7] == found[1000]
+    sets = {x: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for x, t in docs}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert links and links <= found[7]
 
 
 def test_components_of_chains_and_stars(spark):
@@ -115,8 +139,39 @@ def test_language_model_equals_the_automaton_walked_by_hand(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
     assert lm_scoring.lm_scores(frame(spark, [])).collect() == []
-    two = lm_scoring.lm_scores(frame(spark, [(1, "a b"), (1, "a b"), (None, "a")])).collect()
-    assert len(two) == 3 and {r.doc_id for r in two} == {1, None}
+    two = lm_scoring.lm_scores(frame(spark, [(1, "a b"), (1, "a b"), (None, "a"), (None, None)])).collect()
+    assert len(two) == 4 and {r.doc_id for r in two} == {1, None} and len({r.score for r in two if r.doc_id}) == 1
+    out = lm_scoring.lm_scores(spark.createDataFrame([(*d, "r", 7, "s", "n", 3) for d in docs], EXTRA + ", block int"))
+    assert out.columns[:6] == ["doc_id", "row", "key", "spans", "n_words", "block"] and {r.doc_id: r.score for r in out.collect()} == {x: got[x].score for x in got}
+
+
+def test_scores_do_not_depend_on_the_number_of_parts_or_segments(spark, monkeypatch):
+    docs = [(i, " ".join(f"t{(i * j * j) % 23}" for j in range(40 * i))) for i in range(12)]
+    want = {x: s for x, *_, s in lm_scoring.brute_force(docs)}
+    for parts, segment in ((1, 256), (7, 5), (64, 1)):
+        monkeypatch.setattr(lm_scoring, "shares", lambda df, mb, row, parts=parts: parts)
+        monkeypatch.setattr(lm_scoring.walk, "__defaults__", (segment,))
+        got = {r.doc_id: r.score for r in lm_scoring.lm_scores(frame(spark, docs)).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_the_automaton_follows_failure_arcs():
+    import pyarrow as pa
+
+    f, bounds = lm_scoring._tokens(pa.array(["a b c", "a b d", "b d"]))
+    grams = lm_scoring._grams(f, bounds, 3)
+    counts = [np.ones(len(g.prints), int) for g in grams]
+    token = grams[0].place
+    counts[2][grams[2].place[6]] = 0  # no training text holds "a b d"
+    made = lm_scoring.build(grams, counts, (300.0, 3.0), 10, 5)
+    state = np.zeros(1, np.int64)
+    for x in token[:2]:
+        state, _ = made.step(state, np.array([x]))
+    a_b, b = state[0], made.fails[state[0]]
+    assert a_b and b and made.fails[b] == 0
+    to, weight = made.step(state, token[6:7])
+    alone, from_b = made.step(np.array([b]), token[6:7])
+    assert to[0] == alone[0] and weight[0] == pytest.approx(made.fail_weight[a_b] + from_b[0])
 
 
 def test_contamination_and_cutting(spark):
@@ -131,6 +186,15 @@ def test_contamination_and_cutting(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
     cut = {r.doc_id: r.text for r in decontaminate.decontaminate(frame(spark, docs), bench, remove="spans").collect()}
     assert cut[1] == "x! y" and cut[2] == "a here" and cut[3] == docs[2][1] and cut[4] is None
+    rows = [(None, f"x {item}"), (None, f"x {item}"), (None, "clean text"), (9, item), (9, "clean too"), (None, None)]
+    again = decontaminate.contamination(frame(spark, rows), bench).collect()
+    assert sorted((r.doc_id or -1, r.n_hit) for r in again) == [(-1, 0), (-1, 0), (-1, 14), (-1, 14), (9, 0), (9, 14)]
+    kept = [tuple(r) for r in decontaminate.decontaminate(frame(spark, rows), bench).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, "clean text"), (9, "clean too"), (None, None)], key=repr)
+    shuffled = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(frame(spark, docs), bench, most_windows=2, most_bytes=0).collect()}
+    assert shuffled == got
+    extra = spark.createDataFrame([(*d, "r", 7, "s", "n") for d in docs], EXTRA.replace("key long", "k long")).withColumn("w", spark_col("w")).withColumn("hk", spark_col(1))
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(extra, bench).collect()) == [3, 4, 5, 6] and decontaminate.decontaminate(extra, bench, "spans").columns == extra.columns
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in decontaminate.contamination(frame(spark, docs), none).collect()} == {0}
     assert decontaminate.contamination(frame(spark, []), bench).collect() == []
@@ -168,6 +232,43 @@ def test_base_spans_equal_plain_matching(spark):
     masked = {r.doc_id: r.text for r in pii.redact(frame(spark, docs[:7])).collect()}
     assert masked[0].startswith("mail <EMAIL>, x@y") and masked[5] is None and "555-0122" not in masked[3]
     assert pii.find_pii(frame(spark, [])).collect() == []
+    out = pii.redact(spark.createDataFrame([(*d, "r", 7, "s", "n") for d in docs[:7]], EXTRA).withColumn("proposed", spark_col("p")))
+    assert out.columns[-1] == "proposed" and {r.doc_id: r.text for r in out.collect()} == masked and {r.spans for r in out.collect()} == {"s"}
+    twice = pii.find_pii(frame(spark, [(1, texts[0]), (1, texts[0]), (None, texts[0])])).collect()
+    assert len(twice) == 3 and len({str(r.spans) for r in twice}) == 1
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    import time
+
+    many = " ".join(f"user{i}@example.com \x01 4111111111111111 (956) 555-0199 Dr. Ada" for i in range(6000))
+    began = time.perf_counter()
+    r = pii.find_pii(frame(spark, [(1, many)])).first()
+    assert time.perf_counter() - began < 60
+    starts = [m.start() for m in re.finditer(r"user\d+@example\.com", many)]
+    assert [s.start for s in r.spans if s.kind == 0] == starts and sum(s.kind == 2 for s in r.spans) == 6000
+
+
+def test_running_sums_and_added_spans(spark):
+    from pyspark.sql import functions as F
+
+    rows = [([],), ([5],), ([3, 1, 4, 1, 5, 9, 2, 6],), (list(range(1000)),)]
+    got = spark.createDataFrame(rows, "x array<int>").select("x", pii.running(F.col("x"), lambda a, b: a + b, 0).alias("s"), pii.running(F.col("x"), F.greatest, 0).alias("m")).collect()
+    for r in got:
+        assert r.s == [sum(r.x[:i]) for i in range(len(r.x))] and r.m == [max(r.x[:i], default=0) for i in range(len(r.x))]
+    rng = np.random.default_rng(7)
+    cases = []
+    for _ in range(30):
+        spans = {(int(a), int(rng.integers(0, 6)), int(a + rng.integers(1, 9)), bool(rng.random() < 0.4)) for a in rng.integers(0, 60, 20)}
+        cases.append(([(a, k, b, base, 0, 0, 0, 0, 1 if rng.random() < 0.7 else 0) for a, k, b, base in sorted(spans)],))
+    weight = {("size", 1): 1.0, ("size", 0): -1.0}
+    for before, after in spark.createDataFrame(cases, f"spans {pii.SPANS}").select("spans", pii.accepted(F.col("spans"), weight).alias("out")).collect():
+        base = [s for s in before if s.base]
+        added = []
+        for s in before:
+            if not s.base and s["size"] == 1 and not any(b.start < s.end and s.start < b.end for b in base) and not any(s.start < b.end for b in added):
+                added.append(s)
+        assert after == sorted(base + added)
 
 
 def test_expectation_maximisation_finds_the_reliable_labeler():
@@ -209,6 +310,32 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.toxicity(frame(spark, []), labels).collect() == []
 
 
+def test_the_fit_is_the_best_of_all_weights_near_it():
+    rng = np.random.default_rng(5)
+    width, n, grades, l1 = 6, 200, 3, 1e-3
+    x = rng.random((n, width)) < 0.3
+    grade = np.clip((x[:, 0] * 1 + x[:, 1] * 2 + (rng.random(n) < 0.1)).astype(int), 0, 2)
+    share = np.full(n, 1 / n)
+    doc, of = np.nonzero(x)
+    w, t = toxicity._descend(of, doc, width, grade, share, grades, l1, 3000)
+
+    def loss(w, t):
+        """Each document's likelihood by the definition, one after another."""
+        total = l1 * w.sum()
+        for i in range(n):
+            s = sum(w[j] for j in range(width) if x[i, j])
+            above = [1.0, *(1 / (1 + np.exp(-(s - k))) for k in t), 0.0]
+            total -= np.log(above[grade[i]] - above[grade[i] + 1]) / n
+        return total
+
+    best = loss(w, t)
+    assert (w >= 0).all() and t[0] < t[1] and w[1] > w[0] > 0
+    for scale in (0.003, 0.03, 0.3):
+        for _ in range(25):
+            other = np.maximum(w + scale * rng.normal(size=width), 0), np.sort(t + scale * rng.normal(size=2))
+            assert loss(*other) >= best - 1e-5
+
+
 def test_mixing_reaches_target_rates(spark):
     docs = spark.createDataFrame([(i, "t", "hot" if i % 3 else None if i % 2 else f"s{i % 5}") for i in range(6000)], "doc_id long, text string, source string")
     out = mixing.mix(docs, weights={"hot": 1.0, "s0": 3.0})
@@ -218,6 +345,15 @@ def test_mixing_reaches_target_rates(spark):
     assert [r.mix_key for r in rows] == sorted(r.mix_key for r in rows) and None in {r.source for r in rows}
     assert mixing.mix(docs).collect() == rows
     assert mixing.mix(docs.limit(0)).collect() == []
+    none = spark.createDataFrame([(None, f"text {i}", "a") for i in range(400)] + [(None, None, "b")] * 3 + [(1, "x", "b"), (1, "x", "b"), (1, "y", "b")], "doc_id long, text string, source string")
+    drawn = mixing.mix(none, weights={"a": 1.0, "b": 1.0}, size=900).groupBy("source", "text").count().collect()
+    counts = [r["count"] for r in drawn if r.source == "a"]
+    assert len(set(counts)) > 1 and abs(sum(counts) - 450) < 90 and {r.text for r in drawn if r.source == "b"} == {None, "x", "y"}
+    assert sorted(map(str, mixing.mix(docs, most_numbers=0).collect())) == sorted(map(str, rows))
+    clash = docs.withColumn("row", spark_col("r")).withColumn("u", spark_col(1)).withColumn("least", spark_col(2)).withColumn("copy", spark_col(9))
+    assert mixing.mix(clash).columns == ["doc_id", "text", "source", "row", "u", "least", "copies", "copy", "mix_key"] and mixing.mix(clash).count() == len(rows)
+    wide_, low = spark.range(1).select(mixing.poisson_cdf(spark_col(5000.0)).alias("c"), mixing.least_copies(spark_col(5000.0)).alias("n")).first()
+    assert len(wide_) < 2000 and wide_[-1] == pytest.approx(1.0, abs=1e-10) and low + sum(c <= 0.5 for c in wide_) == 5000
     cdf = spark.range(1).select(mixing.poisson_cdf(spark_col(2.5)).alias("c")).first().c
     assert cdf[0] == pytest.approx(np.exp(-2.5)) and cdf[-1] == pytest.approx(1.0) and cdf == sorted(cdf)
 
