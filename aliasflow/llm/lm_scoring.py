@@ -13,13 +13,14 @@ once for each distinct n-gram in it, for its count in the corpus, and in the sam
 training documents hold it; requests are dealt by fingerprint, summed, and answered.  With the answers a block builds the
 states, arcs and failure arcs that its documents can reach, and walks them from left to right: texts are cut into
 segments, all segments of a block take a step at a time, each carrying its state and its sum of log-probabilities.  A
-segment that begins inside a text first reads the words before it, from which the state follows.
+segment that begins inside a text first reads the words before it, from which the state follows.  An arc bears the number
+of its n-gram in the block, so that a state finds its arc on the next token by one look-up.
 
 * A null text is empty: its only token is the end of text.  A document whose key is null trains the model.
 * Rows are scored one by one, so repeated rows count, and are returned, as often as they are given.  No documents give
   no rows.  Other columns, whatever their names, are kept, but for the text and those that bear an added name.
-* N-grams are told apart by 64 bits, the highest of which name the part they are dealt to, so that scores do not depend
-  on the number of parts.
+* N-grams are told apart by ``BITS`` bits, the highest of which name the part they are dealt to, so that scores do not
+  depend on the number of parts.
 * Blocks and parts grow with the square root of the input, so that the rows between them grow as the input does.
 """
 
@@ -35,18 +36,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import scan_number, shares, stored, table, text_hash
 from .wordprints import LOWER, Hasher, U, each
 
 END = U(0x9E3779B97F4A7C15)
 ANSWERS = "block int, part int, c1 binary, ck binary, vocabulary long, tokens long"
+#: Bits of an n-gram's fingerprint: of a million million n-grams, one in a million shares its count with another.
+BITS = 60
 #: Tokens of a segment.
 SEGMENT = 256
 #: Bytes of input that make about 16 n-grams of a block in a part, or more.
 ROW = 32
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed after their length, so that they travel small."""
+    for batch in batches:
+        raw = [x.encode() for x in batch.column(2).to_pylist()]
+        text = pa.array([len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text, batch.column(3)], ["row", "held_out", "text", "block"])
+
+
+def _texts(column: pa.ChunkedArray) -> pa.Array:
+    return pa.array([pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True) for x in column.to_pylist()], pa.binary()).cast(pa.string())
+
+
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of all tokens, each text's words followed by its end, and where each text begins."""
     words, found, counts = Hasher(1), [np.zeros(0, U)], [np.zeros(0, np.int64)]
@@ -72,7 +88,7 @@ def _grams(f: np.ndarray, bounds: np.ndarray, order: int) -> list[Grams]:
     at = np.arange(len(f)) - np.repeat(bounds[:-1], np.diff(bounds))
     for k in range(1, order + 1):
         end = np.flatnonzero(at >= k - 1)
-        prints, first, own = np.unique(runs.of_runs(f, end - k + 1, k), return_index=True, return_inverse=True)
+        prints, first, own = np.unique(runs.of_runs(f, end - k + 1, k) >> U(64 - BITS), return_index=True, return_inverse=True)
         place = np.full(len(f), -1, np.int32)
         place[end] = own
         out.append(Grams(prints, place, end[first]))
@@ -100,11 +116,11 @@ def _unplanes(x: bytes, width: int, kind: type) -> np.ndarray:
 
 
 def _asker(order: int, bits: int):
-    low = U((1 << 64 - bits) - 1)
+    low = U((1 << BITS - bits) - 1)
 
     def ask(group: pa.Table) -> pa.Table:
         """The requests of one block: for each part, its n-grams in ascending order, and their counts here."""
-        f, bounds = _tokens(group.column("text").combine_chunks())
+        f, bounds = _tokens(_texts(group.column("text")))
         train = np.repeat(~group.column("held_out").to_numpy(), np.diff(bounds))
         grams = _grams(f, bounds, order)
         count = [np.bincount(g.place[train & (g.place >= 0)], minlength=len(g.prints)).astype(np.uint32) for g in grams]
@@ -114,7 +130,7 @@ def _asker(order: int, bits: int):
             counted[length == k] = count[k]
         out: dict[int, list] = {}
         for kind, (h, n) in enumerate(((grams[0].prints, count[0]), (both, counted))):
-            to = h >> U(64 - bits) if bits else np.zeros(len(h), U)
+            to = h >> U(BITS - bits)
             cut = np.searchsorted(to, np.arange((1 << bits) + 1, dtype=U))
             for p in np.flatnonzero(np.diff(cut)):
                 own = slice(cut[p], cut[p + 1])
@@ -145,63 +161,67 @@ def _answer(group: pa.Table) -> pa.Table:
 
 @dataclass
 class Automaton:
-    """States are numbers from 0, the root; arcs lie in order of state * tokens + token."""
+    """States are numbers from 0, the root.  Arcs bear the numbers of the block's n-grams, shorter ones first."""
 
-    tokens: int
-    keys: np.ndarray
+    #: The number of the first n-gram of each length, and whether each n-gram is an arc.
+    first: np.ndarray
+    seen: np.ndarray
     weight: np.ndarray
     leads: np.ndarray
+    #: Of each state: how many tokens it holds, where its failure arc leads, and what that weighs.
+    depth: np.ndarray
     fails: np.ndarray
     fail_weight: np.ndarray
 
-    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """State and log10 probability after each of many states has read a token: failure arcs up to the first state with an arc on it, then that arc."""
-        state, total = state.copy(), np.zeros(len(state))
-        arc, open_ = np.empty(len(state), np.int64), np.arange(len(state))
+    def step(self, state: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State and log10 probability after each of many states has read its next token: failure arcs up to the first
+        state with an arc on it, then that arc.  ``places`` has, for each length, the n-gram that the token ends."""
+        at, total = state.copy(), np.zeros(len(state))
+        depth = self.depth[at]
+        arc = self.first[depth] + places[depth, np.arange(len(at))]
+        open_ = np.flatnonzero(~self.seen[arc])
         while len(open_):
-            key = state[open_] * self.tokens + token[open_]
-            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[found] == key
-            arc[open_[hit]] = found[hit]
-            open_ = open_[~hit]
-            total[open_] += self.fail_weight[state[open_]]
-            state[open_] = self.fails[state[open_]]
+            total[open_] += self.fail_weight[at[open_]]
+            at[open_] = self.fails[at[open_]]
+            depth = self.depth[at[open_]]
+            arc[open_] = self.first[depth] + places[depth, open_]
+            open_ = open_[~self.seen[arc[open_]]]
         return self.leads[arc], total + self.weight[arc]
 
 
 def build(grams: list[Grams], counts: list[np.ndarray], strengths: tuple[float, ...], total: int, vocabulary: int) -> Automaton:
     """Of the n-grams of a block and how often training documents hold each."""
-    order, tokens = len(grams), len(grams[0].prints)
+    order = len(grams)
     # the state of each n-gram shorter than the longest, 0 where none holds it
     state, states = [], 1
     for c in counts[: order - 1]:
         seen = c > 0
-        state.append(np.where(seen, states + np.cumsum(seen) - 1, 0))
+        state.append(np.where(seen, states + np.cumsum(seen) - 1, 0).astype(np.int32))
         states += int(seen.sum())
-    fails, fail_weight = np.zeros(states, np.int64), np.zeros(states)
+    fails, fail_weight, depth = np.zeros(states, np.int32), np.zeros(states), np.zeros(states, np.int8)
     p = (counts[0] + 0.5) / (total + 0.5 * (vocabulary + 1))
     # the root has an arc on every token, which leads back to it if no training document holds that
-    keys, weight, leads = [np.arange(tokens)], [np.log10(p)], [state[0] if state else np.zeros(tokens, np.int64)]
+    weight, leads = [np.log10(p)], [state[0] if state else np.zeros(len(p), np.int32)]
     for k in range(1, order):
         own, c, s = grams[k], counts[k], strengths[k - 1]
         before, suffix = grams[k - 1].place[own.example - 1], grams[k - 1].place[own.example]
         p = (c + s * p[suffix]) / (counts[k - 1][before] + s)
-        seen = np.flatnonzero(c > 0)
-        keys.append(state[k - 1][before[seen]] * tokens + grams[0].place[own.example[seen]])
-        weight.append(np.log10(p[seen]))
-        leads.append(state[k][seen] if k < order - 1 else state[k - 1][suffix[seen]])
+        weight.append(np.log10(p))
+        leads.append(state[k] if k < order - 1 else state[k - 1][suffix])
         known = np.flatnonzero(counts[k - 1] > 0)
         at = state[k - 1][known]
+        depth[at] = k
         fail_weight[at] = np.log10(s / (counts[k - 1][known] + s))
         if k > 1:
             fails[at] = state[k - 2][grams[k - 2].place[grams[k - 1].example[known]]]
-    key = np.concatenate(keys)
-    by = np.argsort(key, kind="stable")
-    return Automaton(tokens, key[by], np.concatenate(weight)[by], np.concatenate(leads)[by].astype(np.int64), fails, fail_weight)
+    first = np.cumsum([0, *(len(g.prints) for g in grams[:-1])])
+    seen = np.concatenate([np.ones(len(counts[0]), bool), *(c > 0 for c in counts[1:])])
+    return Automaton(first, seen, np.concatenate(weight), np.concatenate(leads), depth, fails, fail_weight)
 
 
-def walk(automaton: Automaton, token: np.ndarray, bounds: np.ndarray, order: int, segment: int = SEGMENT) -> np.ndarray:
-    """The log10 probability of each text, from left to right; ``token`` holds the texts' tokens one after another."""
+def walk(automaton: Automaton, places: np.ndarray, bounds: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+    """The log10 probability of each text, from left to right; ``places`` has the n-grams of each length that end at each token."""
+    order = len(places)
     pieces = -(-np.diff(bounds) // segment)
     text = np.repeat(np.arange(len(pieces)), pieces)
     begin = bounds[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * segment
@@ -210,10 +230,10 @@ def walk(automaton: Automaton, token: np.ndarray, bounds: np.ndarray, order: int
     low = np.maximum(begin - (order - 1), bounds[:-1][text])
     by = np.argsort(low - end, kind="stable")  # longest first, so that those still walking lie together
     low, begin, long_ = low[by], begin[by], (end - low)[by]
-    state, score = np.zeros(len(by), np.int64), np.zeros(len(by))
+    state, score = np.zeros(len(by), np.int32), np.zeros(len(by))
     for t in range(int(long_[0]) if len(by) else 0):
         n = int(np.searchsorted(-long_, -t))  # segments of more than t tokens
-        state[:n], log = automaton.step(state[:n], token[low[:n] + t])
+        state[:n], log = automaton.step(state[:n], places[:, low[:n] + t])
         score[:n] += np.where(low[:n] + t >= begin[:n], log, 0.0)
     out = np.empty(len(by))
     out[by] = score
@@ -222,15 +242,14 @@ def walk(automaton: Automaton, token: np.ndarray, bounds: np.ndarray, order: int
 
 def _scorer(order: int, strengths: tuple[float, ...], total: int, vocabulary: int):
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        f, bounds = _tokens(docs.column("text").combine_chunks())
+        f, bounds = _tokens(_texts(docs.column("text")))
         own = pa.array(np.argsort(answers.column("part").to_numpy()))
         one, more = (np.concatenate([_unplanes(x, 8, np.uint64) for x in answers.column(c).take(own).to_pylist()]).astype(np.int64) for c in ("c1", "ck"))
         grams = _grams(f, bounds, order)
         length = _longer(grams)[1]
         counts = [one, *(more[length == k] for k in range(1, order))]
-        token = grams[0].place.astype(np.int64)
-        scores = walk(build(grams, counts, strengths, total, vocabulary), token, bounds, order)
-        seen, at = one[token], bounds[:-1]
+        scores = walk(build(grams, counts, strengths, total, vocabulary), np.stack([g.place for g in grams]), bounds)
+        seen, at = one[grams[0].place], bounds[:-1]
         return pa.table(
             {
                 "row": docs.column("row"),
@@ -259,7 +278,8 @@ def lm_scores(docs: DataFrame, order: int = 3, strengths: tuple[float, ...] = (3
     held = F.coalesce(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % folds == fold, F.lit(False))
     # a row that is repeated very often is dealt to as many blocks as tasks read it
     block = F.pmod(F.xxhash64(F.lit(3), F.col(f"`{key}`"), text_hash(text), scan_number(docs)), F.lit(blocks)).cast("int")
-    dealt = docs.select(F.struct(*(F.col(f"`{x}`") for x in rest)).alias("row"), held.alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), block.alias("block"))
+    whole = docs.select(F.struct(*(F.col(f"`{x}`") for x in rest)).alias("row"), held.alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), block.alias("block"))
+    dealt = whole.mapInArrow(_squeeze, T.StructType([*whole.schema.fields[:2], T.StructField("text", T.BinaryType()), whole.schema.fields[3]]))
     asked = dealt.groupBy("block").applyInArrow(_asker(order, bits), "block int, part int, h1 binary, n1 binary, hk binary, nk binary")
     answers = stored(asked.groupBy("part").applyInArrow(_answer, ANSWERS), "answers")
     total, vocabulary = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("vocabulary"), F.lit(0))).first()

@@ -161,16 +161,16 @@ def test_the_automaton_follows_failure_arcs():
     f, bounds = lm_scoring._tokens(pa.array(["a b c", "a b d", "b d"]))
     grams = lm_scoring._grams(f, bounds, 3)
     counts = [np.ones(len(g.prints), int) for g in grams]
-    token = grams[0].place
-    counts[2][grams[2].place[6]] = 0  # no training text holds "a b d"
+    places = np.stack([g.place for g in grams])
+    counts[2][places[2, 6]] = 0  # no training text holds "a b d"
     made = lm_scoring.build(grams, counts, (300.0, 3.0), 10, 5)
-    state = np.zeros(1, np.int64)
-    for x in token[:2]:
-        state, _ = made.step(state, np.array([x]))
+    state = np.zeros(1, np.int32)
+    for i in range(2):
+        state, _ = made.step(state, places[:, i : i + 1])
     a_b, b = state[0], made.fails[state[0]]
     assert a_b and b and made.fails[b] == 0
-    to, weight = made.step(state, token[6:7])
-    alone, from_b = made.step(np.array([b]), token[6:7])
+    to, weight = made.step(state, places[:, 6:7])
+    alone, from_b = made.step(np.array([b]), places[:, 6:7])
     assert to[0] == alone[0] and weight[0] == pytest.approx(made.fail_weight[a_b] + from_b[0])
 
 
