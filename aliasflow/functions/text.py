@@ -1,21 +1,16 @@
 """Column expressions over text: tiles, spans with offsets, splicing, spellings.
 
-Offsets are code points and half-open.
+Offsets are code points and half-open.  Tiles are maximal runs of letters, numbers and underscores, or of anything else:
+together they rebuild the text.  Names are the words that a placeholder could collide with.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A maximal run of letters, numbers and underscores, or a maximal run of anything else: tiles rebuild the text.
-TILE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
-WORD = r"[\p{L}\p{N}_]+"
-#: Words that a placeholder could collide with.
-NAME = r"[\p{L}_][\p{L}\p{N}_]*"
-SPAN = "array<struct<start:int,end:int,match:string>>"
-EDIT = "array<struct<start:int,end:int,text:string>>"
-
 # The prefixes of placeholders by role, and of what has no role.
 ROLE_PREFIXES = {
     "TYPE": "Type",
@@ -37,45 +32,72 @@ UNKNOWN, LITERAL = "Unknown", "str"
 ACCESSORS = ("get", "is", "set")
 
 
+def split_words(text: Column, between: str) -> Column:
+    """What runs of ``between`` separate; a split reads a text once, where extracting all matches copies it for each."""
+    return F.array_remove(F.split(text, between, -1), "")
+
+
 def tiles(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TILE), F.lit(0))
+    return split_words(text, r"(?<=[\p{L}\p{N}_])(?=[^\p{L}\p{N}_])|(?<=[^\p{L}\p{N}_])(?=[\p{L}\p{N}_])")
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return split_words(text, r"[^\p{L}\p{N}_]+")
+
+
+def names(text: Column) -> Column:
+    """Words from their first letter on: numbers that a word begins with are no part of it."""
+    return split_words(text, r"(?:[^\p{L}\p{N}_]|(?<![\p{L}\p{N}_])\p{N}+)+")
+
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-def matches(text: Column, pattern: str) -> Column:
-    """Matches of a pattern with their offsets, which follow from the lengths of what lies between them."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"))
-        return F.when(x["match"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
+def running(numbers: Column, join: Callable[[Column, Column], Column], zero: int) -> Column:
+    """What ``join`` makes of all numbers before each one; ``zero`` changes no number that it is joined with.
 
-    return F.aggregate(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("match"))), zero, step, lambda acc: acc["out"])
+    A fold copies what it gathers at every step, so numbers are folded in runs of the square root of their count, and so
+    are the runs' totals.
+    """
+    start = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out"))
+    fold = lambda x: F.aggregate(x, start, lambda acc, v: F.struct(join(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def whole(x: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(x))).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / size).cast("int")), lambda i: fold(F.slice(x, i * size + 1, size)))
+        return bound(runs, lambda r: F.flatten(F.zip_with(r, fold(F.transform(r, lambda y: y["at"]))["out"], lambda y, t: F.transform(y["out"], lambda v: join(t, v)))))
+
+    return F.when(F.size(numbers) > 0, bound(numbers, whole)).otherwise(F.array().cast("array<int>"))
+
+
+def spans_of(pieces: Column) -> Column:
+    """Pieces of a text, one after another, with their offsets."""
+    starts = lambda p: running(F.transform(p, F.length), lambda x, y: x + y, 0)
+    return bound(pieces, lambda p: F.zip_with(p, starts(p), lambda x, at: F.struct(at.alias("start"), (at + F.length(x)).alias("end"), x.alias("match"))))
 
 
 def reserved_words(text: Column, removed: Column | None = None) -> Column:
     """Distinct names in the text whose first character no removed span (start, end) holds, sorted."""
-    spans = matches(text, NAME)
-    if removed is not None:
-        spans = F.filter(spans, lambda s: ~F.exists(removed, lambda r: (r["start"] <= s["start"]) & (s["start"] < r["end"])))
-    return F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["match"])))
+    if removed is None:
+        return F.array_sort(F.array_distinct(names(text)))
+    # a name begins where the numbers at the begin of a tile end
+    first = lambda s: s["start"] + F.length(F.regexp_extract(s["match"], r"^\p{N}*", 0))
+    spans = F.filter(spans_of(tiles(text)), lambda s: s["match"].rlike(r"^\p{N}*[\p{L}_]") & ~F.exists(removed, lambda r: (r["start"] <= first(s)) & (first(s) < r["end"])))
+    return F.array_sort(F.array_distinct(F.transform(spans, lambda s: F.regexp_replace(s["match"], r"^\p{N}+", ""))))
 
 
 def splice(text: Column, edits: Column) -> Column:
     """The text with each edit (start, end, text) in place of its span; edits may come in any order but must not overlap."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(
-        F.array_sort(edits),
-        zero,
-        lambda acc, e: F.struct(e["end"].cast("int").alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, e["start"] - acc["at"]), e["text"]).alias("out")),
-    )
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.greatest(F.length(text) - done["at"], F.lit(0))))
+
+    def written(e: Column) -> Column:
+        """What stands between each edit and the one before it, the edit's text, and the rest."""
+        before = F.concat(F.array(F.lit(0)), F.transform(e, lambda x: x["end"].cast("int")))
+        kept = F.zip_with(before, e, lambda at, x: F.concat(F.when(x.isNull(), F.substring(text, at + 1, F.length(text))).otherwise(F.substring(text, at + 1, x["start"] - at)), F.coalesce(x["text"], F.lit(""))))
+        return F.array_join(kept, "")
+
+    return bound(F.array_sort(edits), written)
 
 
 def capitalised(word: Column) -> Column:

@@ -17,21 +17,6 @@ from pyspark.sql import types as T
 from ..functions.text import splice
 
 
-def number_in_row(keys: Column, taken: Column, next_number: int = 1) -> Column:
-    """The fold as an expression over one row: keys (key, namespace) in order to (key, number, placeholder).
-
-    ``taken`` holds the surviving words that placeholders could equal; each key tries as many numbers as these burn.
-    """
-    zero = F.struct(F.lit(next_number).alias("next"), F.array().cast("array<struct<key:string,number:int,placeholder:string>>").alias("out"))
-
-    def step(acc: Column, k: Column) -> Column:
-        word = lambda n: F.concat(k["namespace"], n.cast("string"))
-        n = F.element_at(F.filter(F.sequence(acc["next"], acc["next"] + F.size(taken)), lambda n: ~F.array_contains(taken, word(n))), 1)
-        return F.struct((n + 1).alias("next"), F.concat(acc["out"], F.array(F.struct(k["key"].alias("key"), n.alias("number"), word(n).alias("placeholder")))).alias("out"))
-
-    return F.aggregate(keys, zero, step, lambda acc: acc["out"])
-
-
 def first_occurrences(occurrences: DataFrame, by: str = "doc_id", key: str = "key") -> DataFrame:
     """One row a document and key, with the start of its first occurrence and that occurrence's namespace."""
     return occurrences.groupBy(by, key).agg(F.min(F.struct("start", "namespace", "original")).alias("f")).select(by, key, "f.*")
@@ -43,6 +28,14 @@ def number_fast(occurrences: DataFrame, next_number: int = 1, by: str = "doc_id"
     return first_occurrences(occurrences, by, key).withColumn("number", (F.lit(next_number - 1) + rank).cast("int")).withColumn("placeholder", F.concat("namespace", F.col("number").cast("string")))
 
 
+def number_words(words: Column, namespace: str, next_number: int = 1) -> Column:
+    """Of a row's words in order: (key, number, placeholder) of each different one, numbered as it first occurs.
+
+    Distinct values keep the order of their first occurrence, so nothing is shuffled and nothing is ranked.
+    """
+    return F.transform(F.array_distinct(words), lambda w, i: F.struct(w.alias("key"), (i + next_number).alias("number"), F.concat(F.lit(namespace), (i + next_number).cast("string")).alias("placeholder")))
+
+
 def can_burn(reserved: DataFrame, namespaces: list[str], by: str = "doc_id") -> DataFrame:
     """Documents with a surviving word that a placeholder could equal."""
     return reserved.where(F.col("word").rlike(rf"^(?:{'|'.join(namespaces)})\d+$")).select(by).distinct()

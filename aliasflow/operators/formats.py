@@ -131,8 +131,12 @@ def recognised(text: Column) -> Column:
 
 
 def readings(subjects: DataFrame, text: str = "text") -> DataFrame:
-    """``subjects`` with format, status (read, refused, unreadable), form and recourse; no column holds text of the input."""
+    """``subjects`` with format, status, form and recourse; no column added holds text of the input.
+
+    A text of an admitted format is ``recognised``; whether it is read, only its reader can say.  Others are ``refused``,
+    with the form that names why and what to use in its place, or ``unreadable``.
+    """
     named = subjects.withColumn("format", recognised(F.col(text)))
     pick = lambda i: F.coalesce(*(F.when(F.col("format") == name, F.lit(form[i])) for name, form in FORMS.items()))
-    status = F.when(F.col("format").isNull(), "unreadable").when(F.col("format").isin(list(FORMS)), "refused").otherwise("read")
+    status = F.when(F.col("format").isNull(), "unreadable").when(F.col("format").isin(list(FORMS)), "refused").otherwise("recognised")
     return named.withColumn("status", status).withColumn("form", pick(0)).withColumn("recourse", pick(1))

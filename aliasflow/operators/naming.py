@@ -20,18 +20,32 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.text import LITERAL, ROLE_PREFIXES
 
 
 @dataclass
 class Ledger:
-    """What a project keeps: placeholders and originals by key, the counter, the stems that were used."""
+    """What a project keeps: placeholders and originals by key, the counter, the stems that were used.
+
+    A stream keeps the same in keyed state and gives another class with these methods.
+    """
 
     number: int = 1
     names: dict[str, tuple[str, str]] = field(default_factory=dict)
     stems: set[str] = field(default_factory=set)
 
+    def word_of(self, key: str) -> str | None:
+        return self.names[key][0] if key in self.names else None
+
+    def holds(self, word: str) -> bool:
+        return any(w == word for w, _ in self.names.values())
+
+    def after(self, run: "Run") -> "Ledger":
+        """Append-only: a key that is there keeps its row; the counter moves and stems unite."""
+        return Ledger(run.number, {**run.fresh, **self.names}, self.stems | run.stems)
+
 
 @dataclass
 class Symbol:
@@ -58,11 +72,17 @@ class Run:
 
     def __init__(self, ledger: Ledger, reserved: Iterable[str]) -> None:
         self.ledger, self.reserved, self.number = ledger, frozenset(reserved), ledger.number
-        self.words = {k: w for k, (w, _) in ledger.names.items()}
+        self.words: dict[str, str] = {}
         self.fresh: dict[str, tuple[str, str]] = {}
         self.derived: set[str] = set()
         self.stems: set[str] = set()
 
+    def word_of(self, key: str) -> str | None:
+        """The word that a key has in this invocation, or had before it."""
+        if key not in self.words and (had := self.ledger.word_of(key)) is not None:
+            self.words[key] = had
+        return self.words.get(key)
+
     def draw(self, namespace: str, stem: str | None = None) -> str:
         if stem:
             self.stems.add(stem)
@@ -82,11 +102,10 @@ class Run:
     def name(self, s: Symbol) -> str:
         if s.literal:
             return self.draw(LITERAL)
-        if s.key in self.words:
-            return self.words[s.key]
-        word = None
+        if (word := self.word_of(s.key)) is not None:
+            return word
         if s.prefix and s.field_key:
-            if s.field_key not in self.words:
+            if self.word_of(s.field_key) is None:
                 self.words[s.field_key] = self.draw(ROLE_PREFIXES["FIELD"], s.field_stem)
                 if s.field_qualified:
                     self.fresh[s.field_key] = (self.words[s.field_key], s.field_name or "")
@@ -101,45 +120,94 @@ class Run:
     def siblings(self, seen: Iterable[Symbol]) -> None:
         held = set(self.words.values())
         for s in (x for y in seen for x in y.siblings):
-            if not s.prefix or s.field_key not in self.words or s.key in self.words or not s.qualified:
+            if not s.prefix or not s.field_key or self.word_of(s.field_key) is None or self.word_of(s.key) is not None or not s.qualified:
                 continue
             word = derived(s.prefix, self.words[s.field_key])
-            if word in self.reserved or word in held:
+            if word in self.reserved or word in held or self.ledger.holds(word):
                 continue
             self.words[s.key] = self._derive(self.words[s.field_key], s.prefix)
             self.fresh[s.key] = (word, s.original)
             held.add(word)
 
-    def committed(self) -> Ledger:
-        return Ledger(self.number, {**self.ledger.names, **{k: v for k, v in self.fresh.items() if k not in self.ledger.names}}, self.ledger.stems | self.stems)
-
 
 def invocation(ledger: Ledger, symbols: list[Symbol], reserved: Iterable[str]) -> tuple[list[tuple[str, str]], Ledger, set[str]]:
     """(key, placeholder) of each symbol in document order, the ledger after it, and the keys that were derived."""
     run = Run(ledger, reserved)
     out = [(s.key, run.name(s)) for s in symbols]
     run.siblings(symbols)
-    return out, run.committed(), run.derived
+    return out, ledger.after(run), run.derived
+
+
+SIBLING = "struct<key: string, original: string, prefix: string, field_key: string, qualified: boolean>"
+#: What naming asks of a symbol; columns that are missing count as null.
+EVIDENCE = {
+    "project_id": "string", "seq": "long", "start": "int", "key": "string", "namespace": "string", "original": "string", "qualified": "boolean",
+    "field_key": "string", "field_name": "string", "field_qualified": "boolean", "prefix": "string", "stem": "string", "field_stem": "string",
+    "literal": "boolean", "siblings": f"array<{SIBLING}>", "reserved": "array<string>",
+}
+ROW = "project_id string, seq long, start int, key string, placeholder string, original string, derived boolean, sibling boolean, fresh boolean, next_number int, stems array<string>"
+
 
+def _given(x: object) -> bool:
+    return x is not None and x == x
 
-ROW = "project_id string, seq long, start int, key string, placeholder string, derived boolean"
+
+def symbols_of(rows: pd.DataFrame) -> list[Symbol]:
+    """The symbols of one invocation, in document order."""
+    text = lambda x: x if _given(x) else None
+    out = []
+    for r in rows.itertuples(index=False):
+        siblings = [Symbol(y["key"], "", y["original"], bool(y["qualified"]), y["field_key"], None, True, y["prefix"]) for y in (r.siblings if r.siblings is not None else [])]
+        out.append(Symbol(r.key, r.namespace, r.original, bool(r.qualified), text(r.field_key), text(r.field_name), not _given(r.field_qualified) or bool(r.field_qualified), text(r.prefix), text(r.stem), text(r.field_stem), _given(r.literal) and bool(r.literal), siblings))
+    return out
+
+
+def name_runs(rows: pd.DataFrame, ledger: Ledger) -> tuple[list[tuple], Ledger]:
+    """Rows of ROW for the invocations of one project, in their order, and the ledger after them.  Batch and stream share it."""
+    out: list[tuple] = []
+    for seq, part in rows.sort_values(["seq", "start"], kind="stable").groupby("seq", sort=True):
+        symbols, project = symbols_of(part), part["project_id"].iloc[0]
+        taken = part["reserved"].iloc[0]
+        run = Run(ledger, taken if taken is not None else ())
+        named = [(start, s, run.name(s)) for start, s in zip(part["start"], symbols, strict=True)]
+        run.siblings(symbols)
+        ledger = ledger.after(run)
+        seen = {s.key for s in symbols}
+        originals = {y.key for s in symbols for y in s.siblings}
+        head = (run.number, sorted(run.stems))
+        for start, s, word in named:
+            out.append((project, seq, start, s.key, word, s.original, s.key in run.derived, False, s.key in run.fresh, *head))
+        for key, (word, original) in run.fresh.items():
+            if key not in seen:  # fields that accessors name first, and accessors that were not seen
+                out.append((project, seq, None, key, word, original, key in originals, key in originals, True, *head))
+    return out, ledger
+
+
+def asked(evidence: DataFrame) -> DataFrame:
+    """``evidence`` with all columns that naming reads, and no others."""
+    return evidence.select(*(F.col(k).cast(t).alias(k) if k in evidence.columns else F.lit(None).cast(t).alias(k) for k, t in EVIDENCE.items()))
+
+
+def frame(rows: list[tuple]) -> pd.DataFrame:
+    """Of ROW; a sibling has no start."""
+    out = pd.DataFrame(rows, columns=[x.split()[0] for x in ROW.split(", ")])
+    return out.assign(start=out["start"].astype("Int32"))
 
 
 def name_symbols(evidence: DataFrame) -> DataFrame:
-    """Placeholders for (project_id, seq, start, key, namespace, original, qualified, field_key, field_name, prefix, reserved).
+    """Placeholders for all symbols of all projects, as ROW; a group is a project's history.
 
-    A group is a project's history; rows that share (seq, key) may repeat.  ``reserved``: array of surviving words, of
-    which the first row of an invocation counts.
+    ``reserved`` are the words that survive in an invocation's text, of which its first row counts.  Rows that have no
+    start are what the ledger gains besides: fields that accessors name first, and accessors that were not seen.
     """
+    return asked(evidence).groupBy("project_id").applyInPandas(lambda rows: frame(name_runs(rows, Ledger())[0]), ROW)
+
+
+def ledger_delta(named: DataFrame) -> DataFrame:
+    """What naming adds to the ledger: (project_id, key, placeholder, original)."""
+    return named.where("fresh").groupBy("project_id", "key").agg(F.min_by(F.struct("placeholder", "original"), F.struct("seq", "placeholder")).alias("r")).select("project_id", "key", "r.*")
+
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        ledger, out = Ledger(), []
-        rows = rows.astype(object).where(rows.notna(), None)
-        for seq, run in rows.sort_values(["seq", "start"]).groupby("seq", sort=True):
-            symbols = [Symbol(r.key, r.namespace, r.original, bool(r.qualified), r.field_key, r.field_name, True, r.prefix) for r in run.itertuples(index=False)]
-            taken = run["reserved"].iloc[0]
-            named, ledger, made = invocation(ledger, symbols, taken if taken is not None else ())
-            out += [(run["project_id"].iloc[0], seq, start, key, word, key in made) for start, (key, word) in zip(run["start"], named, strict=True)]
-        return pd.DataFrame(out, columns=[x.split()[0] for x in ROW.split(", ")])
-
-    return evidence.groupBy("project_id").applyInPandas(fold, ROW)
+def delta_heads(named: DataFrame) -> DataFrame:
+    """The counter and the stems after the last invocation: (project_id, next_number, stems)."""
+    return named.groupBy("project_id").agg(F.max("next_number").alias("next_number"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("stems")))).alias("stems"))

@@ -27,14 +27,20 @@ def claimed_packages(packages: DataFrame, internal: DataFrame, third_party: Data
     Prefixes hold whole segments.  Instead of comparing every package with every prefix, each package offers its few
     leading segments as keys of an equi-join, so neither list has to be small.
     """
+    found = prefix_lengths(packages.select(F.col(package).alias("package")), internal, third_party).select(F.col("package").alias("__p"), (F.col("own") > F.col("other")).alias("claimed"))
+    out = packages.join(found, packages[package] == found["__p"], "left").drop("__p")
+    return out.withColumn("claimed", F.coalesce("claimed", F.lit(False)))
+
+
+def prefix_lengths(packages: DataFrame, internal: DataFrame, third_party: DataFrame) -> DataFrame:
+    """(package, own, other): the lengths of the longest prefixes of each kind that a package has, -1 without one."""
     both = internal.select(F.trim("prefix").alias("prefix"), F.lit(True).alias("own")).union(third_party.select(F.trim("prefix").alias("prefix"), F.lit(False)))
     both = both.where("prefix != ''").groupBy("prefix").agg(F.max(F.col("own").cast("int")).alias("own"), F.max((~F.col("own")).cast("int")).alias("other"))
-    distinct = packages.select(F.col(package).alias("p")).distinct().where("p is not null")
-    each = distinct.select("p", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("p", r"\."))), lambda n: F.array_join(F.slice(F.split("p", r"\."), 1, n), "."))).alias("prefix"))
+    distinct = packages.select("package").distinct().where("package is not null")
+    segments = F.split("package", r"\.")
+    each = distinct.select("package", F.explode(F.transform(F.sequence(F.lit(1), F.size(segments)), lambda n: F.array_join(F.slice(segments, 1, n), "."))).alias("prefix"))
     length = lambda c: F.max(F.when(F.col(c) == 1, F.length("prefix")).otherwise(-1))
-    found = each.join(both, "prefix").groupBy("p").agg((length("own") > length("other")).alias("claimed"))
-    out = packages.join(found, packages[package] == found.p, "left").drop("p")
-    return out.withColumn("claimed", F.coalesce("claimed", F.lit(False)))
+    return each.join(both, "prefix").groupBy("package").agg(length("own").alias("own"), length("other").alias("other"))
 
 
 def owned(origin: Column, claimed: Column) -> Column:
@@ -47,14 +53,14 @@ def is_anonymized(origin: Column, claimed: Column, role: Column, package: Column
     return F.when(top, False).when(origin.isin("IN_CONTENT", "UNRESOLVED"), True).when(origin == "LIBRARY", F.coalesce(claimed, F.lit(False))).otherwise(False)
 
 
-def constrained_keys(evidence: DataFrame) -> DataFrame:
-    """Distinct shared keys that may not be renamed: owned, and a fixed method or an override of what is not owned.
+def constrained_keys(evidence: DataFrame, *within: str) -> DataFrame:
+    """Distinct shared keys (of each of ``within``, if given) that may not be renamed: owned, and a fixed method or an override of what is not owned.
 
     ``evidence``: shared, owned, role, declared_name, roots_owned (false if any override root is not owned).  One
     constrained occurrence constrains its key everywhere.
     """
     fixed = (F.col("role") == "METHOD") & F.col("declared_name").isin(*FIXED_METHODS)
-    return evidence.where(F.col("owned") & (fixed | ~F.coalesce("roots_owned", F.lit(True)))).select("shared").distinct()
+    return evidence.where(F.col("owned") & (fixed | ~F.coalesce("roots_owned", F.lit(True)))).select(*within, "shared").distinct()
 
 
 def namespace(origin: Column, role: Column) -> Column:
@@ -62,6 +68,11 @@ def namespace(origin: Column, role: Column) -> Column:
     return F.when(origin == "UNRESOLVED", F.lit(UNKNOWN)).otherwise(prefix)
 
 
+def mapped_kind(kind: Column, origin: Column, role: Column) -> Column:
+    """What a mapping calls a name: a literal, unknown whatever its role, or its role."""
+    return F.when(kind == "literal", F.lit("LITERAL")).when(origin == "UNRESOLVED", F.lit("UNKNOWN")).otherwise(role)
+
+
 def outcomes(evidence: DataFrame) -> DataFrame:
     """``evidence`` with outcome: replaced or preserved, by would_replace, constrained keys and the user's own ticks."""
     constrained = constrained_keys(evidence).withColumn("constrained", F.lit(True))

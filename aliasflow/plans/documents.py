@@ -126,11 +126,8 @@ def read_yaml(text: str) -> Node | None:
     return root
 
 
-def read_xml(text: str, attributes: bool = False) -> tuple[str, Node] | None:
-    """(root tag, node).  Elements with elements are mappings, or lists where all are Item; others are values.
-
-    With ``attributes``, these are entries of their element's mapping, before its elements.
-    """
+def read_xml(text: str) -> tuple[str, Node] | None:
+    """(root tag, node).  Elements with elements are mappings, or lists where all are Item; others are values."""
     stack: list[tuple[str, list, int]] = []
     at = len(text) - len(text.lstrip())
     while at < len(text):
@@ -147,12 +144,11 @@ def read_xml(text: str, attributes: bool = False) -> tuple[str, Node] | None:
             if entries and re.sub(r"<[^>]*>[^<]*</[^>]*>|<[^>]*>", "", inner).strip():
                 return None
         else:
-            own = [(a[1], (m.start("attributes") + a.start(1), m.start("attributes") + a.end(1)), ("leaf", (m.start("attributes") + a.start(2), m.start("attributes") + a.end(2)))) for a in re.finditer(r"([\w.:-]+)=\"([^\"]*)\"", m["attributes"])]
-            if own and not attributes and (stack or [a for a, *_ in own] != ["xmlns"]):
+            if m["attributes"].strip() and (stack or not re.fullmatch(r'\s+xmlns="[^"]*"', m["attributes"])):
                 return None
-            tag, node = m["tag"], ("map", own if attributes else [])
+            tag, node = m["tag"], ("map", [])
             if not m["empty"]:
-                stack.append((tag, own if attributes else [], at))
+                stack.append((tag, [], at))
                 at = _skip_text(text, at)
                 if at < 0:
                     return None
@@ -165,6 +161,81 @@ def read_xml(text: str, attributes: bool = False) -> tuple[str, Node] | None:
     return None
 
 
+MARKUP = re.compile(r'<(?P<close>/)?(?P<tag>[\w.-]+)(?P<attributes>(?:\s*[\w.:-]+\s*=\s*"[^"]*")*)\s*(?P<empty>/)?>')
+PAIR = re.compile(r'([\w.:-]+)\s*=\s*"([^"]*)"')
+CDATA = re.compile(r"(?:<!\[CDATA\[.*?\]\]>)+(?=</)", re.S)
+
+
+def read_attributed(text: str, root: str, data: bool = False) -> Node | None:
+    """The mapping of an element of the name ``root`` that is the whole text: its attributes, then its elements.
+
+    With ``data``, an element may hold character data or CDATA sections beside attributes; these are its entry #text.
+    Values carry as a third part where they lie with their label.
+    """
+    open_: list[tuple[str, list, int, int]] = []  # tag, entries, where it begins, where its content does
+    at = len(text) - len(text.lstrip())
+    while at < len(text):
+        m = MARKUP.match(text, at)
+        if not m:
+            return None
+        begin, at = at, m.end()
+        if not m["close"]:
+            own = [(a[1], (m.start("attributes") + a.start(1),), ("leaf", _within(m, a, 2), _within(m, a, 0))) for a in PAIR.finditer(m["attributes"])]
+            if not m["empty"]:
+                open_.append((m["tag"], own, begin, at))
+                held = _content(text, at, data)
+                if held is not None:
+                    inner, end = held
+                    if own and data:
+                        own.append(("#text", (), ("leaf", inner, (at, end))))
+                    elif own or not data and text[slice(*inner)].strip() == "":
+                        return None
+                    at = end
+                elif (at := _blank(text, at)) < 0:
+                    return None
+                continue
+            node: Node = ("map", own) if own else ("leaf", (at, at), (begin, at))
+            tag = m["tag"]
+        else:
+            if not open_ or open_[-1][0] != m["tag"] or m["attributes"]:
+                return None
+            tag, entries, low, inside = open_.pop()
+            children = [n for _, _, n in entries]
+            if entries and all(x == "Item" for x, *_ in entries):
+                node = ("list", children)
+            elif entries:
+                node = ("map", entries)
+            else:
+                found = _content(text, inside, data)
+                node = ("leaf", found[0] if found else (inside, begin), (low, at))
+        if not open_:
+            return node if tag == root and node[0] == "map" and not text[at:].strip() else None
+        open_[-1][1].append((tag, (), node))
+        if (at := _blank(text, at)) < 0:
+            return None
+    return None
+
+
+def _within(m: re.Match, a: re.Match, group: int) -> tuple[int, int]:
+    return m.start("attributes") + a.start(group), m.start("attributes") + a.end(group)
+
+
+def _content(text: str, at: int, data: bool) -> tuple[tuple[int, int], int] | None:
+    """Character data from here to an end tag, without the marks of CDATA, and where the end tag begins; None if there are elements or nothing."""
+    end = text.find("<", at)
+    if data and (m := CDATA.match(text, at)):
+        return (at + len("<![CDATA["), m.end() - len("]]>")), m.end()
+    if end < 0 or not text.startswith("</", end) or not data and not text[at:end].strip():
+        return None
+    return (at, end), end
+
+
+def _blank(text: str, at: int) -> int:
+    """Where the next tag begins, if only blanks lie before it; else -1."""
+    end = text.find("<", at)
+    return end if end >= 0 and not text[at:end].strip() else -1
+
+
 def _skip_text(text: str, at: int) -> int:
     """Where the next tag begins; -1 if none does, or a reference is not closed."""
     end = text.find("<", at)

@@ -1,33 +1,45 @@
-"""Plans as rows: which texts are read, their spans, and their rewritten text.
+"""Plans as rows: the status of every text, the spans of those that are read, and their rewritten text.
 
-Recognisers and frames are told by columns over the head of a text; only texts that some reader may take reach Python.
+Recognisers and frames are told by columns over the head of a text; only texts that some reader may take reach Python,
+where a plan is one row from its reader to its rewritten text: nothing is shuffled and each text is parsed once.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import LITERAL, ROLE_PREFIXES, reserved_words, splice
-from ..operators.allocation import number_in_row
+from ..functions.text import LITERAL, ROLE_PREFIXES
+from ..operators.allocation import fold
 from ..operators.formats import head_lines, readings
 from . import oracle_grid, postgres_text, sqlserver_text, structured
 from .expressions import Span
 from .frames import Frame
 from .postgres_text import Refused
 
-READ = ("text", "json", "yaml", "xml", "mysql-json-v1", "mysql-json-v2", "sqlserver-showplan-text", "oracle-grid-text")
+#: Formats with a reader.
+READ = ("text", "json", "yaml", "xml", "mysql-json-v1", "mysql-json-v2", "sqlserver-showplan-xml", "sqlserver-showplan-text", "oracle-grid-text", "oracle-sql-monitor-xml")
+NAME = "struct<ordinal: int, original: string, placeholder: string, kind: string, key: string>"
+ARROW_NAME = pa.list_(pa.struct([("ordinal", pa.int32()), *((x, pa.string()) for x in ("original", "placeholder", "kind", "key"))]))
+#: Words that a placeholder could equal.
+WORD = re.compile(r"[^\W\d]\w*")
+# What to use in place of a form that a reader refuses.
+RECOURSE = {"POSTGRES_TEXT_RAW_NAME_ROW": "POSTGRES_FORMAT_JSON", "SQLSERVER_SHOWPLAN_TEXT_REMOTE": "SQLSERVER_SHOWPLAN_XML"}
 SPAN = "struct<start: int, end: int, name_start: int, name_end: int, disposition: string, role: string, key: string, unscannable: boolean>"
 ARROW_SPAN = pa.list_(pa.struct([*((x, pa.int32()) for x in ("start", "end", "name_start", "name_end")), *((x, pa.string()) for x in ("disposition", "role", "key")), ("unscannable", pa.bool_())]))
 
 
 #: Readers of what no client frames.
-UNFRAMED = {"sqlserver-showplan-text": sqlserver_text.parse, "oracle-grid-text": oracle_grid.parse}
+UNFRAMED = {
+    "sqlserver-showplan-text": sqlserver_text.parse,
+    "oracle-grid-text": oracle_grid.parse,
+    **{x: (lambda text, x=x: structured.parse(text, x)) for x in ("sqlserver-showplan-xml", "oracle-sql-monitor-xml")},
+}
 
 
 def spelling_of(text: str) -> str:
@@ -54,48 +66,105 @@ def read(text: str, spelling: str | None) -> list[Span]:
     return out
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text, spelling in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            try:
-                rows.append(("read", None, [s._asdict() for s in read(text or "", spelling)]))
-            except Refused as e:
-                rows.append(("refused" if e.form else "unreadable", e.form, []))
-        status, form, spans = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(status, pa.string()), pa.array(form, pa.string()), pa.array(spans, ARROW_SPAN)], ["row", "text", "status", "form", "spans"])
-
-
-def read_plans(subjects: DataFrame, text: str = "text") -> DataFrame:
-    """``subjects`` that a reader may take, with status, form and spans in document order."""
-    head = F.coalesce(F.get(head_lines(F.col(text), 1), F.lit(0)), F.lit(""))
-    framed = (F.trim(head) == "QUERY PLAN") | head.rlike(r"^\*{3,} 1\. row \*{3,}$")
-    rest = [c for c in subjects.columns if c not in (text, "status", "form", "spans")]
-    known = readings(subjects.select(F.struct(*rest).alias("row"), F.col(text).alias("text"))).where(F.col("format").isin(*READ) | framed)
-    some = known.select("row", "text", F.when(~framed, F.col("format")).alias("spelling"))
-    schema = T.StructType([*some.schema.fields[:2], *T.StructType.fromDDL(f"status string, form string, spans array<{SPAN}>")])
-    return some.mapInArrow(_run, schema).select("row.*", F.col("text").alias(text), "status", "form", "spans")
+def rewritten(text: str, spans: list[Span], next_number: int = 1) -> tuple[str, list[dict]]:
+    """The text with numbered placeholders for its names and values, without what is dropped; and its names in order."""
+    edits = [s for s in spans if s.disposition != "preserve"]
+    first: dict[str, Span] = {}
+    for s in edits:
+        if s.key:
+            first.setdefault(s.key, s)
+    kept, at = [], 0
+    for s in edits:
+        kept.append((at, s.name_start))
+        at = s.name_end
+    kept.append((at, len(text)))
+    # a word survives if its first character does
+    gone = iter([(b, c) for (_, b), (c, _) in zip(kept, kept[1:], strict=False)] + [(len(text) + 1, len(text) + 1)])
+    low, high = next(gone)
+    taken = set()
+    for m in WORD.finditer(text):
+        while m.start() >= high:
+            low, high = next(gone)
+        if not low <= m.start():
+            taken.add(m[0])
+    prefix = lambda s: ROLE_PREFIXES.get(s.role or "", LITERAL)
+    words = {k: w for k, _, w in fold([(k, prefix(s)) for k, s in first.items()], taken, next_number)}
+    out, at = [], 0
+    for s in edits:
+        begin, end = (s.start, s.end) if s.disposition == "drop" else (s.name_start, s.name_end)
+        out += [text[at:begin], words.get(s.key or "", "")]
+        at = end
+    names = [{"ordinal": i, "original": text[s.name_start : s.name_end], "placeholder": words[k], "kind": s.role or "LITERAL", "key": k} for i, (k, s) in enumerate(first.items())]
+    return "".join([*out, text[at:]]), names
+
+
+def _runner(next_number: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, spelling in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                try:
+                    spans = read(text or "", spelling)
+                    rows.append((*rewritten(text or "", spans, next_number), "read", None, [s._asdict() for s in spans]))
+                except Refused as e:
+                    rows.append((None, [], "refused" if e.form else "unreadable", e.form, []))
+            done, names, status, form, spans = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(done, pa.string()), pa.array(names, ARROW_NAME), pa.array(status, pa.string()), pa.array(form, pa.string()), pa.array(spans, ARROW_SPAN)],
+                ["row", "text", "anonymized", "names", "status", "form", "spans"],
+            )
+
+    return run
+
+
+def is_framed(text: Column) -> Column:
+    """The head of a text is that of a client's frame."""
+    head = F.coalesce(F.get(head_lines(text, 1), F.lit(0)), F.lit(""))
+    return (F.trim(head) == "QUERY PLAN") | head.rlike(r"^\*{3,} 1\. row \*{3,}$")
+
+
+ADDED = ["format", "status", "form", "recourse", "anonymized", "names", "spans"]
+
+
+def read_plans(subjects: DataFrame, text: str = "text", next_number: int = 1) -> DataFrame:
+    """``subjects``, every row of them, with format, status (read, refused, unreadable), form, recourse, spans in document
+    order, names and the anonymized text; the last three are empty of what is not read, and hold no text of it."""
+    rest = [F.col(f"`{c}`") for c in subjects.columns if c not in (text, *ADDED)]
+    known = readings(subjects.select(F.struct(*rest).alias("row"), F.col(f"`{text}`").alias("text")))
+    framed = F.coalesce(is_framed(F.col("text")), F.lit(False))
+    taken = F.col("format").isin(*READ) | framed
+    some = known.where(taken).select(F.struct("row", "format", "recourse").alias("row"), "text", F.when(~framed, F.col("format")).alias("spelling"))
+    schema = T.StructType([*some.schema.fields[:2], *T.StructType.fromDDL(f"anonymized string, names array<{NAME}>, status string, form string, spans array<{SPAN}>")])
+    read_ = some.mapInArrow(_runner(next_number), schema)
+    recourse = F.coalesce(*(F.when(F.col("form") == k, F.lit(v)) for k, v in RECOURSE.items()))
+    read_ = read_.select(F.col("row.row").alias("row"), "text", F.col("row.format").alias("format"), "status", "form", recourse.alias("recourse"), "anonymized", "names", "spans")
+    other = known.where(~F.coalesce(taken, F.lit(False))).select(
+        "row", "text", "format", "status", "form", "recourse",
+        F.lit(None).cast("string").alias("anonymized"), F.array().cast(f"array<{NAME}>").alias("names"), F.array().cast(f"array<{SPAN}>").alias("spans"),
+    )
+    return read_.unionByName(other).select("row.*", F.col("text").alias(text), *ADDED)
 
 
 def parse_plans(subjects: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a span, or one with its status where there is none."""
-    return read_plans(subjects.select(key, text), text).select(key, "status", "form", F.explode_outer("spans").alias("s")).select(key, "status", "form", "s.*")
+    return read_plans(subjects.select(key, text), text).select(key, "format", "status", "form", "recourse", F.explode_outer("spans").alias("s")).select(key, "format", "status", "form", "recourse", "s.*")
+
+
+def plan_names(subjects: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a name of the plans that are read, in order of first use."""
+    return read_plans(subjects.select(key, text), text).select(key, F.explode("names").alias("n")).select(key, "n.*")
+
+
+def plan_counts(subjects: DataFrame, preserved_keys: tuple[str, ...] = (), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per plan that is read: distinct keys replaced; distinct keys kept by choice, and distinct spellings preserved."""
+    plans = read_plans(subjects.select(key, text), text).where("status = 'read'")
+    keys = F.array_distinct(F.transform(F.filter("spans", lambda s: s["disposition"] == "anonymize"), lambda s: s["key"]))
+    ticked = F.array_intersect(keys, F.array(*map(F.lit, preserved_keys)).cast("array<string>"))
+    spelt = F.array_distinct(F.transform(F.filter("spans", lambda s: s["disposition"] == "preserve"), lambda s: F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])))
+    return plans.select(key, F.size(F.array_except(keys, ticked)).cast("long").alias("replaced"), (F.size(ticked) + F.size(spelt)).cast("long").alias("preserved"))
 
 
 def anonymize_plans(subjects: DataFrame, next_number: int = 1) -> DataFrame:
-    """``subjects`` that are read, with their names and values replaced by numbered placeholders.
-
-    A plan is one row from its reader to its rewritten text: nothing is shuffled and each text is parsed once.
-    """
-    plans = read_plans(subjects).where("status = 'read'")
-    prefix = lambda s: F.coalesce(*(F.when(s["role"] == k, F.lit(v)) for k, v in ROLE_PREFIXES.items()), F.lit(LITERAL))
-    named = plans.withColumn("named", F.filter("spans", lambda s: s["disposition"].isin("anonymize", "mask")))
-    removed = F.transform("named", lambda s: F.struct(s["name_start"].alias("start"), s["name_end"].alias("end")))
-    like = rf"^(?:{'|'.join([*ROLE_PREFIXES.values(), LITERAL])})\d+$"
-    taken = named.withColumn("taken", F.filter(reserved_words(F.col("text"), removed), lambda w: w.rlike(like)))
-    # the first span of each key; later ones repeat its key
-    first = F.filter(F.transform("named", lambda s, i: F.struct(s["key"].alias("key"), prefix(s).alias("namespace"), i.alias("i"))), lambda x: F.array_position(F.transform("named", lambda s: s["key"]), x["key"]) == x["i"] + 1)
-    numbered = taken.withColumn("numbered", number_in_row(first, F.col("taken"), next_number))
-    words = numbered.withColumn("words", F.map_from_entries(F.transform("numbered", lambda n: F.struct(n["key"], n["placeholder"]))))
-    edits = F.transform("named", lambda s: F.struct(s["name_start"].alias("start"), s["name_end"].alias("end"), F.element_at("words", s["key"]).alias("text")))
-    return words.withColumn("text", splice(F.col("text"), edits)).select(subjects.columns)
+    """``subjects`` that are read, with their names and values replaced by numbered placeholders."""
+    done = read_plans(subjects, next_number=next_number).where("status = 'read'")
+    return done.select(*((F.col("anonymized") if c == "text" else F.col(f"`{c}`")).alias(c) for c in subjects.columns))

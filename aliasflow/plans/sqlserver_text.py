@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from .expressions import Span
+from .expressions import Span, trimmed
 from .postgres_text import Refused
 
 NAME = r"\[(?:[^\]]|\]\])+\]"
@@ -26,6 +26,15 @@ def _names(text: str, low: int, high: int, roles: tuple[str, ...], declared: set
         yield Span(low + m.start(), low + m.end(), low + m.start() + 1, low + m.end() - 1, "anonymize", role, f"{kind}:{role}:{name}")
 
 
+def whole_name(text: str, low: int, high: int, role: str, declared: set[str], declares: bool = False) -> Iterator[Span]:
+    """One bracketed name and nothing else; nothing where there is nothing."""
+    a, b = trimmed(text, low, high)
+    if a < b:
+        if not re.fullmatch(NAME, text[a:b]):
+            raise Refused
+        yield from _names(text, a, b, (role,), declared, declares)
+
+
 def bracketed(text: str, low: int, high: int, declared: set[str]) -> Iterator[Span]:
     """Chains name a column from the right, objects a table from the left; what is left open refuses."""
     for m in PIECE.finditer(text, low, high):

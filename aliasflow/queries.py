@@ -87,7 +87,7 @@ def word_tiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"SELECT doc_id, len(w) AS n, md5(array_to_string(list_sort(w), ' ')) AS digest FROM (SELECT doc_id, list_distinct(regexp_extract_all(text, '[\p{L}_][\p{L}\p{N}_]*')) AS w FROM documents)")
 def reserved_words(spark: SparkSession, d: str) -> DataFrame:
-    t = _read(spark, d, "SELECT doc_id, text FROM documents").withColumn("w", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(X.NAME), F.lit(0)))))
+    t = _read(spark, d, "SELECT doc_id, text FROM documents").withColumn("w", X.reserved_words(F.col("text")))
     return t.select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest"))
 
 
@@ -102,9 +102,8 @@ def shared_mask_keys(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""SELECT doc_id, word, CAST(6 + dense_rank() OVER (PARTITION BY doc_id ORDER BY first_at) AS INT) AS number FROM (SELECT doc_id, word, min(i) AS first_at FROM (
   SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}_][\p{L}\p{N}_]*') AS w FROM documents)) GROUP BY ALL)""")
 def first_occurrence_numbering(spark: SparkSession, d: str) -> DataFrame:
-    words = F.regexp_extract_all("text", F.lit(X.NAME), F.lit(0))
-    each = _read(spark, d, "SELECT doc_id, text FROM documents").select("doc_id", F.posexplode(words).alias("start", "key")).withColumn("namespace", F.lit("Type")).withColumn("original", F.col("key"))
-    return allocation.number_fast(each, next_number=7).select("doc_id", F.col("key").alias("word"), "number")
+    numbered = _read(spark, d, "SELECT doc_id, text FROM documents").select("doc_id", F.explode(allocation.number_words(X.names(F.col("text")), "Type", 7)).alias("n"))
+    return numbered.select("doc_id", F.col("n.key").alias("word"), F.col("n.number").cast("int").alias("number"))
 
 
 _BURN = "SELECT user_id AS doc_id, concat('Type', CAST(event_id % 6 + 1 AS STRING)) AS word FROM events WHERE event_id % 4 = 0"
@@ -257,12 +256,11 @@ def comment_strip_layout(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, _COMMENTS).select("o_orderkey", policy.comment_strip(F.col("before"), F.col("after")).alias("layout"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, line, unnest(regexp_extract_all(l, '[\p{L}\p{N}_]+')) AS word FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents))
-SELECT doc_id, word, CAST(min(line) - 1 AS INT) AS line FROM w WHERE length(word) = 7 GROUP BY ALL""")
+@query(r"""WITH o AS (SELECT doc_id, line, unnest(regexp_extract_all(l, '[\p{L}\p{N}_]+')) AS word FROM (SELECT doc_id, unnest(string_split(replace(text, 'e', 'a'), chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)),
+u AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS word FROM documents)
+SELECT doc_id, word, CAST(min(line) - 1 AS INT) AS line FROM o SEMI JOIN u USING (doc_id, word) GROUP BY ALL""")
 def leak_survivors(spark: SparkSession, d: str) -> DataFrame:
-    lines = _read(spark, d, "SELECT doc_id, text FROM documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
-    words = lines.select("doc_id", "line", F.explode(X.words(F.col("l"))).alias("word"))
-    return reports.survivors(words.where(F.length("word") == 7).select("doc_id", "word"), words)
+    return reports.survivors(_read(spark, d, "SELECT doc_id, text, replace(text, 'e', 'a') AS output FROM documents"))
 
 
 _FORMATS = "(VALUES " + ", ".join(str(x) for x in formats.FORMATS) + ") f(name, engine, state, reach)"

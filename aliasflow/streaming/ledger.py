@@ -1,52 +1,63 @@
-"""The ledger as a keyed state machine: one fold over a project's invocations, shared by batch and stream.
+"""The ledger as a keyed state machine over a stream of invocations, with the same fold as the batch.
 
-Rows: project_id, seq, position, key, namespace, original, qualified.  An invocation at or before the last one seen is
-a replay and does nothing.  Qualified keys keep their placeholder for ever; the counter only rises.
+State of a project: its head (last sequence number, counter, stems), its ledger by key, and its words.  Each batch reads
+and writes only the keys that it names, however long the history.  An invocation at or before the last one seen is a
+replay and does nothing.  Qualified keys keep their placeholder for ever; the counter only rises.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-ROW = "project_id string, seq long, position int, key string, placeholder string, original string, fresh boolean"
-STATE = "last_seq long, next_number int, ledger string"
+from ..operators.naming import ROW, Ledger, Run, asked, frame, name_runs
 
+#: Stores that keep such state need a provider that can hold more than one value a key.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def advance(rows: pd.DataFrame, last: int, number: int, ledger: dict[str, str]) -> tuple[pd.DataFrame, int, int, dict[str, str]]:
-    """Placeholders of the rows that are new, and the state after them."""
-    rows = rows[rows["seq"] > last].sort_values(["seq", "position"], kind="stable")
-    out: list[tuple[Any, ...]] = []
-    for seq, run in rows.groupby("seq", sort=True):
-        own: dict[str, str] = {}
-        for r in run.itertuples(index=False):
-            had = own.get(r.key) or (ledger.get(r.key) if r.qualified else None)
-            word = had or f"{r.namespace}{number}"
-            number += had is None
-            own[r.key] = word
-            if r.qualified:
-                ledger.setdefault(r.key, word)
-            out.append((r.project_id, seq, r.position, r.key, word, r.original, had is None))
-        last = max(last, int(seq))
-    return pd.DataFrame(out, columns=["project_id", "seq", "position", "key", "placeholder", "original", "fresh"]), last, number, ledger
 
+class Kept(Ledger):
+    """A project's ledger in its keyed state."""
 
-def batch(invocations: DataFrame) -> DataFrame:
-    return invocations.groupBy("project_id").applyInPandas(lambda rows: advance(rows, -1, 1, {})[0], ROW)
+    def __init__(self, number: int, stems: set[str], names, words) -> None:  # noqa: ANN001
+        self.number, self.stems, self.by_key, self.by_word = number, stems, names, words
 
+    def word_of(self, key: str) -> str | None:
+        return self.by_key.getValue((key,))[0] if self.by_key.containsKey((key,)) else None
 
-def stream(invocations: DataFrame) -> DataFrame:
-    """The same over a stream; each micro-batch brings whole invocations."""
+    def holds(self, word: str) -> bool:
+        return self.by_word.containsKey((word,))
+
+    def after(self, run: Run) -> "Kept":
+        for key, (word, original) in run.fresh.items():
+            if not self.by_key.containsKey((key,)):
+                self.by_key.updateValue((key,), (word, original))
+                self.by_word.updateValue((word,), (key,))
+        return Kept(run.number, self.stems | run.stems, self.by_key, self.by_word)
+
+
+class Namer(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", "last long, number int, stems array<string>")
+        self.names = handle.getMapState("names", "key string", "placeholder string, original string")
+        self.words = handle.getMapState("words", "placeholder string", "key string")
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, number, ledger = state.get if state.exists else (-1, 1, "{}")
-        out, last, number, kept = advance(pd.concat(list(parts)), last, number, json.loads(ledger))
-        state.update((last, number, json.dumps(kept)))
-        yield out
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
+        last, number, stems = self.head.get() if self.head.exists() else (-1, 1, [])
+        all_ = pd.concat(list(rows))
+        new = all_[all_["seq"] > last]
+        if len(new):
+            out, ledger = name_runs(new, Kept(number, set(stems), self.names, self.words))
+            self.head.update((int(new["seq"].max()), ledger.number, sorted(ledger.stems)))
+            yield frame(out)
 
-    return invocations.groupBy("project_id").applyInPandasWithState(step, ROW, STATE, "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def stream(invocations: DataFrame) -> DataFrame:
+    """Placeholders as ROW for a stream of invocations, of which each micro-batch brings whole ones."""
+    return asked(invocations).groupBy("project_id").transformWithStateInPandas(Namer(), ROW, "append", "none")
