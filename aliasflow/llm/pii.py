@@ -23,6 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import bound, running
 from .common import stored, table
 
 #: Base kinds in their order, then those that only the method adds.
@@ -93,28 +94,6 @@ MARK, END, OTHER = "\x01", "\x03", "\x02"
 MATCHES = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once, however often it is named."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def running(numbers: Column, join: Callable[[Column, Column], Column], zero: int) -> Column:
-    """What ``join`` makes of all numbers before each one.
-
-    A fold copies what it gathers at every step, so numbers are folded in runs of the square root of their count, and so
-    are the runs' totals.
-    """
-    start = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out"))
-    fold = lambda x: F.aggregate(x, start, lambda acc, v: F.struct(join(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
-
-    def whole(x: Column) -> Column:
-        size = F.ceil(F.sqrt(F.size(x))).cast("int")
-        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / size).cast("int")), lambda i: fold(F.slice(x, i * size + 1, size)))
-        return bound(runs, lambda r: F.flatten(F.zip_with(r, fold(F.transform(r, lambda y: y["at"]))["out"], lambda y, t: F.transform(y["out"], lambda v: join(t, v)))))
-
-    return F.when(F.size(numbers) > 0, bound(numbers, whole)).otherwise(F.array().cast("array<int>"))
-
-
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches: array of (start, end, match, up to 24 characters since the last match, the character after).
 

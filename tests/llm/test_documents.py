@@ -252,8 +252,10 @@ def test_many_matches_take_time_in_proportion(spark):
 def test_running_sums_and_added_spans(spark):
     from pyspark.sql import functions as F
 
+    from aliasflow.functions.text import running
+
     rows = [([],), ([5],), ([3, 1, 4, 1, 5, 9, 2, 6],), (list(range(1000)),)]
-    got = spark.createDataFrame(rows, "x array<int>").select("x", pii.running(F.col("x"), lambda a, b: a + b, 0).alias("s"), pii.running(F.col("x"), F.greatest, 0).alias("m")).collect()
+    got = spark.createDataFrame(rows, "x array<int>").select("x", running(F.col("x"), lambda a, b: a + b, 0).alias("s"), running(F.col("x"), F.greatest, 0).alias("m")).collect()
     for r in got:
         assert r.s == [sum(r.x[:i]) for i in range(len(r.x))] and r.m == [max(r.x[:i], default=0) for i in range(len(r.x))]
     rng = np.random.default_rng(7)
