@@ -42,18 +42,22 @@ def deanonymize(replies: DataFrame, invocations: DataFrame, ledger: DataFrame, h
 
     ``heads``: project_id, next_number, stems.
     """
-    table = known(invocations, ledger)
-    first = F.posexplode(F.array_distinct(words(F.coalesce("text", F.lit("")))))
-    tokens = replies.select("project_id", "doc_id", first.alias("at", "word"))
-    direct = tokens.join(table.withColumnRenamed("placeholder", "word"), ["project_id", "word"], "left")
-    for prefix in ACCESSORS:
+    table = known(invocations, ledger).withColumnRenamed("placeholder", "asks")
+    # each word asks for itself, and, if it reads as an accessor, for the word that it would derive from: one join for all
+    own = F.posexplode(F.array_distinct(words(F.coalesce("text", F.lit("")))))
+    tokens = replies.select("project_id", "doc_id", own.alias("at", "word"))
+
+    def stripped(prefix: str) -> Column:
         cut = F.substring("word", F.lit(len(prefix) + 1), F.length("word"))
-        spelled = F.when(F.col("word").startswith(prefix) & (F.length("word") > len(prefix)) & (accessor(F.lit(prefix), decapitalised(cut)) == F.col("word")), decapitalised(cut))
-        other = table.select(F.col("project_id").alias("__p"), F.col("placeholder").alias("__w"), F.lit(True).alias(f"unsent_{prefix}"))
-        direct = direct.withColumn("__c", spelled)
-        direct = direct.join(other, (F.col("project_id") == F.col("__p")) & (F.col("__c") == F.col("__w")), "left").drop("__p", "__w", "__c")
-    unsent = F.col("original").isNull() & F.coalesce(*(F.col(f"unsent_{p}") for p in ACCESSORS), F.lit(False))
-    told = direct.join(heads, "project_id", "left").withColumn("reason", F.when(F.col("original").isNull(), reason(F.col("word"), unsent, F.col("stems"), F.coalesce("next_number", F.lit(1)))))
+        spelt = F.col("word").startswith(prefix) & (F.length("word") > len(prefix)) & (accessor(F.lit(prefix), decapitalised(cut)) == F.col("word"))
+        return F.when(spelt, decapitalised(cut))
+
+    asks = F.filter(F.array("word", *map(stripped, ACCESSORS)), lambda x: x.isNotNull())
+    found = tokens.select("project_id", "doc_id", "at", "word", F.explode(asks).alias("asks")).join(table, ["project_id", "asks"], "left")
+    found = found.groupBy("project_id", "doc_id", "at", "word").agg(F.max(F.when(F.col("asks") == F.col("word"), F.col("original"))).alias("original"), F.max((F.col("asks") != F.col("word")) & F.col("original").isNotNull()).alias("other"))
+    told = found.join(heads, "project_id", "left")
+    unsent = F.col("original").isNull() & F.col("other")
+    told = told.withColumn("reason", F.when(F.col("original").isNull(), reason(F.col("word"), unsent, F.col("stems"), F.coalesce("next_number", F.lit(1)))))
     seen = told.where("original is not null or reason is not null")
     packed = seen.groupBy("project_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "word", "original", "reason"))).alias("found"))
     joined = replies.join(packed, ["project_id", "doc_id"], "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<at:int,word:string,original:string,reason:string>>")))
