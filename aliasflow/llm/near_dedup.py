@@ -38,8 +38,8 @@ from .components import components
 from .wordprints import LOWER, Hasher, U, Words, each, mix
 
 BATCH = 16
-#: Counters of shingles: one for so many bytes of text, in chunks, up to 32 MB of them.
-PER_COUNTER, CHUNK, MOST_COUNTERS = 32, 1 << 14, 1 << 23
+#: Counters of shingles: one for so many bytes of text, in chunks, up to 16 MB of them.
+PER_COUNTER, CHUNK, MOST_COUNTERS = 128, 1 << 14, 1 << 22
 #: Entries of one shingle that make a block.
 BLOCK = 20_000
 
