@@ -194,13 +194,27 @@ def frame(rows: list[tuple]) -> pd.DataFrame:
     return out.assign(start=out["start"].astype("Int32"))
 
 
-def name_symbols(evidence: DataFrame) -> DataFrame:
+def name_symbols(evidence: DataFrame, ledger: DataFrame | None = None, heads: DataFrame | None = None) -> DataFrame:
     """Placeholders for all symbols of all projects, as ROW; a group is a project's history.
 
     ``reserved`` are the words that survive in an invocation's text, of which its first row counts.  Rows that have no
     start are what the ledger gains besides: fields that accessors name first, and accessors that were not seen.
+    With ``ledger`` (project_id, key, placeholder, original) and ``heads`` (project_id, next_number, stems) naming goes on
+    from there: a key that the ledger holds keeps its word, whatever survives in the text.
     """
-    return asked(evidence).groupBy("project_id").applyInPandas(lambda rows: frame(name_runs(rows, Ledger())[0]), ROW)
+    rows = asked(evidence)
+    if ledger is None or heads is None:
+        return rows.groupBy("project_id").applyInPandas(lambda part: frame(name_runs(part, Ledger())[0]), ROW)
+    held = heads.select("project_id", "next_number", "stems").join(ledger.select("project_id", "key", "placeholder", "original"), "project_id", "left")
+
+    def run(part: pd.DataFrame, had: pd.DataFrame) -> pd.DataFrame:
+        start = Ledger()
+        if len(had):
+            names = {k: (w, o) for k, w, o in zip(had["key"], had["placeholder"], had["original"], strict=True) if k is not None}
+            start = Ledger(int(had["next_number"].iloc[0]), names, set(had["stems"].iloc[0] if had["stems"].iloc[0] is not None else ()))
+        return frame(name_runs(part, start)[0] if len(part) else [])
+
+    return rows.groupBy("project_id").cogroup(held.groupBy("project_id")).applyInPandas(run, ROW)
 
 
 def ledger_delta(named: DataFrame) -> DataFrame:

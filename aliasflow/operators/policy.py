@@ -53,14 +53,19 @@ def is_anonymized(origin: Column, claimed: Column, role: Column, package: Column
     return F.when(top, False).when(origin.isin("IN_CONTENT", "UNRESOLVED"), True).when(origin == "LIBRARY", F.coalesce(claimed, F.lit(False))).otherwise(False)
 
 
-def constrained_keys(evidence: DataFrame, *within: str) -> DataFrame:
-    """Distinct shared keys (of each of ``within``, if given) that may not be renamed: owned, and a fixed method or an override of what is not owned.
+def is_constrained() -> Column:
+    """Of a row with owned, role, declared_name and roots_owned: its name is fixed, or it overrides what is not owned."""
+    fixed = (F.col("role") == "METHOD") & F.col("declared_name").isin(*FIXED_METHODS)
+    return F.col("owned") & (fixed | ~F.coalesce("roots_owned", F.lit(True)))
+
+
+def constrained_keys(evidence: DataFrame) -> DataFrame:
+    """Distinct shared keys that may not be renamed: owned, and a fixed method or an override of what is not owned.
 
     ``evidence``: shared, owned, role, declared_name, roots_owned (false if any override root is not owned).  One
     constrained occurrence constrains its key everywhere.
     """
-    fixed = (F.col("role") == "METHOD") & F.col("declared_name").isin(*FIXED_METHODS)
-    return evidence.where(F.col("owned") & (fixed | ~F.coalesce("roots_owned", F.lit(True)))).select(*within, "shared").distinct()
+    return evidence.where(is_constrained()).select("shared").distinct()
 
 
 def namespace(origin: Column, role: Column) -> Column:

@@ -13,7 +13,7 @@ Everything but the naming itself is columns and joins on the document; naming is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import capitalised, reserved_words, root_package, splice
@@ -23,23 +23,34 @@ from . import naming, policy
 GENERATED = "(generated)"
 
 
-def strip_comments(subjects: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``evidence`` without what lies inside a stripped comment; stripped comments keep their row, with edit_start and
-    edit_end: how their line closes up."""
-    comments = evidence.where("kind = 'comment'").join(subjects.where("not coalesce(keep_comments, false)").select("doc_id"), "doc_id", "left_semi")
-    holes = comments.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("__holes"))
-    held = evidence.join(holes, "doc_id", "left").join(subjects.select("doc_id", F.col("text").alias("__text"), F.coalesce("keep_comments", F.lit(False)).alias("__keep")), "doc_id")
-    inside = F.exists(F.coalesce("__holes", F.array().cast("array<struct<start:int,end:int>>")), lambda h: (h["start"] <= F.col("start")) & (F.col("end") <= h["end"]))
-    text = F.col("__text")
+def _document() -> WindowSpec:
+    """Everything about a document is worked out where its rows lie together, without further shuffles."""
+    return Window.partitionBy("doc_id")
+
+
+def _spans(of: Column) -> Column:
+    """The spans of a document's rows for which ``of`` holds."""
+    return F.collect_list(F.when(of, F.struct("start", "end"))).over(_document())
+
+
+def _inside(spans: str) -> Column:
+    return F.exists(spans, lambda h: (h["start"] <= F.col("start")) & (F.col("end") <= h["end"]))
+
+
+def strip_comments(rows: DataFrame) -> DataFrame:
+    """Evidence with its document's text and keep_comments, without what lies inside a stripped comment; stripped comments
+    keep their row, with edit_start and edit_end: how their line closes up."""
+    gone = (F.col("kind") == "comment") & ~F.coalesce("keep_comments", F.lit(False))
+    held = rows.withColumn("__holes", _spans(gone))
+    text = F.col("text")
     before = F.substring_index(F.substring(text, F.lit(1), F.col("start")), "\n", -1)
     after = F.substring_index(F.substring(text, F.col("end") + 1, F.length(text)), "\n", 1)
     layout = policy.comment_strip(before, after)
     blanks = lambda c, pattern: F.length(F.regexp_extract(c, pattern, 0))
     start = F.when(layout == "line", F.col("start") - F.length(before)).when(layout == "preceding blanks", F.col("start") - blanks(before, r"\s*\z")).otherwise(F.col("start"))
     end = F.when(layout == "line", F.least(F.col("end") + F.length(after) + 1, F.length(text))).when(layout == "preceding blanks", F.col("end")).otherwise(F.col("end") + blanks(after, r"^\s*"))
-    gone = (F.col("kind") == "comment") & ~F.col("__keep")
     held = held.withColumn("edit_start", F.when(gone, start)).withColumn("edit_end", F.when(gone, end))
-    return held.where(gone | ((F.col("kind") != "comment") & ~inside)).drop("__holes", "__text", "__keep")
+    return held.where(gone | ((F.col("kind") != "comment") & ~_inside("__holes"))).drop("__holes")
 
 
 def root_packages(subjects: DataFrame, evidence: DataFrame, from_owned_types: bool = False, detect: bool = True) -> DataFrame:
@@ -52,19 +63,24 @@ def root_packages(subjects: DataFrame, evidence: DataFrame, from_owned_types: bo
     return owned.groupBy("doc_id").agg(F.array_sort(F.collect_set(root_package(F.col("package_name")))).alias("roots"))
 
 
-def with_policy(evidence: DataFrame, prefixes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``evidence`` with shared, shared_qualified, claimed, owned and outcome (replaced or preserved)."""
-    lengths = policy.prefix_lengths(evidence.select(F.col("package_name").alias("package")), prefixes.where("internal").select("prefix"), prefixes.where("not internal").select("prefix"))
-    root = policy.prefix_lengths(evidence.selectExpr("explode(roots) as r").select(F.col("r.package").alias("package")), prefixes.where("internal").select("prefix"), prefixes.where("not internal").select("prefix"))
-    lengths = lengths.union(root).groupBy("package").agg(F.max("own").alias("own"), F.max("other").alias("other"))
-    out = evidence.join(lengths.withColumnRenamed("package", "package_name"), "package_name", "left").join(roots.withColumnRenamed("roots", "__roots"), "doc_id", "left")
+def with_policy(rows: DataFrame, prefixes: DataFrame, from_owned_types: bool = False, detect: bool = True) -> DataFrame:
+    """Evidence with its document's root_package, and with shared, shared_qualified, claimed, owned and outcome (replaced or preserved)."""
+    internal, third = prefixes.where("internal").select("prefix"), prefixes.where("not internal").select("prefix")
+    packages = rows.select(F.explode(F.array_union(F.array("package_name"), F.coalesce(F.transform("roots", lambda r: r["package"]), F.array().cast("array<string>")))).alias("package"))
+    lengths = policy.prefix_lengths(packages, internal, third)
+    if not detect:
+        found = F.array().cast("array<string>")
+    elif from_owned_types:
+        found = F.collect_set(F.when((F.col("origin") == "IN_CONTENT") & (F.col("role") == "TYPE"), root_package(F.col("package_name")))).over(_document())
+    else:
+        found = F.filter(F.array("root_package"), lambda x: x.isNotNull())
+    out = rows.withColumn("__roots", found).join(lengths.withColumnRenamed("package", "package_name"), "package_name", "left")
     under = lambda package: F.coalesce(F.array_max(F.transform("__roots", lambda r: F.when((package == r) | package.startswith(F.concat(r, F.lit("."))), F.length(r)))), F.lit(-1))
     claimed = F.coalesce(F.greatest(F.coalesce("own", F.lit(-1)), under(F.col("package_name"))) > F.coalesce("other", F.lit(-1)), F.lit(False))
     out = out.withColumn("claimed", claimed).drop("own", "other")
-    known = F.map_from_entries(F.collect_list(F.struct("package", F.struct("own", "other"))))
     # override roots are few; their packages' lengths come back as one map a document
-    far = evidence.select("doc_id", F.explode("roots").alias("r")).select("doc_id", F.col("r.package").alias("package")).where("package is not null").distinct().join(lengths, "package", "left").groupBy("doc_id").agg(known.alias("__far"))
-    out = out.join(far, "doc_id", "left")
+    far = rows.select("doc_id", F.explode("roots").alias("r")).select("doc_id", F.col("r.package").alias("package")).where("package is not null").distinct().join(lengths, "package", "left")
+    out = out.join(far.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("package", F.struct("own", "other")))).alias("__far")), "doc_id", "left")
 
     def root_owned(r: Column) -> Column:
         at = F.element_at("__far", r["package"])
@@ -72,32 +88,33 @@ def with_policy(evidence: DataFrame, prefixes: DataFrame, roots: DataFrame) -> D
 
     out = out.withColumn("shared", policy.shared_key(F.col("key"), F.col("roots"))).withColumn("shared_qualified", policy.shared_key_qualified(F.col("qualified"), F.col("roots")))
     out = out.withColumn("owned", policy.owned(F.col("origin"), F.col("claimed"))).withColumn("roots_owned", F.forall(F.coalesce("roots", F.array().cast("array<struct<key:string,origin:string,package:string,qualified:boolean>>")), root_owned))
-    out = out.withColumn("would_replace", policy.is_anonymized(F.col("origin"), F.col("claimed"), F.col("role"), F.col("package_name"))).drop("__roots", "__far")
-    constrained = policy.constrained_keys(out.where("kind != 'comment'"), "doc_id").withColumn("constrained", F.lit(True))
-    out = out.join(constrained, ["doc_id", "shared"], "left")
+    would = policy.is_anonymized(F.col("origin"), F.col("claimed"), F.col("role"), F.col("package_name"))
+    # one constrained occurrence constrains its key in the whole document
+    constrained = F.array_contains(F.collect_set(F.when((F.col("kind") != "comment") & policy.is_constrained(), F.col("shared"))).over(_document()), F.col("shared"))
     kept = F.coalesce("ticked", F.lit(False)) & ~F.coalesce("remainder", F.lit(False))
-    replaced = (F.col("kind") == "symbol") & F.col("would_replace") & F.col("constrained").isNull() & ~kept
-    return out.withColumn("outcome", F.when(replaced, "replaced").otherwise("preserved")).drop("constrained")
+    replaced = (F.col("kind") == "symbol") & would & ~F.coalesce(constrained, F.lit(False)) & ~kept
+    return out.withColumn("outcome", F.when(replaced, "replaced").otherwise("preserved")).drop("__roots", "__far")
 
 
 def anonymize(subjects: DataFrame, evidence: DataFrame, prefixes: DataFrame, from_owned_types: bool = False, detect: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``subjects`` with anonymized; the evidence that policy saw, with outcome and placeholder; and the rows of naming."""
-    seen = with_policy(strip_comments(subjects, evidence), prefixes, root_packages(subjects, evidence, from_owned_types, detect))
-    texts = subjects.select("doc_id", "project_id", "seq", "text")
-    whole = seen.join(texts, "doc_id")
+    rows = evidence.join(subjects.select("doc_id", "project_id", "seq", "text", "keep_comments", "root_package"), "doc_id")
+    whole = with_policy(strip_comments(rows), prefixes, from_owned_types, detect)
     content = F.substring(F.col("text"), F.col("name_start") + 1, F.col("name_end") - F.col("name_start"))
     cover = policy.literal_coverage(F.col("literal_kind"), F.lit(0), F.length(content), content, F.transform("refs", lambda r: F.struct((r["start"] - F.col("name_start")).alias("start"), (r["end"] - F.col("name_start")).alias("end"), r["resolved"].alias("resolved"))))
     whole = whole.withColumn("coverage", F.when(F.col("kind") == "literal", F.coalesce(cover, F.lit("preserve"))))
-    masked = F.col("coverage") == "str"
+    masked = F.coalesce(F.col("coverage") == "str", F.lit(False))
     # symbols inside a literal that becomes one mask go with it
-    masks = whole.where(masked).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("__masks"))
-    inside = F.exists(F.coalesce("__masks", F.array().cast("array<struct<start:int,end:int>>")), lambda h: (h["start"] <= F.col("start")) & (F.col("end") <= h["end"]))
-    whole = whole.join(masks, "doc_id", "left").withColumn("covered", (F.col("kind") == "symbol") & inside).drop("__masks")
+    whole = whole.withColumn("__masks", _spans(masked)).withColumn("covered", (F.col("kind") == "symbol") & _inside("__masks")).drop("__masks")
     drawn = (F.col("outcome") == "replaced") & ~F.col("covered") | masked
-    removed = whole.where(drawn | F.col("edit_start").isNotNull()).groupBy("doc_id").agg(F.collect_list(F.struct(F.coalesce("edit_start", "name_start").alias("start"), F.coalesce("edit_end", "name_end").alias("end"))).alias("removed"))
-    reserved = texts.join(removed, "doc_id", "left").select("doc_id", reserved_words(F.col("text"), F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>"))).alias("reserved"))
-    asked = whole.where(drawn).join(reserved, "doc_id").select(
-        "project_id", "seq", "start", "field_key", "field_name", "field_qualified", "prefix", "field_stem", "siblings", "reserved",
+    gone = F.struct(F.coalesce("edit_start", "name_start").alias("start"), F.coalesce("edit_end", "name_end").alias("end"))
+    whole = whole.withColumn("__removed", F.collect_list(F.when(drawn | F.col("edit_start").isNotNull(), gone)).over(_document()))
+    # the words that survive in a text are asked for once, with its first row
+    first = F.col("start") == F.min(F.when(drawn, F.col("start"))).over(_document())
+    whole = whole.withColumn("__first", first)
+    asked = whole.where(drawn).select(
+        "project_id", "seq", "start", "field_key", "field_name", "field_qualified", "prefix", "field_stem", "siblings",
+        F.when(F.col("__first"), reserved_words(F.col("text"), F.col("__removed"))).alias("reserved"),
         F.when(masked, F.concat(F.lit("literal:"), F.col("start"))).otherwise(F.col("shared")).alias("key"),
         F.when(masked, F.lit("str")).otherwise(policy.namespace(F.col("origin"), F.col("role"))).alias("namespace"),
         F.when(masked, content).otherwise(F.col("declared_name")).alias("original"),
@@ -107,7 +124,7 @@ def anonymize(subjects: DataFrame, evidence: DataFrame, prefixes: DataFrame, fro
     named = naming.name_symbols(asked)
     words = named.where("start is not null").select("project_id", "seq", "start", "placeholder", "derived")
     fields = named.select("project_id", "seq", F.col("key").alias("field_key"), F.col("placeholder").alias("__field")).distinct()
-    done = whole.join(words, ["project_id", "seq", "start"], "left").join(fields, ["project_id", "seq", "field_key"], "left")
+    done = whole.drop("__removed", "__first").join(words, ["project_id", "seq", "start"], "left").join(fields, ["project_id", "seq", "field_key"], "left")
     # a property's name, written for its accessor, takes the field's placeholder
     spelt = (F.col("language") == "KOTLIN") & (F.col("written") != F.col("declared_name")) & (F.col("placeholder") == F.concat("prefix", capitalised(F.col("__field"))))
     done = done.withColumn("said", F.concat(F.when(spelt, F.col("__field")).otherwise(F.col("placeholder")), F.coalesce("suffix", F.lit("")))).drop("__field")
@@ -116,7 +133,7 @@ def anonymize(subjects: DataFrame, evidence: DataFrame, prefixes: DataFrame, fro
     # a stripped comment's blanks never reach back over what stands before it
     apart = F.transform("edits", lambda e, i: F.struct(F.when(i > 0, F.greatest(e["start"], F.get(F.col("edits"), i - 1)["end"])).otherwise(e["start"]).alias("start"), e["end"].alias("end"), e["text"].alias("text")))
     out = subjects.join(edits.withColumn("edits", apart), "doc_id", "left")
-    return out.withColumn("anonymized", F.when(F.col("edits").isNull(), F.col("text")).otherwise(splice(F.col("text"), F.col("edits")))).drop("edits"), done.drop("text"), named
+    return out.withColumn("anonymized", F.when(F.col("edits").isNull(), F.col("text")).otherwise(splice(F.col("text"), F.col("edits")))).drop("edits"), done.drop("text", "keep_comments", "root_package"), named
 
 
 def unknown_names(done: DataFrame) -> DataFrame:

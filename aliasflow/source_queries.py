@@ -99,6 +99,17 @@ def literal_numbers(spark: SparkSession, d: str) -> DataFrame:
     return naming.name_symbols(read(spark, d, LITERALS)).select("project_id", "start", "original", "placeholder")
 
 
+@query(f"""WITH h AS (SELECT user_id, event_id, event_type, min(event_id) OVER (PARTITION BY user_id, event_type) AS first FROM events),
+n AS (SELECT user_id, event_type, first, 6 + row_number() OVER (PARTITION BY user_id ORDER BY first) AS number FROM (SELECT DISTINCT user_id, event_type, first FROM h WHERE event_type <> 'click'))
+SELECT CAST(h.user_id AS VARCHAR) AS project_id, CAST(event_id AS INT) AS start, coalesce('Type' || number, 'Type2') AS placeholder FROM h LEFT JOIN n ON h.user_id = n.user_id AND h.event_type = n.event_type""")
+def ledger_reuse(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "SELECT CAST(user_id AS STRING) AS project_id, CAST(0 AS BIGINT) AS seq, CAST(event_id AS INT) AS start, CAST(event_type AS STRING) AS key, 'Type' AS namespace, CAST(event_type AS STRING) AS original, true AS qualified, array('Type2') AS reserved FROM events")
+    projects = rows.select("project_id").distinct()
+    ledger = projects.select("project_id", F.lit("click").alias("key"), F.lit("Type2").alias("placeholder"), F.lit("x").alias("original"))
+    heads = projects.select("project_id", F.lit(7).alias("next_number"), F.array().cast("array<string>").alias("stems"))
+    return naming.name_symbols(rows, ledger, heads).where("start is not null").select("project_id", "start", "placeholder")
+
+
 POLICY = """SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'IN_CONTENT' WHEN 1 THEN 'LIBRARY' WHEN 2 THEN 'JDK' ELSE 'UNRESOLVED' END AS origin, CASE c_custkey % 5 WHEN 0 THEN 'TYPE' WHEN 1 THEN 'FIELD' WHEN 2 THEN 'TABLE' WHEN 3 THEN 'ANNOTATION' ELSE 'INDEX' END AS role,
   c_custkey % 3 = 0 AS claimed, c_custkey % 7 = 0 AS literal FROM customer"""
 

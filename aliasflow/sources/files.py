@@ -20,7 +20,7 @@ def read_subjects(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LEDGER).parquet(path)
+    return spark.read.schema(LEDGER).parquet(path).select("project_id", "key", "placeholder", "original")
 
 
 def write_ledger(ledger: DataFrame, path: str) -> None:
