@@ -61,6 +61,13 @@ def shares(df: DataFrame, mb: float = 16.0, row: float = 0.0) -> int:
     return max(least, int(size / max(mb * 1e6, math.sqrt(size * row))) + 1)
 
 
+def spread(df: DataFrame, mb: float, of: DataFrame, *columns: str) -> DataFrame:
+    """``df`` dealt by ``columns`` to a task for each ``mb`` of the input ``of``, where the session's shuffle partitions are
+    fewer: a shuffle that follows by the same columns is this one, and its largest task does not grow with the input."""
+    n = shares(of, mb)
+    return df.repartition(n, *columns) if n > partitions(df.sparkSession) else df
+
+
 def scan_number(df: DataFrame) -> Column:
     """The number of the task that reads a row, where each reading of ``df`` deals rows out to tasks alike: not behind a shuffle."""
     return F.spark_partition_id() if "Exchange" not in df._jdf.queryExecution().executedPlan().toString() else F.lit(0)

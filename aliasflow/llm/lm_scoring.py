@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scan_number, shares, stored, table, text_hash
+from .common import scan_number, shares, spread, stored, table, text_hash
 from .wordprints import LOWER, Hasher, U, each
 
 END = U(0x9E3779B97F4A7C15)
@@ -280,11 +280,12 @@ def lm_scores(docs: DataFrame, order: int = 3, strengths: tuple[float, ...] = (3
     block = F.pmod(F.xxhash64(F.lit(3), F.col(f"`{key}`"), text_hash(text), scan_number(docs)), F.lit(blocks)).cast("int")
     whole = docs.select(F.struct(*(F.col(f"`{x}`") for x in rest)).alias("row"), held.alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), block.alias("block"))
     dealt = whole.mapInArrow(_squeeze, T.StructType([*whole.schema.fields[:2], T.StructField("text", T.BinaryType()), whole.schema.fields[3]]))
+    dealt = spread(dealt, 32, docs, "block")
     asked = dealt.groupBy("block").applyInArrow(_asker(order, bits), "block int, part int, h1 binary, n1 binary, hk binary, nk binary")
-    answers = stored(asked.groupBy("part").applyInArrow(_answer, ANSWERS), "answers")
+    answers = stored(spread(asked, 16, docs, "part").groupBy("part").applyInArrow(_answer, ANSWERS), "answers")
     total, vocabulary = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("vocabulary"), F.lit(0))).first()
     row = dealt.schema["row"].dataType.simpleString()
-    out = dealt.groupBy("block").cogroup(answers.select("block", "part", "c1", "ck").groupBy("block")).applyInArrow(
+    out = dealt.groupBy("block").cogroup(spread(answers.select("block", "part", "c1", "ck"), 32, docs, "block").groupBy("block")).applyInArrow(
         _scorer(order, tuple(strengths), total, vocabulary),
         f"row {row}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NO_ID, id_key, input_bytes, shares, table, text_hash
+from .common import NO_ID, id_key, input_bytes, shares, spread, table, text_hash
 from .wordprints import Hasher, U, each, mix
 
 #: Windows that a task holds before it deals them out, at least, and bytes of input for each about.
@@ -219,14 +219,15 @@ def substring_dedup(docs: DataFrame, size: int = 20, text: str = "text", key: st
     keys = [id_key(key).alias("key"), text_hash(text).alias("same"), F.pmod(F.xxhash64(id_key(key)), F.lit(SLOTS)).alias("slot")]
     shared = docs.sparkSession.sparkContext.broadcast(_shared_ids(docs.select(*keys)))
     keyed = docs.select(*keys, F.col(text).cast("string").alias("t"))
-    found = keyed.mapInArrow(_dealer(size, parts, held, shared), PACKED).groupBy("part").applyInArrow(_judge(parts), "bucket int, docs binary, sames binary, starts binary")
+    windows = spread(keyed.mapInArrow(_dealer(size, parts, held, shared), PACKED), 16, docs, "part")
+    found = windows.groupBy("part").applyInArrow(_judge(parts), "bucket int, docs binary, sames binary, starts binary")
     added = ["n_words", "n_removed", "kept_text", "removed"]
     rest = [x for x in docs.columns if x not in (text, *added)]
     whole = docs.select(F.struct(*(F.col(f"`{x}`") for x in rest)).alias("row"), *keys, F.col(text).cast("string").alias("text"))
     squeezed = T.StructType([*whole.schema.fields[:3], T.StructField("text", T.BinaryType()), T.StructField("bucket", T.IntegerType())])
     schema = T.StructType([whole.schema["row"], *T.StructType.fromDDL("n_words long, n_removed long, kept_text string, removed array<struct<start: long, end: long>>")])
     whole = whole.mapInArrow(_squeeze(parts, shared), squeezed)
-    out = whole.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_remover(size, ["row", *added]), schema)
+    out = spread(whole, 32, docs, "bucket").groupBy("bucket").cogroup(spread(found, 32, docs, "bucket").groupBy("bucket")).applyInArrow(_remover(size, ["row", *added]), schema)
     return out.select("row.*", *added)
 
 

@@ -123,6 +123,18 @@ def test_the_prefix_join_finds_every_link_whatever_the_blocks():
     assert links and links <= found[7]
 
 
+def test_large_inputs_are_spread_over_more_tasks(spark, monkeypatch, tmp_path):
+    from aliasflow.llm import common
+
+    frame(spark).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    assert common.spread(docs, 16, docs, "doc_id") is docs and common.shares(spark.createDataFrame(DOCS, SCHEMA)) == 3
+    monkeypatch.setattr(common, "input_bytes", lambda df: 10**9)
+    assert common.shares(docs, 16) == 63 and common.shares(docs, 16, 10**9) == 3 and common.spread(docs, 100, docs, "doc_id").rdd.getNumPartitions() == 11
+    want = {r.doc_id: (r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(frame(spark)).collect()}
+    assert {r.doc_id: (r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(docs).collect()} == want
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
