@@ -122,7 +122,9 @@ def preserve_counts(occurrences: DataFrame) -> DataFrame:
 
 def two_way_spellings(spellings: DataFrame) -> DataFrame:
     """Names that are written in several ways, once folded to lower case."""
-    return spellings.groupBy(F.lower("spelling").alias("folded")).agg(F.array_sort(F.collect_set("spelling")).alias("ways")).where(F.size("ways") > 1)
+    # distinct first: a hash aggregate of words leaves little for the lists
+    distinct = spellings.select("spelling").distinct()
+    return distinct.groupBy(F.lower("spelling").alias("folded")).agg(F.array_sort(F.collect_list("spelling")).alias("ways")).where(F.size("ways") > 1)
 
 
 def outside_vocabulary(words: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -260,7 +260,7 @@ def default_form_share(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"SELECT folded, list_sort(ways) AS ways FROM (SELECT lower(w) AS folded, list(DISTINCT w) AS ways FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z_]+')) AS w FROM documents) GROUP BY 1) WHERE len(ways) > 1")
 def two_way_spellings(spark: SparkSession, d: str) -> DataFrame:
-    words = read(spark, d, "SELECT text FROM documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_]+"), F.lit(0))).alias("spelling"))
+    words = read(spark, d, "SELECT text FROM documents").select(F.explode(X.split_words(F.col("text"), "[^A-Za-z_]+")).alias("spelling"))
     return reports.two_way_spellings(words)
 
 
