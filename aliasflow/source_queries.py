@@ -293,7 +293,7 @@ def sql_fragments(spark: SparkSession, d: str) -> DataFrame:
     return sql_names.read_queries(read(spark, d, FRAGMENTS)).select("doc_id", "reason", F.array_join(said, ",").alias("names"))
 
 
-@query("SELECT outcome, count(*) AS fragments, printf('%.1f%%', 100.0 * count(*) / (SELECT count(*) FROM part)) AS share FROM (SELECT CASE p_partkey % 6 WHEN 2 THEN 'BIND_PARAMETER' WHEN 3 THEN 'NOT_SQL' WHEN 4 THEN 'UNPROJECTABLE_REFERENCE' WHEN 5 THEN 'DOES_NOT_PARSE' ELSE 'CLAIMED' END AS outcome FROM part) GROUP BY outcome")
+@query("SELECT outcome, fragments, concat((2000 * fragments + n) // (2 * n) // 10, '.', (2000 * fragments + n) // (2 * n) % 10, '%') AS share FROM (SELECT outcome, count(*) AS fragments, (SELECT count(*) FROM part) AS n FROM (SELECT CASE p_partkey % 6 WHEN 2 THEN 'BIND_PARAMETER' WHEN 3 THEN 'NOT_SQL' WHEN 4 THEN 'UNPROJECTABLE_REFERENCE' WHEN 5 THEN 'DOES_NOT_PARSE' ELSE 'CLAIMED' END AS outcome FROM part) GROUP BY outcome)")
 def query_sweep(spark: SparkSession, d: str) -> DataFrame:
     return sql_names.query_sweep(sql_names.read_queries(read(spark, d, FRAGMENTS)))
 
