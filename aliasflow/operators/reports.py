@@ -158,8 +158,8 @@ def host_ranges(ranges: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def merged_fragments(fragments: DataFrame, by: str = "doc_id") -> DataFrame:
-    """Ranges (start, end) that touch or overlap, merged; gaps and islands a document."""
-    w = Window.partitionBy(by).orderBy("start", "end")
+    """Ranges (start, end) that touch or overlap, merged; gaps and islands a document.  Missing ends come last."""
+    w = Window.partitionBy(by).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     marked = fragments.withColumn("reach", reach).withColumn("island", island)

@@ -227,7 +227,9 @@ _RANGES = "SELECT l_orderkey AS doc_id, CAST(l_partkey % 1000 AS INT) AS start,
 @query(f"""SELECT doc_id, min(start) AS start, max(end_) AS "end" FROM (SELECT *, sum(CASE WHEN start <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, end_ ROWS UNBOUNDED PRECEDING) AS g FROM (
   SELECT *, max(end_) OVER (PARTITION BY doc_id ORDER BY start, end_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ({duck(_RANGES)}))) GROUP BY doc_id, g""")
 def fragment_merge(spark: SparkSession, d: str) -> DataFrame:
-    return reports.merged_fragments(read(spark, d, _RANGES).withColumnRenamed("end_", "end"))
+    # SQL rounds to the even number where Spark's cast cuts off
+    ranges = _RANGES.replace("l_partkey % 1000 + l_quantity * 3", "rint(l_partkey % 1000 + l_quantity * 3)")
+    return reports.merged_fragments(read(spark, d, ranges).withColumnRenamed("end_", "end"))
 
 
 _COMMENTS = "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '  ' ELSE 'x = 1; ' END AS before, CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE ' y();' END AS after FROM orders"
