@@ -78,9 +78,9 @@ def opens_node(line: Column) -> Column:
     return line.rlike(rf"^(?:\s*(?:->\s*)?(?:Parallel )?)(?:{labels})(?!\p{{L}})")
 
 
-def _client_row(text: Column, i: int) -> Column:
+def _client_row(lines: Column, i: int) -> Column:
     """Cells of the i-th head line that is no rule: those between bars, or the line as it is."""
-    rows = F.filter(head_lines(text, 4), lambda x: ~x.rlike(r"^[+-]+$"))
+    rows = F.filter(lines, lambda x: ~x.rlike(r"^[+-]+$"))
     row = F.coalesce(F.get(rows, F.lit(i)), F.lit(""))
     cells = F.transform(F.split(F.regexp_replace(row, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     return F.when(row.rlike(r"^\|.*\|$"), cells).otherwise(F.array(row))
@@ -90,16 +90,16 @@ def _is_table(cells: Column, headers: list[str]) -> Column:
     return F.array_join(cells, " ").isin(headers) & (F.size(cells) > 1)
 
 
-def recognisers(text: Column) -> dict[str, Column]:
-    """For each format of the catalogue."""
-    lines = head_lines(text, 4)
+def recognisers(text: Column, lines: Column | None = None) -> dict[str, Column]:
+    """For each format of the catalogue; ``lines`` are the first four head lines, if a column holds them."""
+    lines = head_lines(text, 4) if lines is None else lines
     line = lambda i: F.coalesce(F.get(lines, F.lit(i)), F.lit(""))
     first, second = line(0), line(1)
     opening = F.regexp_extract(text, r"^\s*<([A-Za-z][A-Za-z0-9]*)[\s/>]", 1)
     key = lambda i: F.regexp_extract(line(i), r'^\s*"([^"]*)":', 1)
     document = F.trim(first) == "{"
     block = document & (key(1) == "query_block") & second.rlike(r"\{\s*$") & (key(2) == "select_id")
-    one, two = _client_row(text, 0), _client_row(text, 1)
+    one, two = _client_row(lines, 0), _client_row(lines, 1)
     only = lambda cells: F.when(F.size(cells) == 1, F.element_at(cells, 1)).otherwise("")
     node = r"^[ |]*\|--"
     grid = lambda x: x.rlike(r"^\s*\|.+\|\s*$") & F.forall(F.split(F.regexp_replace(x, r"^\s*\||\|\s*$", ""), r"\|"), lambda c: F.trim(c).isin(GRID))
@@ -124,19 +124,22 @@ def recognisers(text: Column) -> dict[str, Column]:
     }
 
 
-def recognised(text: Column) -> Column:
+def recognised(text: Column, lines: Column | None = None) -> Column:
     """The one format that accepts the text; null if none or several do."""
-    hits = F.filter(F.array(*(F.when(F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in recognisers(text).items())), lambda x: x.isNotNull())
+    hits = F.filter(F.array(*(F.when(F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in recognisers(text, lines).items())), lambda x: x.isNotNull())
     return F.when(F.size(hits) == 1, F.element_at(hits, 1))
 
 
-def readings(subjects: DataFrame, text: str = "text") -> DataFrame:
-    """``subjects`` with format, status, form and recourse; no column added holds text of the input.
+def readings(subjects: DataFrame, text: str = "text", lines: str | None = None) -> DataFrame:
+    """``subjects`` with format, status, form and recourse; no column added holds text of the input.  ``lines`` names a
+    column of the first four head lines, if there is one.
 
     A text of an admitted format is ``recognised``; whether it is read, only its reader can say.  Others are ``refused``,
     with the form that names why and what to use in its place, or ``unreadable``.
     """
-    named = subjects.withColumn("format", recognised(F.col(text)))
+    # in a column of their own, lines are cut once for all recognisers
+    lined = subjects if lines else subjects.withColumn("__lines", head_lines(F.col(text), 4))
+    named = lined.withColumn("format", recognised(F.col(text), F.col(lines or "__lines"))).drop("__lines")
     pick = lambda i: F.coalesce(*(F.when(F.col("format") == name, F.lit(form[i])) for name, form in FORMS.items()))
     status = F.when(F.col("format").isNull(), "unreadable").when(F.col("format").isin(list(FORMS)), "refused").otherwise("recognised")
     return named.withColumn("status", status).withColumn("form", pick(0)).withColumn("recourse", pick(1))

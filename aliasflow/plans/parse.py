@@ -1,7 +1,8 @@
 """Plans as rows: the status of every text, the spans of those that are read, and their rewritten text.
 
-Recognisers and frames are told by columns over the head of a text; only texts that some reader may take reach Python,
-where a plan is one row from its reader to its rewritten text: nothing is shuffled and each text is parsed once.
+Recognisers and frames are told by columns over the head of a text; only texts that some reader may take are parsed,
+where a plan is one row from its reader to its rewritten text, and each text is parsed once.  Texts are dealt out to all
+cores before that, since a small file of keys can make many texts and a file has few parts.
 """
 
 from __future__ import annotations
@@ -98,14 +99,18 @@ def rewritten(text: str, spans: list[Span], next_number: int = 1) -> tuple[str,
     return "".join([*out, text[at:]]), names
 
 
-def _runner(next_number: int):
+def _runner(next_number: int, detailed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spelling in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, spelling, taken in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 try:
+                    if not taken:
+                        rows.append((None, [], None, None, []))
+                        continue
                     spans = read(text or "", spelling)
-                    rows.append((*rewritten(text or "", spans, next_number), "read", None, [s._asdict() for s in spans]))
+                    done, names = rewritten(text or "", spans, next_number)
+                    rows.append((done, names, "read", None, [s._asdict() for s in spans]) if detailed else (done, [], "read", None, []))
                 except Refused as e:
                     rows.append((None, [], "refused" if e.form else "unreadable", e.form, []))
             done, names, status, form, spans = zip(*rows, strict=True) if rows else ((), (), (), (), ())
@@ -117,32 +122,39 @@ def _runner(next_number: int):
     return run
 
 
-def is_framed(text: Column) -> Column:
-    """The head of a text is that of a client's frame."""
-    head = F.coalesce(F.get(head_lines(text, 1), F.lit(0)), F.lit(""))
+def is_framed(lines: Column) -> Column:
+    """The first of a text's head lines is that of a client's frame."""
+    head = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
     return (F.trim(head) == "QUERY PLAN") | head.rlike(r"^\*{3,} 1\. row \*{3,}$")
 
 
 ADDED = ["format", "status", "form", "recourse", "anonymized", "names", "spans"]
 
 
-def read_plans(subjects: DataFrame, text: str = "text", next_number: int = 1) -> DataFrame:
+def dealt(texts: DataFrame) -> DataFrame:
+    """Texts in parts for all cores, and one for each 16 MB that Catalyst expects of them, if it expects anything."""
+    session = texts.sparkSession
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return texts.repartition(max(least, size // 2**24 if size < 2**50 else 0))
+
+
+def read_plans(subjects: DataFrame, text: str = "text", next_number: int = 1, detailed: bool = True) -> DataFrame:
     """``subjects``, every row of them, with format, status (read, refused, unreadable), form, recourse, spans in document
-    order, names and the anonymized text; the last three are empty of what is not read, and hold no text of it."""
+    order, names and the anonymized text; the last three are empty of what is not read, and hold no text of it.  Unless
+    ``detailed``, spans and names are empty throughout."""
     rest = [F.col(f"`{c}`") for c in subjects.columns if c not in (text, *ADDED)]
-    known = readings(subjects.select(F.struct(*rest).alias("row"), F.col(f"`{text}`").alias("text")))
-    framed = F.coalesce(is_framed(F.col("text")), F.lit(False))
-    taken = F.col("format").isin(*READ) | framed
-    some = known.where(taken).select(F.struct("row", "format", "recourse").alias("row"), "text", F.when(~framed, F.col("format")).alias("spelling"))
-    schema = T.StructType([*some.schema.fields[:2], *T.StructType.fromDDL(f"anonymized string, names array<{NAME}>, status string, form string, spans array<{SPAN}>")])
-    read_ = some.mapInArrow(_runner(next_number), schema)
+    # no filter by what is worked out here: it would be worked out again for the filter, and before the texts are dealt
+    lined = dealt(subjects.select(F.struct(*rest).alias("row"), F.col(f"`{text}`").alias("text"))).withColumn("__lines", head_lines(F.col("text"), 4))
+    known = readings(lined.withColumn("framed", F.coalesce(is_framed(F.col("__lines")), F.lit(False))), lines="__lines")
+    taken = F.coalesce(F.col("format").isin(*READ), F.lit(False)) | F.col("framed")
+    asked = known.select(F.struct("row", "format", "status", "form", "recourse", taken.alias("taken")).alias("row"), "text", F.when(~F.col("framed"), F.col("format")).alias("spelling"), taken.alias("taken"))
+    schema = T.StructType([*asked.schema.fields[:2], *T.StructType.fromDDL(f"anonymized string, names array<{NAME}>, status string, form string, spans array<{SPAN}>")])
     recourse = F.coalesce(*(F.when(F.col("form") == k, F.lit(v)) for k, v in RECOURSE.items()))
-    read_ = read_.select(F.col("row.row").alias("row"), "text", F.col("row.format").alias("format"), "status", "form", recourse.alias("recourse"), "anonymized", "names", "spans")
-    other = known.where(~F.coalesce(taken, F.lit(False))).select(
-        "row", "text", "format", "status", "form", "recourse",
-        F.lit(None).cast("string").alias("anonymized"), F.array().cast(f"array<{NAME}>").alias("names"), F.array().cast(f"array<{SPAN}>").alias("spans"),
-    )
-    return read_.unionByName(other).select("row.*", F.col("text").alias(text), *ADDED)
+    of = lambda said, name: F.when(F.col("row.taken"), said).otherwise(F.col(f"row.{name}")).alias(name)
+    return asked.mapInArrow(_runner(next_number, detailed), schema).select(
+        "row.row.*", F.col("text").alias(text), "row.format", of(F.col("status"), "status"), of(F.col("form"), "form"), of(recourse, "recourse"), "anonymized", "names", "spans"
+    )
 
 
 def parse_plans(subjects: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,5 +178,5 @@ def plan_counts(subjects: DataFrame, preserved_keys: tuple[str, ...] = (), key:
 
 def anonymize_plans(subjects: DataFrame, next_number: int = 1) -> DataFrame:
     """``subjects`` that are read, with their names and values replaced by numbered placeholders."""
-    done = read_plans(subjects, next_number=next_number).where("status = 'read'")
+    done = read_plans(subjects, next_number=next_number, detailed=False).where("status = 'read'")
     return done.select(*((F.col("anonymized") if c == "text" else F.col(f"`{c}`")).alias(c) for c in subjects.columns))

@@ -3,6 +3,7 @@
 import duckdb
 
 from aliasflow import queries
+from aliasflow.plans import parse
 
 
 def both(spark, folder, name, table, rows, columns):
@@ -22,3 +23,13 @@ def test_fragments_with_fractions_and_without_ends(spark, tmp_path):
     got, want = both(spark, tmp_path, "fragment_merge", "lineitem", rows, "l_orderkey bigint, l_partkey bigint, l_quantity double")
     assert got == want
     assert (2, 5, 11) in got and (3, 5, 18) in got and (5, 3, 9) in got
+
+
+def test_plans_of_one_part_are_dealt_out_and_recognised_once(spark):
+    texts = ["Seq Scan on t  (cost=0.00..1.00 rows=1 width=4)", "-> Limit: 3", "nothing", None, " QUERY PLAN\n----------------------\n Seq Scan on t  (cost=0.00..1.00 rows=1 width=4)\n(1 row)\n"]
+    some = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    done = parse.read_plans(some)
+    assert done.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert "Filter" not in done._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id: (r.format, r.status, r.form) for r in done.collect()} == {0: ("text", "read", None), 1: ("mysql-tree", "refused", "MYSQL_TREE"), 2: (None, "unreadable", None), 3: (None, "unreadable", None), 4: (None, "read", None)}
+    assert {r.text.strip() for r in parse.anonymize_plans(some).select("text").collect()} == {"Seq Scan on table1  (cost=0.00..1.00 rows=1 width=4)", "QUERY PLAN\n----------------------\n Seq Scan on table1  (cost=0.00..1.00 rows=1 width=4)\n(1 row)"}
