@@ -15,13 +15,15 @@ Only new keys matter to it; what the ledger holds is looked up.  Rules on top of
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parts import parts
 from ..functions.text import LITERAL, ROLE_PREFIXES
 
 
@@ -47,7 +49,26 @@ class Ledger:
         return Ledger(run.number, {**run.fresh, **self.names}, self.stems | run.stems)
 
 
-@dataclass
+class Growing(Ledger):
+    """A ledger that is changed in place: an invocation costs what it adds, however long the history."""
+
+    def __init__(self, number: int = 1, names: dict[str, tuple[str, str]] | None = None, stems: Iterable[str] = ()) -> None:
+        super().__init__(number, dict(names or {}), set(stems))
+        self.held = {w for w, _ in self.names.values()}
+
+    def holds(self, word: str) -> bool:
+        return word in self.held
+
+    def after(self, run: "Run") -> "Growing":
+        for key, named in run.fresh.items():
+            if self.names.setdefault(key, named) is named:
+                self.held.add(named[0])
+        self.number = run.number
+        self.stems |= run.stems
+        return self
+
+
+@dataclass(slots=True)
 class Symbol:
     key: str
     namespace: str
@@ -95,7 +116,7 @@ class Run:
     def _derive(self, of: str, prefix: str) -> str:
         """An accessor's word; its stem is recorded if its field's was chosen."""
         word = derived(prefix, of)
-        if re.sub(r"\d+$", "", of) in self.stems | self.ledger.stems and word not in self.reserved:
+        if (self.stems or self.ledger.stems) and word not in self.reserved and ((stem := re.sub(r"\d+$", "", of)) in self.stems or stem in self.ledger.stems):
             self.stems.add(re.sub(r"\d+$", "", word))
         return word
 
@@ -162,27 +183,68 @@ def symbols_of(rows: pd.DataFrame) -> list[Symbol]:
     return out
 
 
-def name_runs(rows: pd.DataFrame, ledger: Ledger) -> tuple[list[tuple], Ledger]:
-    """Rows of ROW for the invocations of one project, in their order, and the ledger after them.  Batch and stream share it."""
-    out: list[tuple] = []
-    for seq, part in rows.sort_values(["seq", "start"], kind="stable").groupby("seq", sort=True):
-        symbols, project = symbols_of(part), part["project_id"].iloc[0]
-        taken = part["reserved"].iloc[0]
-        run = Run(ledger, taken if taken is not None else ())
-        named = [(start, s, run.name(s)) for start, s in zip(part["start"], symbols, strict=True)]
-        run.siblings(symbols)
-        ledger = ledger.after(run)
-        seen = {s.key for s in symbols}
+def _name_run(out: list[tuple], ledger: Ledger, project: str | None, seq: int | None, starts: Iterable, symbols: list[Symbol], reserved: Iterable[str] | None) -> Ledger:
+    """Appends the rows of ROW for one invocation; the ledger after it."""
+    run = Run(ledger, reserved if reserved is not None else ())
+    words = [run.name(s) for s in symbols]
+    run.siblings(symbols)
+    ledger = ledger.after(run)
+    seen = {s.key for s in symbols}
+    head = (run.number, sorted(run.stems))
+    for start, s, word in zip(starts, symbols, words, strict=True):
+        out.append((project, seq, start, s.key, word, s.original, s.key in run.derived, False, s.key in run.fresh, *head))
+    if not run.fresh.keys() <= seen:  # fields that accessors name first, and accessors that were not seen
         originals = {y.key for s in symbols for y in s.siblings}
-        head = (run.number, sorted(run.stems))
-        for start, s, word in named:
-            out.append((project, seq, start, s.key, word, s.original, s.key in run.derived, False, s.key in run.fresh, *head))
         for key, (word, original) in run.fresh.items():
-            if key not in seen:  # fields that accessors name first, and accessors that were not seen
+            if key not in seen:
                 out.append((project, seq, None, key, word, original, key in originals, key in originals, True, *head))
+    return ledger
+
+
+def name_runs(rows: pd.DataFrame, ledger: Ledger) -> tuple[list[tuple], Ledger]:
+    """Rows of ROW for the invocations of one project, in their order, and the ledger after them."""
+    out: list[tuple] = []
+    for seq, part in rows.sort_values(["seq", "start"], kind="stable").groupby("seq", sort=True, dropna=False):
+        ledger = _name_run(out, ledger, part["project_id"].iloc[0], seq if _given(seq) else None, part["start"], symbols_of(part), part["reserved"].iloc[0])
     return out, ledger
 
 
+def _symbol(row: tuple) -> Symbol:
+    """Of a row of EVIDENCE."""
+    _, _, _, key, namespace, original, qualified, field_key, field_name, field_qualified, prefix, stem, field_stem, literal, siblings, _ = row
+    near = [Symbol(y["key"], "", y["original"], bool(y["qualified"]), y["field_key"], None, True, y["prefix"]) for y in siblings] if siblings else []
+    return Symbol(key, namespace, original, bool(qualified), field_key, field_name, field_qualified is None or field_qualified, prefix, stem, field_stem, bool(literal), near)
+
+
+def _name_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ROW of EVIDENCE that lies sorted by project, invocation and start; only a ledger and an invocation are held."""
+    out: list[tuple] = []
+    held: list[tuple] = []
+    ledger = Growing()
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[:2] != held[0][:2]:
+                ledger = _name_run(out, ledger, *held[0][:2], [r[2] for r in held], [_symbol(r) for r in held], held[0][-1])
+                if row[0] != held[0][0]:
+                    ledger = Growing()
+                held = []
+                if len(out) >= 20000:
+                    yield _batch(out)
+                    out = []
+            held.append(row)
+    if held:
+        _name_run(out, ledger, *held[0][:2], [r[2] for r in held], [_symbol(r) for r in held], held[0][-1])
+    if out:
+        yield _batch(out)
+
+
+ARROW_ROW = pa.schema([(x.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}[x.split()[1]]) for x in ROW.split(", ")])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW_ROW.types, strict=True)], schema=ARROW_ROW)
+
+
 def asked(evidence: DataFrame) -> DataFrame:
     """``evidence`` with all columns that naming reads, and no others."""
     return evidence.select(*(F.col(k).cast(t).alias(k) if k in evidence.columns else F.lit(None).cast(t).alias(k) for k, t in EVIDENCE.items()))
@@ -204,14 +266,16 @@ def name_symbols(evidence: DataFrame, ledger: DataFrame | None = None, heads: Da
     """
     rows = asked(evidence)
     if ledger is None or heads is None:
-        return rows.groupBy("project_id").applyInPandas(lambda part: frame(name_runs(part, Ledger())[0]), ROW)
+        # sorted rows pass through one Python task a part: a call and a frame a project cost far more than its rows
+        order = [F.asc_nulls_last(c) for c in ("project_id", "seq", "start", "key")]
+        return rows.repartition(parts(rows), "project_id").sortWithinPartitions(*order).mapInArrow(_name_sorted, ROW)
     held = heads.select("project_id", "next_number", "stems").join(ledger.select("project_id", "key", "placeholder", "original"), "project_id", "left")
 
     def run(part: pd.DataFrame, had: pd.DataFrame) -> pd.DataFrame:
-        start = Ledger()
+        start = Growing()
         if len(had):
             names = {k: (w, o) for k, w, o in zip(had["key"], had["placeholder"], had["original"], strict=True) if k is not None}
-            start = Ledger(int(had["next_number"].iloc[0]), names, set(had["stems"].iloc[0] if had["stems"].iloc[0] is not None else ()))
+            start = Growing(int(had["next_number"].iloc[0]), names, set(had["stems"].iloc[0] if had["stems"].iloc[0] is not None else ()))
         return frame(name_runs(part, start)[0] if len(part) else [])
 
     return rows.groupBy("project_id").cogroup(held.groupBy("project_id")).applyInPandas(run, ROW)

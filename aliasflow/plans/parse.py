@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.parts import parts
 from ..functions.text import LITERAL, ROLE_PREFIXES
 from ..operators.allocation import fold
 from ..operators.formats import head_lines, readings
@@ -131,21 +132,14 @@ def is_framed(lines: Column) -> Column:
 ADDED = ["format", "status", "form", "recourse", "anonymized", "names", "spans"]
 
 
-def dealt(texts: DataFrame) -> DataFrame:
-    """Texts in parts for all cores, and one for each 16 MB that Catalyst expects of them, if it expects anything."""
-    session = texts.sparkSession
-    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
-    return texts.repartition(max(least, size // 2**24 if size < 2**50 else 0))
-
-
 def read_plans(subjects: DataFrame, text: str = "text", next_number: int = 1, detailed: bool = True) -> DataFrame:
     """``subjects``, every row of them, with format, status (read, refused, unreadable), form, recourse, spans in document
     order, names and the anonymized text; the last three are empty of what is not read, and hold no text of it.  Unless
     ``detailed``, spans and names are empty throughout."""
     rest = [F.col(f"`{c}`") for c in subjects.columns if c not in (text, *ADDED)]
     # no filter by what is worked out here: it would be worked out again for the filter, and before the texts are dealt
-    lined = dealt(subjects.select(F.struct(*rest).alias("row"), F.col(f"`{text}`").alias("text"))).withColumn("__lines", head_lines(F.col("text"), 4))
+    texts = subjects.select(F.struct(*rest).alias("row"), F.col(f"`{text}`").alias("text"))
+    lined = texts.repartition(parts(texts)).withColumn("__lines", head_lines(F.col("text"), 4))
     known = readings(lined.withColumn("framed", F.coalesce(is_framed(F.col("__lines")), F.lit(False))), lines="__lines")
     taken = F.coalesce(F.col("format").isin(*READ), F.lit(False)) | F.col("framed")
     asked = known.select(F.struct("row", "format", "status", "form", "recourse", taken.alias("taken")).alias("row"), "text", F.when(~F.col("framed"), F.col("format")).alias("spelling"), taken.alias("taken"))

@@ -3,6 +3,7 @@
 import duckdb
 
 from aliasflow import queries
+from aliasflow.operators import naming
 from aliasflow.plans import parse
 
 
@@ -33,3 +34,12 @@ def test_plans_of_one_part_are_dealt_out_and_recognised_once(spark):
     assert "Filter" not in done._jdf.queryExecution().optimizedPlan().toString()
     assert {r.doc_id: (r.format, r.status, r.form) for r in done.collect()} == {0: ("text", "read", None), 1: ("mysql-tree", "refused", "MYSQL_TREE"), 2: (None, "unreadable", None), 3: (None, "unreadable", None), 4: (None, "read", None)}
     assert {r.text.strip() for r in parse.anonymize_plans(some).select("text").collect()} == {"Seq Scan on table1  (cost=0.00..1.00 rows=1 width=4)", "QUERY PLAN\n----------------------\n Seq Scan on table1  (cost=0.00..1.00 rows=1 width=4)\n(1 row)"}
+
+
+def test_histories_are_folded_by_part_and_keep_rows_without_an_invocation(spark):
+    rows = [(p, s, 0, f"k{p}{s}", "Type", "x", True) for p in ("a", "b", None) for s in (2, 1, None)]
+    some = spark.createDataFrame(rows, "project_id string, seq long, start int, key string, namespace string, original string, qualified boolean").coalesce(1)
+    named = naming.name_symbols(some)
+    plan = named._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    assert {(r.project_id, r.seq, r.placeholder) for r in named.collect()} == {(p, s, w) for p in ("a", "b", None) for s, w in ((1, "Type1"), (2, "Type2"), (None, "Type3"))}
