@@ -17,6 +17,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -84,6 +86,9 @@ class Symbol:
     siblings: list["Symbol"] = field(default_factory=list)
 
 
+NUMBER = re.compile(r"\d+$")
+
+
 def derived(prefix: str, placeholder: str) -> str:
     return prefix + placeholder[:1].upper() + placeholder[1:]
 
@@ -100,9 +105,9 @@ class Run:
 
     def word_of(self, key: str) -> str | None:
         """The word that a key has in this invocation, or had before it."""
-        if key not in self.words and (had := self.ledger.word_of(key)) is not None:
-            self.words[key] = had
-        return self.words.get(key)
+        if (word := self.words.get(key)) is None and (word := self.ledger.word_of(key)) is not None:
+            self.words[key] = word
+        return word
 
     def draw(self, namespace: str, stem: str | None = None) -> str:
         if stem:
@@ -113,11 +118,10 @@ class Run:
             if word not in self.reserved:
                 return word
 
-    def _derive(self, of: str, prefix: str) -> str:
+    def _derive(self, of: str, word: str) -> str:
         """An accessor's word; its stem is recorded if its field's was chosen."""
-        word = derived(prefix, of)
-        if (self.stems or self.ledger.stems) and word not in self.reserved and ((stem := re.sub(r"\d+$", "", of)) in self.stems or stem in self.ledger.stems):
-            self.stems.add(re.sub(r"\d+$", "", word))
+        if (self.stems or self.ledger.stems) and ((stem := NUMBER.sub("", of)) in self.stems or stem in self.ledger.stems):
+            self.stems.add(NUMBER.sub("", word))
         return word
 
     def name(self, s: Symbol) -> str:
@@ -126,12 +130,12 @@ class Run:
         if (word := self.word_of(s.key)) is not None:
             return word
         if s.prefix and s.field_key:
-            if self.word_of(s.field_key) is None:
-                self.words[s.field_key] = self.draw(ROLE_PREFIXES["FIELD"], s.field_stem)
+            if (of := self.word_of(s.field_key)) is None:
+                self.words[s.field_key] = of = self.draw(ROLE_PREFIXES["FIELD"], s.field_stem)
                 if s.field_qualified:
-                    self.fresh[s.field_key] = (self.words[s.field_key], s.field_name or "")
-            if derived(s.prefix, self.words[s.field_key]) not in self.reserved:
-                word = self._derive(self.words[s.field_key], s.prefix)
+                    self.fresh[s.field_key] = (of, s.field_name or "")
+            if (made := derived(s.prefix, of)) not in self.reserved:
+                word = self._derive(of, made)
                 self.derived.add(s.key)
         self.words[s.key] = word = word or self.draw(s.namespace, s.stem)
         if s.qualified:
@@ -139,24 +143,31 @@ class Run:
         return word
 
     def siblings(self, seen: Iterable[Symbol]) -> None:
-        held = set(self.words.values())
-        for s in (x for y in seen for x in y.siblings):
+        near = [x for y in seen if y.siblings for x in y.siblings]
+        held = set(self.words.values()) if near else set()
+        for s in near:
             if not s.prefix or not s.field_key or self.word_of(s.field_key) is None or self.word_of(s.key) is not None or not s.qualified:
                 continue
             word = derived(s.prefix, self.words[s.field_key])
             if word in self.reserved or word in held or self.ledger.holds(word):
                 continue
-            self.words[s.key] = self._derive(self.words[s.field_key], s.prefix)
+            self.words[s.key] = self._derive(self.words[s.field_key], word)
             self.fresh[s.key] = (word, s.original)
             held.add(word)
 
 
+def _run(ledger: Ledger, symbols: list[Symbol], reserved: Iterable[str] | None) -> tuple[Run, list[str], Ledger]:
+    """An invocation, the placeholder of each symbol in document order, and the ledger after it."""
+    run = Run(ledger, reserved if reserved is not None else ())
+    words = [run.name(s) for s in symbols]
+    run.siblings(symbols)
+    return run, words, ledger.after(run)
+
+
 def invocation(ledger: Ledger, symbols: list[Symbol], reserved: Iterable[str]) -> tuple[list[tuple[str, str]], Ledger, set[str]]:
     """(key, placeholder) of each symbol in document order, the ledger after it, and the keys that were derived."""
-    run = Run(ledger, reserved)
-    out = [(s.key, run.name(s)) for s in symbols]
-    run.siblings(symbols)
-    return out, ledger.after(run), run.derived
+    run, words, ledger = _run(ledger, symbols, reserved)
+    return [(s.key, word) for s, word in zip(symbols, words, strict=True)], ledger, run.derived
 
 
 SIBLING = "struct<key: string, original: string, prefix: string, field_key: string, qualified: boolean>"
@@ -167,6 +178,7 @@ EVIDENCE = {
     "literal": "boolean", "siblings": f"array<{SIBLING}>", "reserved": "array<string>",
 }
 ROW = "project_id string, seq long, start int, key string, placeholder string, original string, derived boolean, sibling boolean, fresh boolean, next_number int, stems array<string>"
+HEAD = "project_id string, next_number int, stems array<string>"
 
 
 def _given(x: object) -> bool:
@@ -185,10 +197,7 @@ def symbols_of(rows: pd.DataFrame) -> list[Symbol]:
 
 def _name_run(out: list[tuple], ledger: Ledger, project: str | None, seq: int | None, starts: Iterable, symbols: list[Symbol], reserved: Iterable[str] | None) -> Ledger:
     """Appends the rows of ROW for one invocation; the ledger after it."""
-    run = Run(ledger, reserved if reserved is not None else ())
-    words = [run.name(s) for s in symbols]
-    run.siblings(symbols)
-    ledger = ledger.after(run)
+    run, words, ledger = _run(ledger, symbols, reserved)
     seen = {s.key for s in symbols}
     head = (run.number, sorted(run.stems))
     for start, s, word in zip(starts, symbols, words, strict=True):
@@ -216,33 +225,60 @@ def _symbol(row: tuple) -> Symbol:
     return Symbol(key, namespace, original, bool(qualified), field_key, field_name, field_qualified is None or field_qualified, prefix, stem, field_stem, bool(literal), near)
 
 
+def _values(column: pa.Array) -> list:
+    """As to_pylist makes them; words and truths go through NumPy, which takes a fraction of the time."""
+    return column.to_numpy(zero_copy_only=False).tolist() if pa.types.is_string(column.type) or pa.types.is_boolean(column.type) else column.to_pylist()
+
+
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of EVIDENCE; columns that a batch lacks are null."""
+    for batch in batches:
+        had = dict(zip(batch.schema.names, batch.columns, strict=True))
+        none = [None] * batch.num_rows
+        yield from zip(*(_values(had[k]) if k in had else none for k in EVIDENCE), strict=True)
+
+
 def _name_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """ROW of EVIDENCE that lies sorted by project, invocation and start; only a ledger and an invocation are held."""
     out: list[tuple] = []
-    held: list[tuple] = []
-    ledger = Growing()
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and row[:2] != held[0][:2]:
-                ledger = _name_run(out, ledger, *held[0][:2], [r[2] for r in held], [_symbol(r) for r in held], held[0][-1])
-                if row[0] != held[0][0]:
-                    ledger = Growing()
-                held = []
-                if len(out) >= 20000:
-                    yield _batch(out)
-                    out = []
-            held.append(row)
-    if held:
-        _name_run(out, ledger, *held[0][:2], [r[2] for r in held], [_symbol(r) for r in held], held[0][-1])
+    for project, history in groupby(_rows(batches), itemgetter(0)):
+        ledger = Growing()
+        for seq, rows in groupby(history, itemgetter(1)):
+            held = list(rows)
+            ledger = _name_run(out, ledger, project, seq, [r[2] for r in held], [_symbol(r) for r in held], held[0][-1])
+            if len(out) >= 20000:
+                yield _batch(out, ARROW_ROW)
+                out = []
+    if out:
+        yield _batch(out, ARROW_ROW)
+
+
+def _heads_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """HEAD of the same rows: the same fold, of which only the end of each history is written."""
+    out: list[tuple] = []
+    for project, history in groupby(_rows(batches), itemgetter(0)):
+        ledger = Growing()
+        for _, rows in groupby(history, itemgetter(1)):
+            held = list(rows)
+            ledger = _run(ledger, [_symbol(r) for r in held], held[0][-1])[2]
+        out.append((project, ledger.number, sorted(ledger.stems)))
+        if len(out) >= 20000:
+            yield _batch(out, ARROW_HEAD)
+            out = []
     if out:
-        yield _batch(out)
+        yield _batch(out, ARROW_HEAD)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    return pa.schema([(name, types[t]) for name, t in (x.split() for x in schema.split(", "))])
 
 
-ARROW_ROW = pa.schema([(x.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}[x.split()[1]]) for x in ROW.split(", ")])
+ARROW_ROW, ARROW_HEAD = _arrow(ROW), _arrow(HEAD)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW_ROW.types, strict=True)], schema=ARROW_ROW)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def asked(evidence: DataFrame) -> DataFrame:
@@ -250,6 +286,18 @@ def asked(evidence: DataFrame) -> DataFrame:
     return evidence.select(*(F.col(k).cast(t).alias(k) if k in evidence.columns else F.lit(None).cast(t).alias(k) for k, t in EVIDENCE.items()))
 
 
+def _histories(evidence: DataFrame, unread: tuple[str, ...] = ()) -> DataFrame:
+    """``evidence`` in the order of its histories, a project in one part, for one Python task a part.
+
+    A call and a frame a project cost far more than its rows.  Columns that are missing, or ``unread``, do not travel: a
+    list that is null costs Arrow's writer far more than all words of its row.
+    """
+    order = ("project_id", "seq", "start", "key")
+    rows = asked(evidence).select(*(k for k in EVIDENCE if k in order or (k in evidence.columns and k not in unread)))
+    dealt = rows.repartition(parts(rows), "project_id").sortWithinPartitions(*(F.asc_nulls_last(c) for c in order))
+    return dealt.drop(*unread)
+
+
 def frame(rows: list[tuple]) -> pd.DataFrame:
     """Of ROW; a sibling has no start."""
     out = pd.DataFrame(rows, columns=[x.split()[0] for x in ROW.split(", ")])
@@ -264,11 +312,9 @@ def name_symbols(evidence: DataFrame, ledger: DataFrame | None = None, heads: Da
     With ``ledger`` (project_id, key, placeholder, original) and ``heads`` (project_id, next_number, stems) naming goes on
     from there: a key that the ledger holds keeps its word, whatever survives in the text.
     """
-    rows = asked(evidence)
     if ledger is None or heads is None:
-        # sorted rows pass through one Python task a part: a call and a frame a project cost far more than its rows
-        order = [F.asc_nulls_last(c) for c in ("project_id", "seq", "start", "key")]
-        return rows.repartition(parts(rows), "project_id").sortWithinPartitions(*order).mapInArrow(_name_sorted, ROW)
+        return _histories(evidence).mapInArrow(_name_sorted, ROW)
+    rows = asked(evidence)
     held = heads.select("project_id", "next_number", "stems").join(ledger.select("project_id", "key", "placeholder", "original"), "project_id", "left")
 
     def run(part: pd.DataFrame, had: pd.DataFrame) -> pd.DataFrame:
@@ -289,3 +335,8 @@ def ledger_delta(named: DataFrame) -> DataFrame:
 def delta_heads(named: DataFrame) -> DataFrame:
     """The counter and the stems after the last invocation: (project_id, next_number, stems)."""
     return named.groupBy("project_id").agg(F.max("next_number").alias("next_number"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("stems")))).alias("stems"))
+
+
+def history_heads(evidence: DataFrame) -> DataFrame:
+    """``delta_heads`` of ``name_symbols``, from a fold that writes no row for a name."""
+    return _histories(evidence, ("start", "original", "field_name")).mapInArrow(_heads_sorted, HEAD)
